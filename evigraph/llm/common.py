@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: The white space of the word rules: space and the ASCII controls tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of keys and numbers (8 to 100 bytes each) that are broadcast at most, by a count made before.
+BROADCAST = 1_500_000
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -66,6 +68,11 @@ def locator() -> Column:
     return F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its rows, counted now, are few enough; else df, to be joined by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def narrow(docs: DataFrame) -> DataFrame:
     """The id and the whole text, nothing else."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
