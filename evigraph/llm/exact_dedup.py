@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.common import fresh, from_files, locator, materialize, shared_dir, whole_text
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state is on disk; without preallocation, which takes 4 MB for each of many small stores.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -39,15 +42,17 @@ def sha256(text: Column) -> Column:
 
 def run_stream(spark: SparkSession, arrivals: str, schema, state: str) -> DataFrame:
     """Take what has arrived into the state; return the state: digest, keep_id, keep_loc, n."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).parquet(arrivals)
         groups = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "loc")).alias("keep"), F.count("*").alias("n"))
         query = groups.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     table = spark.read.format("statestore").load(state)
     keep, n = (F.col("value")[f.name] for f in table.schema["value"].dataType.fields[:2])
     return table.select(F.col("key.digest").alias("digest"), keep["doc_id"].alias("keep_id"), keep["loc"].alias("keep_loc"), n.alias("n"))
