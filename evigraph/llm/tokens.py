@@ -1,25 +1,29 @@
 """Byte-level BPE ids of whole texts, by the public `tokenizers` library.
 
 The library encodes about 2.5 MB a second and core, and a corpus repeats its
-words. So a text is cut at single spaces that stand between two characters that
-aren't white space. For this pre-tokenizer every such space starts a new piece
-(` ?\\p{L}+` and its siblings), so the ids of a text are those of its cuts in
-order. Each distinct cut goes through the library's BPE model once and its ids
+words. So a text is cut in front of each single space. For this pre-tokenizer
+every such space starts a new piece (` ?\\p{L}+` and its siblings), so the ids of
+a text are those of its cuts in order. Each distinct cut goes through the library's BPE model once and its ids
 are kept, in a cache of bounded size. Texts with characters beyond Latin, or
-with runs of spaces, go to the library whole.
+with runs of spaces or a space at the end, go to the library whole.
 """
 
 from __future__ import annotations
 
+import gc
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import regex
 
 #: Cuts that a worker process remembers at most; the cache starts anew when full.
-CACHE = 1_000_000
-_WHOLE = re.compile("[^\x00-ɏ]|\\s\\s |  |[\x1c-\x1f\x85\xa0]")
+CACHE = 1_500_000
+#: Characters beyond Latin, and those whose class as white space differs between libraries.
+_ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]")
+_TAILS = frozenset(".,!?;:")
 #: The pre-tokenizer's pattern, and the characters that stand for bytes in the vocabulary.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -47,21 +51,25 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.cache = Tokenizer.from_file(path), {}
+        self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.model = self.tok.model
+        self.cache = _Cuts(self.tok.model)
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are laid out for little-endian machines with 32-bit ints")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if _WHOLE.search(t)]
+        odd = [i for i, t in enumerate(texts) if "  " in t or t.endswith(" ") or _ODD.search(t)]
         rest = dict(zip(odd, self.whole([texts[i] for i in odd]), strict=True))
-        return [rest[i] if i in rest else self._cuts(t) for i, t in enumerate(texts)]
-
-    def _cut(self, cut: str) -> bytes:
-        ids = [t.id for x in _PIECE.findall(cut) for t in self.model.tokenize(x.encode().decode("latin-1").translate(_BYTE))]
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        collects = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and a collection would walk the cache
+        try:
+            return [rest[i] if i in rest else self._cuts(t) for i, t in enumerate(texts)]
+        finally:
+            if collects:
+                gc.enable()
 
     def _cuts(self, text: str) -> bytes:
         if not text:
@@ -70,13 +78,26 @@ class Encoder:
         cuts = [" " + x for x in rest]
         if first:
             cuts.insert(0, first)
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        try:
-            return b"".join(map(cache.__getitem__, cuts))
-        except KeyError:
-            for x in cuts:
-                if x not in cache:
-                    cache[x] = self._cut(x)
-            return b"".join(map(cache.__getitem__, cuts))
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        return b"".join(map(self.cache.__getitem__, cuts))
+
+
+class _Cuts(dict):
+    """The ids of cuts and of single pieces, made when first asked for."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+
+    def __missing__(self, cut: str) -> bytes:
+        if len(cut) == 1 or cut[1:].isalpha():
+            ids = self._piece(cut)
+        elif cut[-1] in _TAILS and cut[1:-1].isalpha():
+            ids = self[cut[:-1]] + self[cut[-1]]  # two pieces, either likely known
+        else:
+            ids = b"".join([self._piece(x) for x in _PIECE.findall(cut)])
+        self[cut] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(_BYTE))]).tobytes()
