@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from evigraph.llm import tokens
 from evigraph.llm.common import bounded, materialize, narrow
 
-CAPACITY, GRAIN, TOLERANCE, ROUNDS = 2048, 4, 1e-3, 4000
+CAPACITY, GRAIN, TOLERANCE, ROUNDS = 2048, 8, 1e-3, 4000
 
 Pattern = dict[int, int]  # class: how often
 

@@ -6,7 +6,9 @@ patterns, of all documents; there are at most 3^9 patterns, so counts suffice an
 the driver holds only those. The posterior of a document's pattern is its label,
 and a linear scorer over hashed features of word shapes is trained on a bounded
 sample of documents with these labels: at most SAMPLE of the likely clean and of
-the likely junk, those of the smallest hash. The scorer then scores every document.
+the likely junk, those of the smallest hash. Every document's score is the mean of
+the scorer's probability and the label model's: of a text of a few words the shapes say
+little, and of a long one the scorer sees more than the labellers' thresholds.
 
 Defined results: null or empty text has score 0 and isn't kept; null ids and
 repeated rows are scored like any; an empty table gives no rows; if all documents
@@ -155,7 +157,8 @@ class Scorer:
         if self.weights is None:
             return p, p, v
         at, x = features(words)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ np.array(x) + self.weights[-1], -30, 30)))), p, v
+        linear = float(1 / (1 + np.exp(-np.clip(self.weights[at] @ np.array(x) + self.weights[-1], -30, 30))))
+        return (linear + p) / 2, p, v
 
 
 def fit(spark: SparkSession, docs: DataFrame) -> Scorer:
