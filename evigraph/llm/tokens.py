@@ -19,10 +19,11 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Cuts that a worker process remembers at most; the cache starts anew when full.
-CACHE = 1_500_000
+#: Cuts that a worker process remembers: so many new ones, and as many older ones.
+CACHE = 400_000
 #: Characters beyond Latin, and those whose class as white space differs between libraries.
 _ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]")
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 _TAILS = frozenset(".,!?;:")
 #: The pre-tokenizer's pattern, and the characters that stand for bytes in the vocabulary.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -53,7 +54,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.cache = _Cuts(self.tok.model)
+        self.first, self.later = _Cuts(self.tok.model, ""), _Cuts(self.tok.model, " ")
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are laid out for little-endian machines with 32-bit ints")
 
@@ -61,7 +62,7 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if "  " in t or t.endswith(" ") or _ODD.search(t)]
+        odd = [i for i, t in enumerate(texts) if "  " in t or t.endswith(" ") or (any(c in t for c in _CONTROLS) if t.isascii() else _ODD.search(t))]
         rest = dict(zip(odd, self.whole([texts[i] for i in odd]), strict=True))
         collects = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and a collection would walk the cache
@@ -74,30 +75,35 @@ class Encoder:
     def _cuts(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *rest = text.split(" ")
-        cuts = [" " + x for x in rest]
-        if first:
-            cuts.insert(0, first)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        return b"".join(map(self.cache.__getitem__, cuts))
+        head, *later = text.split(" ")
+        self.first.turn()
+        self.later.turn()
+        return (self.first[head] if head else b"") + b"".join(map(self.later.__getitem__, later))
 
 
 class _Cuts(dict):
-    """The ids of cuts and of single pieces, made when first asked for."""
+    """The ids of cuts, made when first asked for; keys are cuts without the space before them.
+    When there are CACHE new ones they become the older ones, and the ones before are forgotten."""
 
-    def __init__(self, model):
-        self.tokenize = model.tokenize
+    def __init__(self, model, before: str):
+        self.tokenize, self.before, self.mapped, self.older = model.tokenize, before, before.translate(_BYTE), {}
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, cut: str) -> bytes:
-        if len(cut) == 1 or cut[1:].isalpha():
-            ids = self._piece(cut)
-        elif cut[-1] in _TAILS and cut[1:-1].isalpha():
-            ids = self[cut[:-1]] + self[cut[-1]]  # two pieces, either likely known
-        else:
-            ids = b"".join([self._piece(x) for x in _PIECE.findall(cut)])
+        ids = self.older.get(cut)
+        if ids is None:
+            if cut.isalpha():
+                ids = self._piece(self.mapped + (cut if cut.isascii() else cut.encode().decode("latin-1").translate(_BYTE)))
+            elif cut[-1:] in _TAILS and cut[:-1].isalpha():
+                ids = self[cut[:-1]] + self._piece(cut[-1])  # two pieces, the first likely known
+            else:
+                ids = b"".join([self._piece(x.encode().decode("latin-1").translate(_BYTE)) for x in _PIECE.findall(self.before + cut)])
         self[cut] = ids
         return ids
 
-    def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(_BYTE))]).tobytes()
+    def _piece(self, mapped: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
