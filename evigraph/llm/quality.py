@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,8 +206,6 @@ def quality(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def keep_clean(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that the scorer keeps, with docs' columns."""
-    import pandas as pd
-
     scorer = fit(spark, docs)
 
     @F.pandas_udf("boolean")
