@@ -22,8 +22,10 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,16 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.common import fresh, from_files, locator, materialize, whole_text
 
-WINDOW, COVERAGE, LITERALS, BROADCAST, CACHE = 8, 0.5, 3, 1_000_000, 1_000_000
+WINDOW, COVERAGE, LITERALS, BROADCAST, CACHE = 8, 0.5, 3, 1_000_000, 800_000
 
 #: Units that become a placeholder.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs ms hz khz mhz ghz w kw mw v mv a ma j kj cal kcal b kb mb gb tb bit byte bytes px dpi rpm mph kmh usd eur gbp jpy dollar dollars euro euros cent cents percent pct degrees celsius fahrenheit hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _JOINED = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)([a-z°%]+)", re.I)
 _EDGE = "\"'`.,;:!?()[]{}<>|#*&%$@~^=\\/_-…«»“”‘’—–"
-WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
+WORD, NUMBER, NAME, UNIT, NONE = 0, 1, 2, 3, 4
+#: Stands for a line's end among the words.
+LINE = "\x00"
 
 
 def _hash(s: str) -> int:
@@ -50,51 +54,53 @@ def _hash(s: str) -> int:
 _PLACE = {k: _hash(f"<{k}>") for k in (NUMBER, NAME, UNIT)}
 
 
-class Words:
-    """Numbers every distinct word of a task; arrays by number hold what canonicalising it needs."""
+class Words(dict):
+    """Numbers distinct words as they come; arrays by number hold what canonicalising them needs."""
 
     def __init__(self):
-        self.clear()
+        self.forget()
 
-    def clear(self):
-        self.at: dict[str, int] = {}
+    def forget(self):
+        self.clear()
         self.cores: list[str] = []
-        self.literal: list[int] = []
-        self.kind: list[int] = []  # away from a sentence's start
-        self.ends: list[bool] = []
+        self.literal = array("Q")
+        self.kind = array("b")  # away from a sentence's start
+        self.ends = array("b")
 
-    def _new(self, w: str) -> int:
-        core = w.strip(_EDGE)
+    def __missing__(self, w: str) -> int:
+        core = w if w.isalpha() else "" if w == LINE else w.strip(_EDGE)
+        lower = core.lower()
         kind = WORD
-        if core and core[0].isdigit() and (_NUMBER.fullmatch(core) or _JOINED.fullmatch(core)):
-            kind = NUMBER
-        elif core.lower() in UNITS and len(core) > 1:
-            kind = UNIT
-        elif len(core) > 1 and core[0].isupper() and core[1:].islower():
-            kind = NAME
-        k = self.at[w] = len(self.cores)
+        if not core:
+            kind = NONE
+        elif core[0].isdigit():
+            if _NUMBER.fullmatch(core) or _JOINED.fullmatch(core):
+                kind = NUMBER
+        elif len(core) > 1:
+            if lower in UNITS:
+                kind = UNIT
+            elif lower != core and core[0].isupper() and core[1:].islower():
+                kind = NAME
+        k = self[w] = len(self.cores)
         self.cores.append(core)
-        self.literal.append(_hash(core.lower()))
+        self.literal.append(_hash(lower))
         self.kind.append(kind)
-        self.ends.append(w[-1:] in ".!?" or w.rstrip("\"')»”’")[-1:] in ".!?:")
+        self.ends.append(w == LINE or (core is not w and w.rstrip("\"')»”’")[-1:] in (".", "!", "?", ":")))
         return k
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """The hash and the kind of each template word, and the words' cores; words of punctuation alone are left out."""
-        if len(self.at) > CACHE:
-            self.clear()
-        at = self.at
-        words = [w for line in text.split("\n") for w in (*line.split(), "\n")]
-        ids = np.fromiter((at[w] if w in at else self._new(w) for w in words), np.int64, len(words))
-        literal, kind, ends = np.array(self.literal, np.uint64)[ids], np.array(self.kind, np.int8)[ids], np.array(self.ends, bool)[ids]
-        line = np.fromiter((w == "\n" for w in words), bool, len(words))
-        starts = np.concatenate([[True], (ends | line)[:-1]]) if len(ids) else ends
-        kind = np.where((kind == NAME) & starts, WORD, kind)
-        full = np.fromiter((bool(self.cores[i]) for i in ids), bool, len(ids))
-        h = literal.copy()
+    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hash, the kind and the number of each template word; words of punctuation alone are left out."""
+        if len(self) > CACHE:
+            self.forget()
+        words = text.replace("\n", f" {LINE} ").split()
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        literal, kind, ends = np.frombuffer(self.literal, np.uint64)[ids], np.frombuffer(self.kind, np.int8)[ids], np.frombuffer(self.ends, np.int8)[ids]
+        starts = np.concatenate([[True], ends[:-1] != 0]) if len(ids) else ends != 0
+        kind[(kind == NAME) & starts] = WORD
         for k, v in _PLACE.items():
-            h[kind == k] = np.uint64(v)
-        return h[full], kind[full], [self.cores[i] for i in ids[full]]
+            literal[kind == k] = np.uint64(v)
+        full = kind != NONE
+        return literal[full], kind[full], ids[full]
 
 
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -111,25 +117,31 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return acc ^ (acc >> np.uint64(32))
 
 
-def _slots(kind: np.ndarray, cores: list[str], at: int, width: int) -> list[str]:
-    return [f"{kind[k]}{cores[k].lower()}" for k in range(at, at + width) if kind[k]]
+@lru_cache(maxsize=1)
+def _words() -> Words:
+    """One for each worker process, so that tasks share what was seen before."""
+    return Words()
+
+
+def _slots(words: Words, kind: np.ndarray, ids: np.ndarray, at: int, width: int) -> list[str]:
+    return [f"{kind[k]}{words.cores[ids[k]].lower()}" for k in range(at, at + width) if kind[k]]
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """item (its locator), item_id, windows (of the item), width, pos, hash and slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = _words()
         for b in batches:
             out = []
             for item, item_id, text in zip(b.column("item").to_pylist(), b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h, kind, cores = words.template(text)
+                h, kind, ids = words.template(text)
                 width = min(WINDOW, len(h))
                 if width:
                     hashes = window_hashes(h, width)
                     literal = [sum(kind[p : p + width] == WORD) for p in range(len(hashes))]
                     good = [p for p in range(len(hashes)) if literal[p] >= min(LITERALS, max(literal))]
-                    out += [(item, item_id, len(good), width, p, hashes[p].astype(np.int64).item(), _slots(kind, cores, p, width)) for p in good]
+                    out += [(item, item_id, len(good), width, p, hashes[p].astype(np.int64).item(), _slots(words, kind, ids, p, width)) for p in good]
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
             cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item", "item_id", "windows", "width", "pos", "hash", "slots"])
@@ -154,7 +166,7 @@ def consistent(pairs: list[tuple[int, list[str], list[str]]]) -> set[int]:
 
 def _doc_matches(text: str, words: Words, known: np.ndarray, widths: list[int]) -> list[tuple[int, list[str]]]:
     """(hash, slots) of the windows of a text that the benchmark has; all windows if known is None."""
-    h, kind, cores = words.template(text)
+    h, kind, ids = words.template(text)
     out = []
     for width in widths:
         hashes = window_hashes(h, width)
@@ -163,7 +175,7 @@ def _doc_matches(text: str, words: Words, known: np.ndarray, widths: list[int])
         else:
             k = np.searchsorted(known, hashes)
             at = np.flatnonzero(known[np.minimum(k, len(known) - 1)] == hashes)
-        out += [(hashes[p].astype(np.int64).item(), _slots(kind, cores, p, width)) for p in at]
+        out += [(hashes[p].astype(np.int64).item(), _slots(words, kind, ids, p, width)) for p in at]
     return out
 
 
@@ -202,7 +214,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, known = shared.value
-            words = Words()
+            words = _words()
             for b in batches:
                 out = []
                 for loc, doc_id, text in zip(b.column("loc").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -213,7 +225,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
         return rows.mapInArrow(run, RESULT)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = _words()
         for b in batches:
             for loc, doc_id, text in zip(b.column("loc").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if found := _doc_matches(text, words, None, widths):
