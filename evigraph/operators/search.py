@@ -74,9 +74,9 @@ def hybrid_search(graph: Graph, query: str, top_k: int = 10) -> DataFrame:
 def retrieve_for_question(graph: Graph, query: str, top_k: int = 10) -> DataFrame:
     """hybrid_search, and the metric values of the first five entities found."""
     found = hybrid_search(graph, query, top_k)
-    top = found.filter(F.col("result_type") == "entity").limit(5).select(F.col("id").alias("entity_id"), "mentioned_entity", "score")
+    top = found.filter(F.col("result_type") == "entity").orderBy(F.desc("score"), "mentioned_entity", "id").limit(5).select(F.col("id").alias("entity_id"), "mentioned_entity", "score")
     values = hop(hop(top, graph.of("HAS_VALUE"), "entity_id", "value_id"), graph.of("MEASURES"), "value_id", "metric_id").join(graph["MetricValue"].select("value_id", "value", "unit"), "value_id").join(graph["Metric"].select("metric_id", F.col("name").alias("metric")), "metric_id")
-    text = F.concat_ws(" ", F.concat("metric", F.lit(":")), F.col("value").cast("string"), "unit")
+    text = F.concat_ws(" ", F.concat("metric", F.lit(":")), F.format_string("%.2f", "value"), "unit")
     return found.unionByName(values.select(F.lit("metric").alias("result_type"), F.col("value_id").alias("id"), text.alias("text"), "mentioned_entity", "score"))
 
 

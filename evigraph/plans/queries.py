@@ -77,7 +77,15 @@ graph_query("profile_evidence", lambda g: read.profile_evidence(g, C), f"SELECT
 graph_query("profile_metrics", lambda g: read.profile_metrics(g, C), f"SELECT DISTINCT m.name AS metric, v.value, v.unit, v.period FROM {_VALUED} WHERE n.entity_id = '{START}'")
 graph_query("profile_related", lambda g: read.profile_related(g, C), f"SELECT entity_id, canonical_name, entity_type FROM entities WHERE entity_id <> '{START}' AND entity_id IN (SELECT target_id FROM edges WHERE source_id = '{START}' UNION ALL SELECT source_id FROM edges WHERE target_id = '{START}')")
 graph_query("profile_reports", lambda g: read.profile_reports(g, C), f"SELECT report_id, title, date FROM reports WHERE report_id IN (SELECT target_id FROM edges WHERE type = 'SOURCED_FROM' AND source_id = '{START}')")
-graph_query("entity_profile", lambda g: read.entity_profile(g, C).select("entity_id", *[F.size(c).alias(c) for c in ("claims", "evidence", "metrics", "related_entities", "reports")]))
+graph_query(
+    "entity_profile",
+    lambda g: read.entity_profile(g, C).select("entity_id", *[F.size(c).alias(c) for c in ("claims", "evidence", "metrics", "related_entities", "reports")]),
+    f"""SELECT '{START}' AS entity_id, CAST((SELECT count(*) FROM ({_TO_START})) AS INTEGER) AS claims,
+      CAST((SELECT count(DISTINCT target_id) FROM edges WHERE type = 'SUPPORTED_BY' AND source_id IN ({_TO_START})) AS INTEGER) AS evidence,
+      CAST((SELECT count(*) FROM (SELECT DISTINCT m.name, v.value, v.unit, v.period FROM {_VALUED} WHERE n.entity_id = '{START}')) AS INTEGER) AS metrics,
+      CAST((SELECT count(*) FROM entities WHERE entity_id <> '{START}' AND entity_id IN (SELECT target_id FROM edges WHERE source_id = '{START}' UNION ALL SELECT source_id FROM edges WHERE target_id = '{START}')) AS INTEGER) AS related_entities,
+      CAST((SELECT count(DISTINCT target_id) FROM edges WHERE type = 'SOURCED_FROM' AND source_id = '{START}') AS INTEGER) AS reports""",
+)
 graph_query(
     "cross_report_entity",
     lambda g: read.cross_report_entity(g, C),
@@ -125,16 +133,22 @@ def scored(rows: DataFrame) -> DataFrame:
 _ENT_TEXT = "concat_ws(' ', name, canonical_name, description)"
 graph_query("find_entities_fts", lambda g: scored(search.find_entities(g, "small")).select("entity_id", "canonical_name", "score"), _bm25_sql("entities", "entity_id", "entity_id, canonical_name", _ENT_TEXT, "small", 50) + " SELECT entity_id, canonical_name, round(score, 6) AS score FROM ranked")
 graph_query("find_claims_fts", lambda g: scored(search.find_claims(g, "urgent", 100)).select("claim_id", "text", "score"), _bm25_sql("claims", "claim_id", "claim_id, text", "text", "urgent", 100) + " SELECT claim_id, text, round(score, 6) AS score FROM ranked")
-graph_query(
-    "hybrid_search",
-    lambda g: scored(search.hybrid_search(g, "small", 30)),
+_HYBRID = (
     _bm25_sql("entities", "entity_id", "entity_id, canonical_name", _ENT_TEXT, "small", 30)
-    + f""" SELECT result_type, id, text, mentioned_entity, round(score, 6) AS score FROM (
-      SELECT 0 AS k, 'entity' AS result_type, entity_id AS id, canonical_name AS text, canonical_name AS mentioned_entity, score FROM ranked
-      UNION ALL SELECT 1, 'claim', c.claim_id, c.text, r.canonical_name, score FROM ranked r JOIN edges e ON e.target_id = r.entity_id AND {_ABOUT} JOIN claims c ON c.claim_id = e.source_id)
-    ORDER BY k, score DESC, mentioned_entity, id LIMIT 30""",
+    + f""", hybrid AS (SELECT * EXCLUDE (k) FROM (
+      SELECT 0 AS k, 'entity' AS result_type, entity_id AS id, canonical_name AS text, canonical_name AS mentioned_entity, round(score, 6) AS score FROM ranked
+      UNION ALL SELECT 1, 'claim', c.claim_id, c.text, r.canonical_name, round(score, 6) FROM ranked r JOIN edges e ON e.target_id = r.entity_id AND {_ABOUT} JOIN claims c ON c.claim_id = e.source_id)
+    ORDER BY k, score DESC, mentioned_entity, id LIMIT 30)"""
+)
+graph_query("hybrid_search", lambda g: scored(search.hybrid_search(g, "small", 30)), _HYBRID + " SELECT * FROM hybrid")
+graph_query(
+    "retrieve_for_question",
+    lambda g: scored(search.retrieve_for_question(g, "small", 30)),
+    _HYBRID
+    + f""", top AS (SELECT * FROM hybrid WHERE result_type = 'entity' ORDER BY score DESC, mentioned_entity, id LIMIT 5)
+    SELECT * FROM hybrid UNION ALL SELECT 'metric', v.value_id, m.name || ': ' || printf('%.2f', v.value) || ' ' || v.unit, t.mentioned_entity, t.score
+    FROM {_VALUED} JOIN top t ON n.entity_id = t.id""",
 )
-graph_query("retrieve_for_question", lambda g: scored(search.retrieve_for_question(g, "small", 30)))
 graph_query("subgraph_for_question", lambda g: search.subgraph_for_question(g, C, 1), f"--cte {_WALK} SELECT id, label, distance FROM labelled WHERE distance < 2")
 
 # analytics
