@@ -9,11 +9,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: The white space of the word rules: space and the ASCII controls tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of keys and numbers (8 to 100 bytes each) that are broadcast at most, by a count made before.
@@ -46,6 +51,25 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+_remembered: dict = {}
+
+
+def sole(key: object, make: Callable[[], T]) -> T:
+    """What make() gives, remembered by this worker process until another key is asked for: workers
+    live through many operators, and only the running one's cache may stay."""
+    if key not in _remembered:
+        _remembered.clear()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that what a task makes of one batch of long texts stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """`name`, with underscores behind it until no column has it."""
     taken = {c.lower() for c in columns}

@@ -8,15 +8,16 @@ enumerate subsets of fixed size: for sizes s <= t that can link, the subsets of
 ov(s, t), keyed with (s, t). Sharing a key with a set of size s *is* a link, so each
 key's sets are tied to one of them and no pair is looked at.
 
-Larger sets scan inverted lists. Their shingles are ordered by a hash first, and a
-set posts its first n - ceil(0.8 n) + l of them, l = ceil(n / 20): two sets that
-link share l of these. Shingles posted once are dropped, and so are sets with too few
-left: most documents resemble nothing and go no further. The remaining sets are
-posted anew in order of exact frequency, in which a set's unique shingles come first
-and use up its prefix. A posting list is not expanded into pairs: first each list is
-tied to its member with the fewest unique shingles, these pairs are verified, and
-components are formed; then only members of a list outside its main component meet
-the list's members of other components, under the size, position and overlap bounds.
+Larger sets scan inverted lists, in an order of shingles by hash first: a set posts its
+first n - ceil(0.8 n) + l shingles, and two sets that link share l of these. Shingles
+posted once are dropped, and so are sets with too few left. This is done with l = n / 20
+for all sets, then with l = 3 n / 10 for what remains; most documents resemble nothing
+and go no further. The last sets are posted in order of exact frequency, in which a set's
+unique shingles come first and use up its prefix. A posting list is not expanded into
+pairs: first each list is tied to its member with the fewest unique shingles, these pairs
+are verified, and components are formed; then only members of a list outside its main
+component meet the list's members of other components, under the size, position and
+overlap bounds.
 Both steps are verified by exact intersection, so no link between components is lost
 and none is made up.
 
@@ -38,7 +39,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import bounded, fresh, from_files, locator, materialize, whole_text
+from evigraph.llm.common import bounded, fresh, from_files, locator, materialize, sliced, whole_text
 from evigraph.llm.components import connected_components
 
 WORDS = 5
@@ -67,21 +68,27 @@ def n_subsets(s: int) -> int:
     return sum(comb(s, overlap(a, b)) for a, b in partners(s))
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    """Postings of a set of size n in the order of hashes."""
-    return np.minimum(n, n - (4 * n + 4) // 5 + (n + 19) // 20)
+def prefix_length(n: int, share: float) -> int:
+    """Postings of a set of size n in the order of hashes: two sets that link share ceil(share * n)
+    of these, n the smaller size."""
+    return min(n, n - -(-4 * n // 5) + ceil(share * n))
 
 
 def choose_boundary(sizes: dict[int, int]) -> int:
     """The largest size up to which enumerating subsets costs no more than posting and reading the sets."""
     best, best_cost, cost = 0, 0.0, 0.0
     for s in range(1, MOST_SMALL + 1):
-        cost += sizes.get(s, 0) * (n_subsets(s) - (prefix_length(np.int64(s)) + s))
+        cost += sizes.get(s, 0) * (n_subsets(s) - (prefix_length(s, FIRST) + s))
         if cost <= best_cost:
             best, best_cost = s, cost
     return best
 
 
+#: The shares of a set's size that the two rounds of the filter ask for.
+FIRST, SECOND = 0.05, 0.3
+#: Postings that a task compares among its own at once; 16 bytes each.
+AT_ONCE = 500_000
+
 C5 = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,7 +117,7 @@ def _members(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         rid, seen = TaskContext.get().partitionId() << 40, set()
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for text in b.column("text").to_pylist():
                 s = shingles(text)
@@ -119,7 +126,7 @@ def _members(docs: DataFrame) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(cls)
-                out.append((rid, len(s), cls, s.view(np.int64) if new and len(s) <= MOST_SMALL else None, s[: prefix_length(np.int64(len(s)))].view(np.int64) if new else None))
+                out.append((rid, len(s), cls, s.view(np.int64) if new and len(s) <= MOST_SMALL else None, s[: prefix_length(len(s), FIRST)].view(np.int64) if new else None))
                 rid += 1
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -149,16 +156,97 @@ def _small_links(small: DataFrame) -> DataFrame:
     return keyed.join(hubs, "key").filter("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rid, n, set of the rows in `wanted` (rid, loc)."""
+def _sharing(postings: DataFrame, share: float) -> DataFrame:
+    """rid of the sets that may link with one of at least four fifths of their size: of their first
+    shingles, enough are posted by another set. postings: rid, n, prefix.
+
+    A task first compares the postings it has. What two of its sets share is known there, and of each
+    shingle it sends one row on, so a shingle that a third of all documents have is sent once by each
+    task. Rows of one shingle then meet in order, and the sets that posted it alone in their task hear of it."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            token, owner = np.concatenate(tokens), np.concatenate(owners)
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            alone = np.diff(np.append(first, len(token))) == 1
+            shared = np.ones(len(token), bool)
+            shared[first[alone]] = False
+            rid, k = np.unique(owner[shared], return_counts=True)
+            none = np.zeros(len(first) + len(rid), bool)
+            token = pa.array(np.concatenate([token[first], rid]), mask=np.concatenate([none[: len(first)], np.ones(len(rid), bool)]))
+            owner = pa.array(np.concatenate([owner[first], rid]), mask=np.concatenate([~alone, none[: len(rid)]]))
+            tokens.clear()
+            owners.clear()
+            return pa.RecordBatch.from_arrays([token, owner, pa.array(np.concatenate([np.ones(len(first), np.int32), k.astype(np.int32)]))], names=["token", "rid", "k"])
+
+        for b in sliced(batches, 2048):
+            prefix = b.column("prefix")
+            flat = prefix.flatten().to_numpy(zero_copy_only=False)
+            if len(flat):
+                tokens.append(flat)
+                owners.append(np.repeat(b.column("rid").to_numpy(), prefix.value_lengths().to_numpy(zero_copy_only=False)))
+                size += len(flat)
+            if size >= AT_ONCE:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of token, nulls first. The rows of the last token wait for the next batch."""
+        token, rid, k = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        known = np.zeros(0, bool)
+
+        def told(token, rid, known):
+            same = token[1:] == token[:-1]
+            met = known & (np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+            return rid[met], np.ones(int(met.sum()), np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            has = b.column("token").is_valid().to_numpy(zero_copy_only=False)
+            counted = b.filter(pa.array(~has))
+            if counted.num_rows:
+                yield pa.RecordBatch.from_arrays([counted.column("rid"), counted.column("k")], names=["rid", "k"])
+            b = b.filter(pa.array(has))
+            if not b.num_rows:
+                continue
+            token = np.concatenate([token, b.column("token").to_numpy()])
+            known = np.concatenate([known, b.column("rid").is_valid().to_numpy(zero_copy_only=False)])
+            rid = np.concatenate([rid, b.column("rid").fill_null(-1).to_numpy()])
+            cut = int(np.searchsorted(token, token[-1]))
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in told(token[:cut], rid[:cut], known[:cut])], names=["rid", "k"])
+            # of the waiting token's rows, those already met are told when it ends
+            token, rid, known = token[cut:], rid[cut:], known[cut:]
+        if len(token):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in told(token, rid, known)], names=["rid", "k"])
+
+    sent = postings.select("rid", "prefix").mapInArrow(local, "token long, rid long, k int")
+    dealt = sent.repartition(F.coalesce("token", "rid")).sortWithinPartitions("token")
+    counts = dealt.mapInArrow(meet, "rid long, k int").groupBy("rid").agg(F.sum("k").alias("k"))
+    return counts.join(postings.select("rid", "n"), "rid").filter(F.col("k") >= F.ceil(F.lit(0.8 * share) * F.col("n") - 1e-6)).select("rid")
+
+
+def _shingled(docs: DataFrame, wanted: DataFrame, share: float | None) -> DataFrame:
+    """rid, n, set of the rows in `wanted` (rid, loc); given a share, only the set's prefix, as `prefix`."""
+    name = "set" if share is None else "prefix"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
             sets = [shingles(t).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rid", "n", "set"])
+            sizes = [len(s) for s in sets]
+            if share is not None:
+                sets = [s[: prefix_length(len(s), share)] for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rid", "n", name])
 
     rows = from_files(docs, "near-input").select(locator().alias("loc"), whole_text().alias("text"))
-    return rows.join(bounded(wanted), "loc").select("rid", "text").mapInArrow(run, "rid long, n long, set array<long>")
+    return rows.join(bounded(wanted), "loc").select("rid", "text").mapInArrow(run, f"rid long, n long, {name} array<long>")
 
 
 def _links(n: Column, m: Column, shared: Column) -> Column:
@@ -186,16 +274,15 @@ def _may_link(p: str, q: str) -> Column:
 
 def _large_links(docs: DataFrame, large: DataFrame, small_links: DataFrame) -> DataFrame:
     """a, b: links that, with small_links, connect what all links connect. large: rid, loc, n, prefix."""
-    postings = large.select("rid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
-    again = materialize(postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"), "shared-tokens")
-    left = postings.join(bounded(again), "token").groupBy("rid", "n").agg(F.count("*").alias("k"))
-    # a partner may be a fifth smaller and so post by a smaller l
-    some = materialize(left.filter(F.col("k") >= F.ceil(F.col("n") / 25)).select("rid").join(large.select("rid", "loc"), "rid"), "candidates")
-    sets = materialize(_sets(docs, some), "candidate-sets")
-
-    tokens = sets.select("rid", "n", F.explode("set").alias("token"))
-    df = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
-    ranked = tokens.join(bounded(df), "token").groupBy("rid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    located = large.select("rid", "loc")
+    some = materialize(_sharing(large, FIRST).join(located, "rid"), "candidates")
+    fewer = materialize(_shingled(docs, some, SECOND), "candidate-prefixes")
+    some = materialize(_sharing(fewer, SECOND).join(some, "rid"), "candidates")
+    sets = materialize(_shingled(docs, some, None), "candidate-sets")
+
+    tokens = sets.select("rid", F.col("n").cast("int").alias("n"), F.explode("set").alias("token"))
+    df = materialize(tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1"), "frequencies")
+    ranked = tokens.join(df, "token").groupBy("rid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     ranked = ranked.withColumn("own", F.col("n") - F.size("shared"))
     posted = ranked.select("rid", "n", "own", F.posexplode("shared").alias("k", "s")).withColumn("pos", F.col("own") + F.col("k"))
     posted = posted.filter(5 * (F.col("n") - F.col("pos")) >= 4 * F.col("n")).select(F.col("s.token").alias("token"), "rid", "n", "own", "pos")
