@@ -25,7 +25,6 @@ import re
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import fresh, from_files, locator, materialize, whole_text
+from evigraph.llm.common import fresh, from_files, locator, materialize, sole, whole_text
 
 WINDOW, COVERAGE, LITERALS, BROADCAST, CACHE = 8, 0.5, 3, 1_000_000, 800_000
 
@@ -117,10 +116,9 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return acc ^ (acc >> np.uint64(32))
 
 
-@lru_cache(maxsize=1)
 def _words() -> Words:
     """One for each worker process, so that tasks share what was seen before."""
-    return Words()
+    return sole("words", Words)
 
 
 def _slots(words: Words, kind: np.ndarray, ids: np.ndarray, at: int, width: int) -> list[str]:

@@ -22,7 +22,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import materialize, narrow, whole_text
+from evigraph.llm.common import materialize, narrow, sole, whole_text
 
 SAMPLE, BITS, CACHE = 2000, 12, 500_000
 LABELLERS = ("symbols", "upper", "shouting", "repeats", "top_word", "bars", "stops", "word_length", "distinct")
@@ -89,17 +88,21 @@ def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100)
 _RUNS = re.compile(r"(.)\1+")
 
 
-@lru_cache(maxsize=CACHE)
-def shape(word: str) -> int:
-    """A number for the word's shape: letters to a or A, digits to 9, runs to one, and its rough length."""
-    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:24])
-    return zlib.crc32(f"{_RUNS.sub(r'\1', s)}{min(len(word), 24) // 4}".encode())
+class Shapes(dict):
+    """A number for each word's shape: letters to a or A, digits to 9, runs to one, and its rough length."""
+
+    def __missing__(self, word: str) -> int:
+        s = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:24])
+        if len(self) >= CACHE:
+            self.clear()
+        n = self[word] = zlib.crc32(f"{_RUNS.sub(r'\1', s)}{min(len(word), 24) // 4}".encode())
+        return n
 
 
 def features(words: list[str]) -> tuple[list[int], list[float]]:
     """Hashed counts of shapes, of pairs of shapes and of a word repeating the one before, by their square roots, of length 1."""
     mask = (1 << BITS) - 1
-    shapes = list(map(shape, words))
+    shapes = list(map(sole("shapes", Shapes).__getitem__, words))
     counts: Counter = Counter()
     for s, c in Counter(shapes).items():
         counts[s & mask] += c

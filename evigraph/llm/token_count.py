@@ -25,7 +25,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from evigraph.llm.common import narrow
+from evigraph.llm.common import narrow, sole
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -115,9 +115,8 @@ class Counter:
         return len(words), pieces, unknown, score
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str) -> Counter:
-    return Counter(load_vocabulary(path))
+    return sole(("counter", path), lambda: Counter(load_vocabulary(path)))
 
 
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long, score double"

@@ -26,14 +26,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import narrow
+from evigraph.llm.common import narrow, sole
 
 MAX_TOXIC, MAX_CLEAN, MAX_UNITS = 3000, 6000, 4096
 CACHE = 1_000_000
@@ -259,7 +258,7 @@ def score_documents(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, text's features x and score of every row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(grammar)
+        memo = sole(("memo", grammar), dict)
         for b in batches:
             if len(memo) > CACHE:
                 memo.clear()
@@ -269,11 +268,6 @@ def score_documents(docs: DataFrame, grammar: Grammar) -> DataFrame:
     return narrow(docs).mapInArrow(run, "doc_id long, score double")
 
 
-@lru_cache(maxsize=2)
-def _memo(grammar: Grammar) -> dict[str, bool]:
-    return {}
-
-
 def in_training(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves a remainder by 5; null ids don't."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
