@@ -81,15 +81,17 @@ def fresh(name: str, columns: list[str]) -> str:
 def from_files(docs: DataFrame, label: str) -> DataFrame:
     """docs itself if it is read straight from files, else a written copy of it."""
     try:
-        docs.select("_metadata.row_index").schema  # noqa: B018
+        docs.select(docs.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018
         return docs
     except AnalysisException:
         return materialize(docs, label)
 
 
-def locator() -> Column:
-    """File and row number in it: a key that repeated rows and null ids don't share."""
-    return F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+def locator(docs: DataFrame) -> Column:
+    """File and row number in it: a key that repeated rows and null ids don't share. docs is as of
+    from_files; a column of its own named _metadata is not in the way."""
+    place = docs.metadataColumn("_metadata")
+    return F.concat_ws(":", place["file_path"], place["row_index"].cast("string"))
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -144,7 +144,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item", "item_id", "windows", "width", "pos", "hash", "slots"])
 
-    rows = from_files(benchmark, "benchmark").select(locator().alias("item"), F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text"))
+    benchmark = from_files(benchmark, "benchmark")
+    rows = benchmark.select(locator(benchmark).alias("item"), F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text"))
     return rows.mapInArrow(run, "item string, item_id long, windows int, width int, pos int, hash long, slots array<string>")
 
 
@@ -183,7 +184,8 @@ RESULT = "loc string, doc_id long, item_id long, matched_windows int, item_windo
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
     """(document, item) pairs above COVERAGE: loc, doc_id, item_id, matched_windows, item_windows, coverage."""
     items = materialize(item_windows(benchmark), "benchmark-windows")
-    rows = from_files(docs, "decontaminate-input").select(locator().alias("loc"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    docs = from_files(docs, "decontaminate-input")
+    rows = docs.select(locator(docs).alias("loc"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     widths = [r["width"] for r in items.select("width").distinct().collect()]
     if not widths:
         return spark.createDataFrame([], RESULT)
@@ -246,4 +248,4 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
     docs = from_files(docs, "decontaminate-input")
     loc = fresh("loc", docs.columns)
     bad = materialize(contaminated(spark, docs, benchmark).select(F.col("loc").alias(loc)).distinct(), "contaminated")
-    return docs.select(*docs.columns, locator().alias(loc)).join(bad, loc, "left_anti").select(*docs.columns)
+    return docs.select(*docs.columns, locator(docs).alias(loc)).join(bad, loc, "left_anti").select(*docs.columns)

@@ -60,7 +60,8 @@ def run_stream(spark: SparkSession, arrivals: str, schema, state: str) -> DataFr
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and loc of every row. `digest` is a parameter for tests of collisions."""
-    rows = from_files(docs, "dedup-input").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), locator().alias("loc"))
+    docs = from_files(docs, "dedup-input")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), locator(docs).alias("loc"))
     sha = F.sha2(F.col("text").cast("binary"), 256)
     log = rows.select("doc_id", "loc", digest(F.col("text")).alias("digest"), F.unhex(sha).alias("sha"))
     arrivals = shared_dir(spark, "dedup-arrivals")
@@ -92,4 +93,4 @@ def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = from_files(docs, "dedup-input")
     loc = fresh("loc", docs.columns)
     gone = materialize(exact_dedup(spark, docs).filter("not kept").select(F.col("loc").alias(loc)), "dedup-gone")
-    return docs.select(*docs.columns, locator().alias(loc)).join(gone, loc, "left_anti").select(*docs.columns)
+    return docs.select(*docs.columns, locator(docs).alias(loc)).join(gone, loc, "left_anti").select(*docs.columns)

@@ -133,7 +133,7 @@ def _members(docs: DataFrame) -> DataFrame:
             made = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([made[0], b.column("loc"), b.column("doc_id"), *made[1:]], names=["rid", "loc", "doc_id", "n", "cls", "small", "prefix"])
 
-    rows = from_files(docs, "near-input").select(locator().alias("loc"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    rows = docs.select(locator(docs).alias("loc"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return rows.mapInArrow(run, "rid long, loc string, doc_id long, n long, cls binary, small array<long>, prefix array<long>")
 
 
@@ -245,7 +245,7 @@ def _shingled(docs: DataFrame, wanted: DataFrame, share: float | None) -> DataFr
                 sets = [s[: prefix_length(len(s), share)] for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rid", "n", name])
 
-    rows = from_files(docs, "near-input").select(locator().alias("loc"), whole_text().alias("text"))
+    rows = docs.select(locator(docs).alias("loc"), whole_text().alias("text"))
     return rows.join(bounded(wanted), "loc").select("rid", "text").mapInArrow(run, f"rid long, n long, {name} array<long>")
 
 
@@ -337,4 +337,4 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kept = found.groupBy("component").agg(F.count("*").alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "loc")).alias("k"))
     gone = found.join(kept.filter("c > 1"), "component").filter(F.col("loc") != F.col("k.loc")).select(F.col("loc").alias(loc))
     gone = materialize(gone, "near-gone")
-    return docs.select(*docs.columns, locator().alias(loc)).join(gone, loc, "left_anti").select(*docs.columns)
+    return docs.select(*docs.columns, locator(docs).alias(loc)).join(gone, loc, "left_anti").select(*docs.columns)

@@ -92,7 +92,7 @@ class Shapes(dict):
     """A number for each word's shape: letters to a or A, digits to 9, runs to one, and its rough length."""
 
     def __missing__(self, word: str) -> int:
-        s = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:24])
+        s = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
         if len(self) >= CACHE:
             self.clear()
         n = self[word] = zlib.crc32(f"{_RUNS.sub(r'\1', s)}{min(len(word), 24) // 4}".encode())

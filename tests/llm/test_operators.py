@@ -23,7 +23,7 @@ def frame(spark, rows, extra=False):
     """Documents of (doc_id, text), by hand; with columns whose names an operator might use itself."""
     df = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], DOC)
     if extra:
-        for c in ("loc", "token", "rid", "part", "shard", "score", "kept", "h", "votes", "cls", "length", "offset", "digest", "_text"):
+        for c in ("loc", "token", "rid", "part", "shard", "score", "kept", "h", "votes", "cls", "length", "offset", "digest", "_text", "_metadata"):
             df = df.withColumn(c, F.lit("x"))
     return df
 
