@@ -14,11 +14,12 @@ import gc
 import re
 import sys
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import regex
 
+from evigraph.llm.common import sole
+
 #: Cuts that a worker process remembers: so many new ones, and as many older ones.
 CACHE = 400_000
 #: Characters beyond Latin, and those whose class as white space differs between libraries.
@@ -37,10 +38,9 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each worker process, so that tasks share what was encoded before."""
-    return Encoder(path)
+    return sole(("encoder", path), lambda: Encoder(path))
 
 
 class Encoder:
@@ -54,7 +54,8 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.first, self.later = _Cuts(self.tok.model, ""), _Cuts(self.tok.model, " ")
+        self.first = _Cuts(self.tok.model, "")
+        self.later = _Cuts(self.tok.model, " ", self.first)
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are laid out for little-endian machines with 32-bit ints")
 
@@ -85,8 +86,11 @@ class _Cuts(dict):
     """The ids of cuts, made when first asked for; keys are cuts without the space before them.
     When there are CACHE new ones they become the older ones, and the ones before are forgotten."""
 
-    def __init__(self, model, before: str):
+    def __init__(self, model, before: str, first: _Cuts | None = None):
         self.tokenize, self.before, self.mapped, self.older = model.tokenize, before, before.translate(_BYTE), {}
+        self.first = self if first is None else first
+        self.marks = {c: self._piece(c) for c in _TAILS}
+        self.newline = self._piece("\n".translate(_BYTE))
 
     def turn(self) -> None:
         if len(self) > CACHE:
@@ -98,8 +102,11 @@ class _Cuts(dict):
         if ids is None:
             if cut.isalpha():
                 ids = self._piece(self.mapped + (cut if cut.isascii() else cut.encode().decode("latin-1").translate(_BYTE)))
-            elif cut[-1:] in _TAILS and cut[:-1].isalpha():
-                ids = self[cut[:-1]] + self._piece(cut[-1])  # two pieces, the first likely known
+            elif "\n" in cut and len(parts := cut.split("\n")) == len(cut.split()):
+                # single line ends between words are pieces of their own; such cuts hardly come again
+                return self[parts[0]] + b"".join([self.newline + self.first[x] for x in parts[1:]])
+            elif cut[-1:] in self.marks and cut[:-1].isalpha():
+                ids = self[cut[:-1]] + self.marks[cut[-1]]  # two pieces, the first likely known
             else:
                 ids = b"".join([self._piece(x.encode().decode("latin-1").translate(_BYTE)) for x in _PIECE.findall(self.before + cut)])
         self[cut] = ids
