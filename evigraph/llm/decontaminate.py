@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import fresh, from_files, locator, materialize, sole, whole_text
+from evigraph.llm.common import fresh, from_files, locator, materialize, sliced, sole, whole_text
 
-WINDOW, COVERAGE, LITERALS, BROADCAST, CACHE = 8, 0.5, 3, 1_000_000, 800_000
+WINDOW, COVERAGE, LITERALS, BROADCAST, CACHE = 8, 0.5, 3, 1_000_000, 400_000
 
 #: Units that become a placeholder.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs ms hz khz mhz ghz w kw mw v mv a ma j kj cal kcal b kb mb gb tb bit byte bytes px dpi rpm mph kmh usd eur gbp jpy dollar dollars euro euros cent cents percent pct degrees celsius fahrenheit hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres".split())
@@ -215,7 +215,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, known = shared.value
             words = _words()
-            for b in batches:
+            for b in sliced(batches):
                 out = []
                 for loc, doc_id, text in zip(b.column("loc").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     if found := _doc_matches(text, words, known, widths):

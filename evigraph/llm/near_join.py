@@ -87,7 +87,7 @@ def choose_boundary(sizes: dict[int, int]) -> int:
 #: The shares of a set's size that the two rounds of the filter ask for.
 FIRST, SECOND = 0.05, 0.3
 #: Postings that a task compares among its own at once; 16 bytes each.
-AT_ONCE = 500_000
+AT_ONCE = 250_000
 
 C5 = np.uint64(0x9E3779B97F4A7C15)
 

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import materialize, narrow, sole, whole_text
+from evigraph.llm.common import materialize, narrow, sliced, sole, whole_text
 
-SAMPLE, BITS, CACHE = 2000, 12, 500_000
+SAMPLE, BITS, CACHE = 2000, 12, 150_000
 LABELLERS = ("symbols", "upper", "shouting", "repeats", "top_word", "bars", "stops", "word_length", "distinct")
 _SYMBOL = re.compile(r"[$#%&*<>{}\[\]~^=\\|@_+]")
 _SHORT = 3
@@ -139,7 +139,7 @@ def _voted(docs: DataFrame) -> DataFrame:
     """A hash of the text, and the votes as a string of -, 0, +."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = [_votes(t, t.split()) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(out, pa.string())], names=["h", "votes"])
 
@@ -180,7 +180,7 @@ def fit(spark: SparkSession, docs: DataFrame) -> Scorer:
     sample = sides[0].unionByName(sides[1]).dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             at, v = list(zip(*(features(t.split()) for t in b.column("text").to_pylist()), strict=True)) or ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float64())), b.column("y")], names=["at", "v", "y"])
 
@@ -196,7 +196,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, score, posterior and votes of every document; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             cols = list(zip(*map(scorer, b.column("text").to_pylist()), strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string())], names=["doc_id", "score", "posterior", "votes"])
 
@@ -213,6 +213,6 @@ def keep_clean(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: scorer(t)[0] >= 0.5).astype(bool)
+        return pd.Series([scorer(t)[0] >= 0.5 for t in texts], dtype=bool)
 
     return docs.filter(keep(whole_text()))

@@ -25,7 +25,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from evigraph.llm.common import narrow, sole
+from evigraph.llm.common import narrow, sliced, sole
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -128,7 +128,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
-        for b in batches:
+        for b in sliced(batches):
             rows = [counter.text(t) for t in b.column("text").to_pylist()]
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64())], names=["doc_id", "n_words", "n_tokens", "n_unknown", "score"])

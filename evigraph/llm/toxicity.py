@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import narrow, sole
+from evigraph.llm.common import narrow, sliced, sole
 
 MAX_TOXIC, MAX_CLEAN, MAX_UNITS = 3000, 6000, 4096
 CACHE = 1_000_000
@@ -160,7 +160,7 @@ def _count_units(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counter() for _ in range(4)]
-        for b in batches:
+        for b in sliced(batches):
             for text, toxic, half in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
                 counts[2 * half + (not toxic)].update(_units(text))
         units = sorted(set(counts[0]) | set(counts[1]) | set(counts[2]) | set(counts[3]))
@@ -213,7 +213,7 @@ def _featured(rows: DataFrame, keep: list[str], types: str, grammars: tuple[Gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos: list[dict[str, bool]] = [{} for _ in grammars]
-        for b in batches:
+        for b in sliced(batches):
             at = pick(b)
             out = []
             for k, text in enumerate(b.column("text").to_pylist()):
@@ -259,7 +259,7 @@ def score_documents(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = sole(("memo", grammar), dict)
-        for b in batches:
+        for b in sliced(batches):
             if len(memo) > CACHE:
                 memo.clear()
             x = np.array([grammar.features(t, memo) for t in b.column("text").to_pylist()]).reshape(-1, N_FEATURES)
