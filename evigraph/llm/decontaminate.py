@@ -4,10 +4,14 @@ Every word becomes a template word: numbers, names and units become a typed
 placeholder, anything else its lower-case self without the punctuation around it.
 Windows of WINDOW template words of the benchmark are hash-joined with those of
 the documents, so a question with other numbers or names still matches. Then
-slots are checked: over the matched windows of an item in a document, each slot
-value of the item has to stand for one value in the document and the other way
-round; windows that break the majority's reading of a slot don't count. A document
-is contaminated by an item if at least COVERAGE of the item's windows remain.
+slots are checked by occurrence: matched windows with one distance between their
+places in the document and in the item belong together. Over these, each slot value
+of the item has to stand for one value in the document and the other way round;
+windows that break the majority's reading of a slot don't count. Windows within an
+item's length that fit the reading are added, so words put in or left out don't end
+an occurrence. The best occurrence counts, or all matched windows read as one if
+that is better. A document is contaminated by an item if at least COVERAGE of the
+item's windows remain.
 
 A benchmark of up to BROADCAST windows is broadcast (its size is counted first) and
 met in each task; beyond that, windows of documents are shuffled to it by hash. A
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -149,22 +154,66 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "item string, item_id long, windows int, width int, pos int, hash long, slots array<string>")
 
 
-def consistent(pairs: list[tuple[int, list[str], list[str]]]) -> set[int]:
-    """Positions of item windows whose slots agree, both ways, with the most frequent reading.
-    pairs: position in the item, the item's slots, the document's slots. Kinds agree by the hash."""
+#: A matched window: position in the document, position in the item, the item's slots, the document's.
+Pair = tuple[int, int, list[str], list[str]]
+
+
+def _reading(pairs: list[Pair]) -> tuple[dict[str, str], dict[str, str]]:
+    """The most frequent reading of the slots, from the item to the document and back."""
     there: dict[str, Counter] = defaultdict(Counter)
     back: dict[str, Counter] = defaultdict(Counter)
-    for _, a, b in pairs:
+    for _, _, a, b in pairs:
         for x, y in zip(a, b, strict=True):
             there[x][y] += 1
             back[y][x] += 1
     best = lambda c: min(c, key=lambda v: (-c[v], v))
-    to, fro = {x: best(c) for x, c in there.items()}, {y: best(c) for y, c in back.items()}
-    return {p for p, a, b in pairs if all(to[x] == y and fro[y] == x for x, y in zip(a, b, strict=True))}
-
-
-def _doc_matches(text: str, words: Words, known: np.ndarray, widths: list[int]) -> list[tuple[int, list[str]]]:
-    """(hash, slots) of the windows of a text that the benchmark has; all windows if known is None."""
+    return {x: best(c) for x, c in there.items()}, {y: best(c) for y, c in back.items()}
+
+
+def consistent(pairs: list[Pair]) -> list[Pair]:
+    """Windows whose slots agree, both ways, with the most frequent reading. Kinds agree by the hash."""
+    to, fro = _reading(pairs)
+    return [m for m in pairs if all(to[x] == y and fro[y] == x for x, y in zip(m[2], m[3], strict=True))]
+
+
+def occurrences(pairs: list[Pair], width: int) -> Iterator[list[Pair]]:
+    """The consistent windows of each occurrence of an item in a document, and of all matches read as one."""
+    pairs = sorted(pairs, key=lambda m: m[:2])
+    yield consistent(pairs)
+    by: dict[int, list[Pair]] = defaultdict(list)
+    for m in pairs:
+        by[m[0] - m[1]].append(m)
+    if len(by) == 1:
+        return
+    places = [m[0] for m in pairs]
+    reach = max(m[1] for m in pairs) + width
+    for offset, own in by.items():
+        kept = consistent(own)
+        to = {x: y for _, _, a, b in kept for x, y in zip(a, b, strict=True)}
+        fro = {y: x for x, y in to.items()}
+        have = {m[1] for m in kept}
+        near = pairs[bisect_left(places, own[0][0] - reach) : bisect_right(places, own[-1][0] + reach)]
+        for m in sorted((m for m in near if m[1] not in have), key=lambda m: abs(m[0] - m[1] - offset)):
+            more = list(zip(m[2], m[3], strict=True))
+            then, now = to | dict(more), fro | {y: x for x, y in more}
+            if all(then[x] == y == to.get(x, y) and now[y] == x == fro.get(y, x) for x, y in more):
+                to, fro = then, now
+                kept.append(m)
+        yield kept
+
+
+def best_occurrence(pairs: list[Pair], width: int, windows: int) -> int:
+    """The most windows of an item that one occurrence holds."""
+    most = 0
+    for kept in occurrences(pairs, width):
+        most = max(most, len({m[1] for m in kept}))
+        if most == windows:
+            break
+    return most
+
+
+def _doc_matches(text: str, words: Words, known: np.ndarray, widths: list[int]) -> list[tuple[int, int, list[str]]]:
+    """(hash, position, slots) of the windows of a text that the benchmark has; all windows if known is None."""
     h, kind, ids = words.template(text)
     out = []
     for width in widths:
@@ -174,7 +223,7 @@ def _doc_matches(text: str, words: Words, known: np.ndarray, widths: list[int])
         else:
             k = np.searchsorted(known, hashes)
             at = np.flatnonzero(known[np.minimum(k, len(known) - 1)] == hashes)
-        out += [(hashes[p].astype(np.int64).item(), _slots(words, kind, ids, p, width)) for p in at]
+        out += [(hashes[p].astype(np.int64).item(), int(p), _slots(words, kind, ids, p, width)) for p in at]
     return out
 
 
@@ -192,12 +241,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
     near = items.count() <= broadcast
 
     def judge(loc, doc_id, matches):
-        """matches: item, item_id, windows, pos, the item's slots, the document's."""
+        """matches: item, item_id, windows, width, pos, the item's slots, position in the document, its slots."""
         by = defaultdict(list)
-        for item, item_id, windows, pos, a, b in matches:
-            by[item, item_id, windows].append((pos, a, b))
-        for (_, item_id, windows), pairs in sorted(by.items(), key=lambda x: x[0][0]):
-            n = len(consistent(pairs))
+        for item, item_id, windows, width, pos, a, at, b in matches:
+            by[item, item_id, windows, width].append((at, pos, a, b))
+        for (_, item_id, windows, width), pairs in sorted(by.items(), key=lambda x: x[0][0]):
+            n = best_occurrence(pairs, width, windows)
             if n >= COVERAGE * windows:
                 yield loc, doc_id, item_id, n, windows, n / windows
 
@@ -209,7 +258,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
     if near:
         table = defaultdict(list)
         for r in items.collect():
-            table[r["hash"]].append((r["item"], r["item_id"], r["windows"], r["pos"], r["slots"]))
+            table[r["hash"]].append((r["item"], r["item_id"], r["windows"], r["width"], r["pos"], r["slots"]))
         shared = spark.sparkContext.broadcast((dict(table), np.sort(np.array(list(table), np.int64).view(np.uint64))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +268,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
                 out = []
                 for loc, doc_id, text in zip(b.column("loc").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     if found := _doc_matches(text, words, known, widths):
-                        out += judge(loc, doc_id, [(*m, slots) for h, slots in found for m in table[h]])
+                        out += judge(loc, doc_id, [(*m, at, slots) for h, at, slots in found for m in table[h]])
                 yield batch(out)
 
         return rows.mapInArrow(run, RESULT)
@@ -229,17 +278,17 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
         for b in batches:
             for loc, doc_id, text in zip(b.column("loc").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if found := _doc_matches(text, words, None, widths):
-                    h, slots = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([loc] * len(h)), pa.array([doc_id] * len(h), pa.int64()), pa.array(h), pa.array(slots, pa.list_(pa.string()))], names=["loc", "doc_id", "hash", "found"])
+                    h, at, slots = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([loc] * len(h)), pa.array([doc_id] * len(h), pa.int64()), pa.array(h), pa.array(at, pa.int32()), pa.array(slots, pa.list_(pa.string()))], names=["loc", "doc_id", "hash", "at", "found"])
 
     def groups(pdf):
         import pandas as pd
 
-        matches = [(r.item, r.item_id, r.windows, r.pos, list(r.slots), list(r.found)) for r in pdf.itertuples()]
+        matches = [(r.item, r.item_id, r.windows, r.width, r.pos, list(r.slots), r.at, list(r.found)) for r in pdf.itertuples()]
         doc_id = None if pd.isna(pdf["doc_id"].iloc[0]) else int(pdf["doc_id"].iloc[0])
         return batch(judge(pdf["loc"].iloc[0], doc_id, matches)).to_pandas()
 
-    joined = rows.mapInArrow(windows, "loc string, doc_id long, hash long, found array<string>").join(items, "hash")
+    joined = rows.mapInArrow(windows, "loc string, doc_id long, hash long, at int, found array<string>").join(items, "hash")
     return joined.groupBy("loc", "item").applyInPandas(groups, RESULT)
 
 

@@ -264,6 +264,27 @@ def test_reworded_numbers_and_names_are_caught(spark, broadcast):
     assert none.count() == 0 and decontaminate.contaminated(spark, frame(spark, []), spark.createDataFrame(ITEMS, "item_id long, text string"), broadcast).count() == 0
 
 
+def variants(n):
+    """The first item with other names and numbers."""
+    people = ["Zoe", "Abe", "Mia", "Leo", "Eva", "Max", "Ida", "Tim", "Una", "Kai", "Lea", "Jon"]
+    out = []
+    for k in range(n):
+        swap = {"Anna": people[k], "Ben": people[k + 1], "12": str(30 + k), "3": str(9 - k % 9), "4": str(50 + k)}
+        out.append(re.sub(r"\b(Anna|Ben|12|3|4)\b", lambda m: swap[m[0]], ITEMS[0][1]))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, 0])
+def test_variants_of_an_item_in_one_text_dont_hide_it(spark, broadcast):
+    exact, ten = ITEMS[0][1], variants(10)
+    spaced = exact.replace("each and", "each and then also")
+    rows = [(1, exact + " " + ten[0]), (2, " ".join([exact, *ten])), (3, " ".join(ten)), (4, exact), (5, " ".join([*ten, spaced])), (6, spaced)]
+    got = decontaminate.contaminated(spark, frame(spark, rows), spark.createDataFrame(ITEMS[:1], "item_id long, text string"), broadcast)
+    cover = {r["doc_id"]: r["coverage"] for r in got.collect()}
+    assert set(cover) == {1, 2, 3, 4, 5, 6}
+    assert cover[1] == cover[2] == cover[3] == cover[4] == 1.0 > cover[6]  # words put in cost their windows
+
+
 # 9
 def brute_components(rows):
     """(number of shingles, component) of each row by comparing all pairs."""
