@@ -2,6 +2,9 @@
 
 Every word becomes a template word: numbers, names and units become a typed
 placeholder, anything else its lower-case self without the punctuation around it.
+Number words are numbers, and one letter after a number may be a unit. A capitalised
+word at a sentence's start may be a name or not: windows with such words are hashed
+with all of them as words, with all as names, and with all but common ones as names.
 Windows of WINDOW template words of the benchmark are hash-joined with those of
 the documents, so a question with other numbers or names still matches. Then
 slots are checked by occurrence: matched windows with one distance between their
@@ -43,10 +46,17 @@ WINDOW, COVERAGE, LITERALS, BROADCAST, CACHE = 8, 0.5, 3, 1_000_000, 400_000
 
 #: Units that become a placeholder.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs ms hz khz mhz ghz w kw mw v mv a ma j kj cal kcal b kb mb gb tb bit byte bytes px dpi rpm mph kmh usd eur gbp jpy dollar dollars euro euros cent cents percent pct degrees celsius fahrenheit hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres".split())
+#: Number words, with the digits they stand for. "one" is often a pronoun, so it stands for any number.
+NUMBERS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+_TENS = {w: 10 * n for n, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+NUMBERS |= {w: str(n) for w, n in _TENS.items()} | {f"{w}-{d}": str(n + int(NUMBERS[d])) for w, n in _TENS.items() for d in "one two three four five six seven eight nine".split()}
+NUMBERS |= {"one": "one", "dozen": "12", "hundred": "100", "thousand": "1000", "million": "1000000", "billion": "1000000000"}
+#: Words that mostly aren't names where they begin a sentence.
+COMMON = frozenset("a an the this that these those he she it they we you his her its their our your my there here if when while after before since because as at by for from in of on to with without and but or so then what which who whom whose where why how is are was were do does did has have had can could should would each every all some any both no not find calculate compute given suppose let assume determine write show explain".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _JOINED = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)([a-z°%]+)", re.I)
 _EDGE = "\"'`.,;:!?()[]{}<>|#*&%$@~^=\\/_-…«»“”‘’—–"
-WORD, NUMBER, NAME, UNIT, NONE = 0, 1, 2, 3, 4
+WORD, NUMBER, NAME, UNIT, NONE, LETTER = 0, 1, 2, 3, 4, 5
 #: Stands for a line's end among the words.
 LINE = "\x00"
 
@@ -70,6 +80,7 @@ class Words(dict):
         self.literal = array("Q")
         self.kind = array("b")  # away from a sentence's start
         self.ends = array("b")
+        self.common = array("b")
 
     def __missing__(self, w: str) -> int:
         core = w if w.isalpha() else "" if w == LINE else w.strip(_EDGE)
@@ -80,31 +91,46 @@ class Words(dict):
         elif core[0].isdigit():
             if _NUMBER.fullmatch(core) or _JOINED.fullmatch(core):
                 kind = NUMBER
+        elif lower in NUMBERS:
+            kind = NUMBER
+        elif lower in UNITS:
+            kind = UNIT if len(core) > 1 else LETTER
         elif len(core) > 1:
-            if lower in UNITS:
-                kind = UNIT
-            elif lower != core and core[0].isupper() and core[1:].islower():
+            if lower != core and core[0].isupper() and core[1:].islower():
                 kind = NAME
         k = self[w] = len(self.cores)
         self.cores.append(core)
         self.literal.append(_hash(lower))
         self.kind.append(kind)
         self.ends.append(w == LINE or (core is not w and w.rstrip("\"')»”’")[-1:] in (".", "!", "?", ":")))
+        self.common.append(lower in COMMON)
         return k
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The hash, the kind and the number of each template word; words of punctuation alone are left out."""
+    def template(self, text: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The number of each template word, and its hashes and kinds in each variant, the first with words
+        at a sentence's start as words; words of punctuation alone are left out."""
         if len(self) > CACHE:
             self.forget()
         words = text.replace("\n", f" {LINE} ").split()
         ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         literal, kind, ends = np.frombuffer(self.literal, np.uint64)[ids], np.frombuffer(self.kind, np.int8)[ids], np.frombuffer(self.ends, np.int8)[ids]
         starts = np.concatenate([[True], ends[:-1] != 0]) if len(ids) else ends != 0
-        kind[(kind == NAME) & starts] = WORD
+        full = kind != NONE
+        literal, kind, ids = literal[full], kind[full], ids[full]
+        letters = kind == LETTER
+        kind[letters] = WORD
+        kind[1:][letters[1:] & (kind[:-1] == NUMBER)] = UNIT
+        unclear = (kind == NAME) & starts[full]
+        kind[unclear] = WORD
         for k, v in _PLACE.items():
             literal[kind == k] = np.uint64(v)
-        full = kind != NONE
-        return literal[full], kind[full], ids[full]
+        out = [(literal, kind)]
+        if unclear.any():
+            common = np.frombuffer(self.common, np.int8)[ids] != 0
+            some = unclear & ~common
+            for names in (unclear, some) if some.any() and (some != unclear).any() else (unclear,):
+                out.append((np.where(names, np.uint64(_PLACE[NAME]), literal), np.where(names, np.int8(NAME), kind)))
+        return ids, out
 
 
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -127,7 +153,21 @@ def _words() -> Words:
 
 
 def _slots(words: Words, kind: np.ndarray, ids: np.ndarray, at: int, width: int) -> list[str]:
-    return [f"{kind[k]}{words.cores[ids[k]].lower()}" for k in range(at, at + width) if kind[k]]
+    values = [(kind[k], words.cores[ids[k]].lower()) for k in range(at, at + width) if kind[k]]
+    return [f"{k}{NUMBERS.get(v, v) if k == NUMBER else v}" for k, v in values]
+
+
+def _variant_windows(variants: list[tuple[np.ndarray, np.ndarray]], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions, hashes and the words' kinds of windows, variant by variant, each different hash of a position once."""
+    seen: list[np.ndarray] = []
+    for h, kind in variants:
+        hashes = window_hashes(h, width)
+        new = np.ones(len(hashes), bool)
+        for before in seen:
+            new &= hashes != before
+        seen.append(hashes)
+        at = np.flatnonzero(new)
+        yield at, hashes[at], kind
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -138,13 +178,16 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for item, item_id, text in zip(b.column("item").to_pylist(), b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h, kind, ids = words.template(text)
-                width = min(WINDOW, len(h))
+                ids, variants = words.template(text)
+                width = min(WINDOW, len(ids))
                 if width:
-                    hashes = window_hashes(h, width)
-                    literal = [sum(kind[p : p + width] == WORD) for p in range(len(hashes))]
-                    good = [p for p in range(len(hashes)) if literal[p] >= min(LITERALS, max(literal))]
-                    out += [(item, item_id, len(good), width, p, hashes[p].astype(np.int64).item(), _slots(words, kind, ids, p, width)) for p in good]
+                    literal = [sum(variants[0][1][p : p + width] == WORD) for p in range(len(ids) - width + 1)]
+                    least = min(LITERALS, max(literal))
+                    good = sum(n >= least for n in literal)
+                    for at, hashes, kind in _variant_windows(variants, width):
+                        for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                            if sum(kind[p : p + width] == WORD) >= least:
+                                out.append((item, item_id, good, width, p, h, _slots(words, kind, ids, p, width)))
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
             cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item", "item_id", "windows", "width", "pos", "hash", "slots"])
@@ -154,16 +197,23 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "item string, item_id long, windows int, width int, pos int, hash long, slots array<string>")
 
 
+ANY = f"{NUMBER}one"
+
 #: A matched window: position in the document, position in the item, the item's slots, the document's.
 Pair = tuple[int, int, list[str], list[str]]
 
 
+def _slot_pairs(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """Values that have to stand for each other."""
+    return [(x, y) for x, y in zip(a, b, strict=True) if ANY not in (x, y)]
+
+
 def _reading(pairs: list[Pair]) -> tuple[dict[str, str], dict[str, str]]:
     """The most frequent reading of the slots, from the item to the document and back."""
     there: dict[str, Counter] = defaultdict(Counter)
     back: dict[str, Counter] = defaultdict(Counter)
     for _, _, a, b in pairs:
-        for x, y in zip(a, b, strict=True):
+        for x, y in _slot_pairs(a, b):
             there[x][y] += 1
             back[y][x] += 1
     best = lambda c: min(c, key=lambda v: (-c[v], v))
@@ -173,7 +223,7 @@ def _reading(pairs: list[Pair]) -> tuple[dict[str, str], dict[str, str]]:
 def consistent(pairs: list[Pair]) -> list[Pair]:
     """Windows whose slots agree, both ways, with the most frequent reading. Kinds agree by the hash."""
     to, fro = _reading(pairs)
-    return [m for m in pairs if all(to[x] == y and fro[y] == x for x, y in zip(m[2], m[3], strict=True))]
+    return [m for m in pairs if all(to[x] == y and fro[y] == x for x, y in _slot_pairs(m[2], m[3]))]
 
 
 def occurrences(pairs: list[Pair], width: int) -> Iterator[list[Pair]]:
@@ -189,12 +239,12 @@ def occurrences(pairs: list[Pair], width: int) -> Iterator[list[Pair]]:
     reach = max(m[1] for m in pairs) + width
     for offset, own in by.items():
         kept = consistent(own)
-        to = {x: y for _, _, a, b in kept for x, y in zip(a, b, strict=True)}
+        to = {x: y for _, _, a, b in kept for x, y in _slot_pairs(a, b)}
         fro = {y: x for x, y in to.items()}
         have = {m[1] for m in kept}
         near = pairs[bisect_left(places, own[0][0] - reach) : bisect_right(places, own[-1][0] + reach)]
         for m in sorted((m for m in near if m[1] not in have), key=lambda m: abs(m[0] - m[1] - offset)):
-            more = list(zip(m[2], m[3], strict=True))
+            more = _slot_pairs(m[2], m[3])
             then, now = to | dict(more), fro | {y: x for x, y in more}
             if all(then[x] == y == to.get(x, y) and now[y] == x == fro.get(y, x) for x, y in more):
                 to, fro = then, now
@@ -214,16 +264,15 @@ def best_occurrence(pairs: list[Pair], width: int, windows: int) -> int:
 
 def _doc_matches(text: str, words: Words, known: np.ndarray, widths: list[int]) -> list[tuple[int, int, list[str]]]:
     """(hash, position, slots) of the windows of a text that the benchmark has; all windows if known is None."""
-    h, kind, ids = words.template(text)
+    ids, variants = words.template(text)
     out = []
     for width in widths:
-        hashes = window_hashes(h, width)
-        if known is None:
-            at = range(len(hashes))
-        else:
-            k = np.searchsorted(known, hashes)
-            at = np.flatnonzero(known[np.minimum(k, len(known) - 1)] == hashes)
-        out += [(hashes[p].astype(np.int64).item(), int(p), _slots(words, kind, ids, p, width)) for p in at]
+        for at, hashes, kind in _variant_windows(variants, width):
+            if known is not None:
+                k = np.searchsorted(known, hashes)
+                met = known[np.minimum(k, len(known) - 1)] == hashes
+                at, hashes = at[met], hashes[met]
+            out += [(h, p, _slots(words, kind, ids, p, width)) for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True)]
     return out
 
 

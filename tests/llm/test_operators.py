@@ -285,6 +285,27 @@ def test_variants_of_an_item_in_one_text_dont_hide_it(spark, broadcast):
     assert cover[1] == cover[2] == cover[3] == cover[4] == 1.0 > cover[6]  # words put in cost their windows
 
 
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, 0])
+def test_names_at_starts_number_words_and_short_units_are_slots(spark, broadcast):
+    items = [
+        (0, "Anna has 3 apples. Ben has 5 apples. Tom has 2 pears. How many fruits do they have together?"),
+        (1, "Somebody cuts three pieces of 4 m each from a rope, then five more of 6 g and seven at the far end."),
+    ]
+    rows = [
+        (0, items[0][1]),
+        (1, "Zoe has 8 apples. Abe has 9 apples. Mia has 6 pears. How many fruits do they have together?"),
+        (2, "Zoe has 8 apples. Abe has 9 apples. Mia has 6 pears, how many fruits do they have together?"),
+        (3, "Anna has three apples. Ben has five apples. Tom has two pears. How many fruits do they have together?"),
+        (4, items[1][1]),
+        (5, "Somebody cuts eight pieces of 9 km each from a rope, then two more of 11 kg and six at the far end."),
+        (6, "Somebody cuts 8 pieces of 9 t each from a rope, then 2 more of 11 l and 6 at the far end."),
+    ]
+    got = decontaminate.contaminated(spark, frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), broadcast)
+    cover = {(r["doc_id"], r["item_id"]): r["coverage"] for r in got.collect()}
+    assert set(cover) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 1)}
+    assert all(c == 1.0 for c in cover.values())
+
+
 # 9
 def brute_components(rows):
     """(number of shingles, component) of each row by comparing all pairs."""
