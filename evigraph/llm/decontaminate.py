@@ -14,7 +14,8 @@ windows that break the majority's reading of a slot don't count. Windows within
 item's length that fit the reading are added, so words put in or left out don't end
 an occurrence. The best occurrence counts, or all matched windows read as one if
 that is better. A document is contaminated by an item if at least COVERAGE of the
-item's windows remain.
+item's windows remain, or if the remaining windows of one occurrence cover RUN words
+of the item in a row, whatever its length, RUN_LITERALS of them not placeholders.
 
 A benchmark of up to BROADCAST windows is broadcast (its size is counted first) and
 met in each task; beyond that, windows of documents are shuffled to it by hash. A
@@ -43,6 +44,7 @@ from pyspark.sql import functions as F
 from evigraph.llm.common import fresh, from_files, locator, materialize, sliced, sole, whole_text
 
 WINDOW, COVERAGE, LITERALS, BROADCAST, CACHE = 8, 0.5, 3, 1_000_000, 400_000
+RUN, RUN_LITERALS = 13, 7
 
 #: Units that become a placeholder.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs ms hz khz mhz ghz w kw mw v mv a ma j kj cal kcal b kb mb gb tb bit byte bytes px dpi rpm mph kmh usd eur gbp jpy dollar dollars euro euros cent cents percent pct degrees celsius fahrenheit hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres".split())
@@ -171,7 +173,8 @@ def _variant_windows(variants: list[tuple[np.ndarray, np.ndarray]], width: int)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item (its locator), item_id, windows (of the item), width, pos, hash and slots."""
+    """item (its locator), item_id, windows (of the item), width, pos, hash, slots and literal
+    (a bit for each word of the window that isn't a placeholder)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words()
@@ -186,21 +189,22 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                     good = sum(n >= least for n in literal)
                     for at, hashes, kind in _variant_windows(variants, width):
                         for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                            if sum(kind[p : p + width] == WORD) >= least:
-                                out.append((item, item_id, good, width, p, h, _slots(words, kind, ids, p, width)))
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item", "item_id", "windows", "width", "pos", "hash", "slots"])
+                            bits = sum(1 << k for k in range(width) if kind[p + k] == WORD)
+                            if bits.bit_count() >= least:
+                                out.append((item, item_id, good, width, p, h, _slots(words, kind, ids, p, width), bits))
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()]
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item", "item_id", "windows", "width", "pos", "hash", "slots", "literal"])
 
     benchmark = from_files(benchmark, "benchmark")
     rows = benchmark.select(locator(benchmark).alias("item"), F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "item string, item_id long, windows int, width int, pos int, hash long, slots array<string>")
+    return rows.mapInArrow(run, "item string, item_id long, windows int, width int, pos int, hash long, slots array<string>, literal int")
 
 
 ANY = f"{NUMBER}one"
 
-#: A matched window: position in the document, position in the item, the item's slots, the document's.
-Pair = tuple[int, int, list[str], list[str]]
+#: A matched window: position in the document, position in the item, the item's slots, the document's, bits of literal words.
+Pair = tuple[int, int, list[str], list[str], int]
 
 
 def _slot_pairs(a: list[str], b: list[str]) -> list[tuple[str, str]]:
@@ -212,7 +216,7 @@ def _reading(pairs: list[Pair]) -> tuple[dict[str, str], dict[str, str]]:
     """The most frequent reading of the slots, from the item to the document and back."""
     there: dict[str, Counter] = defaultdict(Counter)
     back: dict[str, Counter] = defaultdict(Counter)
-    for _, _, a, b in pairs:
+    for _, _, a, b, _ in pairs:
         for x, y in _slot_pairs(a, b):
             there[x][y] += 1
             back[y][x] += 1
@@ -239,7 +243,7 @@ def occurrences(pairs: list[Pair], width: int) -> Iterator[list[Pair]]:
     reach = max(m[1] for m in pairs) + width
     for offset, own in by.items():
         kept = consistent(own)
-        to = {x: y for _, _, a, b in kept for x, y in _slot_pairs(a, b)}
+        to = {x: y for _, _, a, b, _ in kept for x, y in _slot_pairs(a, b)}
         fro = {y: x for x, y in to.items()}
         have = {m[1] for m in kept}
         near = pairs[bisect_left(places, own[0][0] - reach) : bisect_right(places, own[-1][0] + reach)]
@@ -252,14 +256,30 @@ def occurrences(pairs: list[Pair], width: int) -> Iterator[list[Pair]]:
         yield kept
 
 
-def best_occurrence(pairs: list[Pair], width: int, windows: int) -> int:
-    """The most windows of an item that one occurrence holds."""
-    most = 0
+def has_run(kept: list[Pair], width: int) -> bool:
+    """Whether windows that lie alike in item and document cover a run of RUN words, RUN_LITERALS of them literal."""
+    cover: dict[int, int] = defaultdict(int)
+    literal: dict[int, int] = defaultdict(int)
+    for at, p, _, _, bits in kept:
+        cover[at - p] |= (1 << width) - 1 << p
+        literal[at - p] |= bits << p
+    for offset, words in cover.items():
+        for run in re.finditer("1+", f"{words:b}"[::-1]):
+            length = run.end() - run.start()
+            if length >= RUN and (literal[offset] >> run.start() & (1 << length) - 1).bit_count() >= RUN_LITERALS:
+                return True
+    return False
+
+
+def best_occurrence(pairs: list[Pair], width: int, windows: int) -> tuple[int, bool]:
+    """The most windows of an item that one occurrence holds, and whether one has a run."""
+    most, run = 0, False
     for kept in occurrences(pairs, width):
         most = max(most, len({m[1] for m in kept}))
         if most == windows:
             break
-    return most
+        run = run or has_run(kept, width)
+    return most, run
 
 
 def _doc_matches(text: str, words: Words, known: np.ndarray, widths: list[int]) -> list[tuple[int, int, list[str]]]:
@@ -280,7 +300,7 @@ RESULT = "loc string, doc_id long, item_id long, matched_windows int, item_windo
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
-    """(document, item) pairs above COVERAGE: loc, doc_id, item_id, matched_windows, item_windows, coverage."""
+    """(document, item) pairs above COVERAGE or with a run: loc, doc_id, item_id, matched_windows, item_windows, coverage."""
     items = materialize(item_windows(benchmark), "benchmark-windows")
     docs = from_files(docs, "decontaminate-input")
     rows = docs.select(locator(docs).alias("loc"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -290,13 +310,13 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
     near = items.count() <= broadcast
 
     def judge(loc, doc_id, matches):
-        """matches: item, item_id, windows, width, pos, the item's slots, position in the document, its slots."""
+        """matches: item, item_id, windows, width, pos, the item's slots, its literal words, position in the document, its slots."""
         by = defaultdict(list)
-        for item, item_id, windows, width, pos, a, at, b in matches:
-            by[item, item_id, windows, width].append((at, pos, a, b))
+        for item, item_id, windows, width, pos, a, bits, at, b in matches:
+            by[item, item_id, windows, width].append((at, pos, a, b, bits))
         for (_, item_id, windows, width), pairs in sorted(by.items(), key=lambda x: x[0][0]):
-            n = best_occurrence(pairs, width, windows)
-            if n >= COVERAGE * windows:
+            n, run = best_occurrence(pairs, width, windows)
+            if run or n >= COVERAGE * windows:
                 yield loc, doc_id, item_id, n, windows, n / windows
 
     def batch(out):
@@ -307,7 +327,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
     if near:
         table = defaultdict(list)
         for r in items.collect():
-            table[r["hash"]].append((r["item"], r["item_id"], r["windows"], r["width"], r["pos"], r["slots"]))
+            table[r["hash"]].append((r["item"], r["item_id"], r["windows"], r["width"], r["pos"], r["slots"], r["literal"]))
         shared = spark.sparkContext.broadcast((dict(table), np.sort(np.array(list(table), np.int64).view(np.uint64))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +353,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
     def groups(pdf):
         import pandas as pd
 
-        matches = [(r.item, r.item_id, r.windows, r.width, r.pos, list(r.slots), r.at, list(r.found)) for r in pdf.itertuples()]
+        matches = [(r.item, r.item_id, r.windows, r.width, r.pos, list(r.slots), r.literal, r.at, list(r.found)) for r in pdf.itertuples()]
         doc_id = None if pd.isna(pdf["doc_id"].iloc[0]) else int(pdf["doc_id"].iloc[0])
         return batch(judge(pdf["loc"].iloc[0], doc_id, matches)).to_pandas()
 

@@ -306,6 +306,26 @@ def test_names_at_starts_number_words_and_short_units_are_slots(spark, broadcast
     assert all(c == 1.0 for c in cover.values())
 
 
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, 0])
+def test_a_run_of_a_long_item_is_enough(spark, broadcast):
+    letters = [w + c for c in "abc" for w in WORDS]
+    item = letters[:57]
+    named = [*letters[:20], "Anna", "5", *letters[20:55]]
+    other = ["Zoe" if w == "Anna" else "9" if w == "5" else w for w in named]
+    items = [(0, " ".join(item)), (1, " ".join(w[::-1] if w != "Anna" else w for w in named))]
+    back = [w[::-1] if w != "Zoe" else w for w in other]
+    rows = [
+        (0, "xx yy " + " ".join(item[10:35]) + " zz"),
+        (1, "xx yy " + " ".join(item[10:23]) + " zz"),
+        (2, "xx yy " + " ".join(item[10:22]) + " zz"),
+        (3, " ".join(item[:10]) + " xx " + " ".join(item[20:30])),
+        (4, "xx yy " + " ".join(back[12:30]) + " zz"),
+    ]
+    got = decontaminate.contaminated(spark, frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), broadcast)
+    found = {(r["doc_id"], r["item_id"]): r["matched_windows"] for r in got.collect()}
+    assert found == {(0, 0): 18, (1, 0): 6, (4, 1): 11}
+
+
 # 9
 def brute_components(rows):
     """(number of shingles, component) of each row by comparing all pairs."""
