@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.operators.read import CLAIM, clamp, hop
@@ -20,9 +20,9 @@ def query_terms(query: str) -> list[str]:
     return [t for t in re.split(r"[^\w]|_", query.lower()) if t]
 
 
-def bm25(rows: DataFrame, fields: list[str], query: str, limit: int) -> DataFrame:
+def bm25(rows: DataFrame, fields: list[str], query: str, limit: int, where: Column | None = None) -> DataFrame:
     """The rows of which every term begins some token, with `score`, the best first; ties by the first column.
-    A term's frequency is over all fields together; lengths and counts are of all rows. One scan counts
+    A term's frequency is over all fields together; lengths and counts are of all rows, ranked are those of `where`. One scan counts
     (a row of numbers reaches the driver), one scan scores; the ranking is a top-k, not a sort."""
     terms = query_terms(query)
     if not terms:
@@ -41,7 +41,7 @@ def bm25(rows: DataFrame, fields: list[str], query: str, limit: int) -> DataFram
         idf = max(math.log((n - df[k] + 0.5) / (df[k] + 0.5)), LEAST_IDF)
         tf = F.col(f"_tf{k}")
         score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.lit(mean or 1.0)))
-    match = F.lit(True)
+    match = F.lit(True) if where is None else where
     for k in range(len(terms)):
         match = match & (F.col(f"_tf{k}") > 0)
     out = with_tf.filter(match).withColumn("score", score).select(*rows.columns, "score")
@@ -50,10 +50,8 @@ def bm25(rows: DataFrame, fields: list[str], query: str, limit: int) -> DataFram
 
 def find_entities(graph: Graph, query: str, entity_type: str | None = None, limit: int = 50) -> DataFrame:
     rows = graph["Entity"].select("entity_id", "canonical_name", "entity_type", "name", "description")
-    if entity_type is None:
-        return bm25(rows, ["name", "canonical_name", "description"], query, limit)
-    ranked = bm25(rows, ["name", "canonical_name", "description"], query, 1000)
-    return ranked.filter(F.col("entity_type") == entity_type).orderBy(F.desc("score"), "entity_id").limit(clamp(limit, 1, 1000))
+    of_type = None if entity_type is None else F.col("entity_type") == entity_type
+    return bm25(rows, ["name", "canonical_name", "description"], query, limit, of_type)
 
 
 def find_claims(graph: Graph, query: str, limit: int = 50) -> DataFrame:

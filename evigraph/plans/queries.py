@@ -132,6 +132,7 @@ def scored(rows: DataFrame) -> DataFrame:
 
 _ENT_TEXT = "concat_ws(' ', name, canonical_name, description)"
 graph_query("find_entities_fts", lambda g: scored(search.find_entities(g, "small")).select("entity_id", "canonical_name", "score"), _bm25_sql("entities", "entity_id", "entity_id, canonical_name", _ENT_TEXT, "small", 50) + " SELECT entity_id, canonical_name, round(score, 6) AS score FROM ranked")
+graph_query("find_entities_fts_by_type", lambda g: scored(search.find_entities(g, "0000", "SUPPLIER")).select("entity_id", "canonical_name", "score"), _bm25_sql("entities", "entity_id", "entity_id, canonical_name, entity_type", _ENT_TEXT, "0000", 50, "AND entity_type = 'SUPPLIER'") + " SELECT entity_id, canonical_name, round(score, 6) AS score FROM ranked")
 graph_query("find_claims_fts", lambda g: scored(search.find_claims(g, "urgent", 100)).select("claim_id", "text", "score"), _bm25_sql("claims", "claim_id", "claim_id, text", "text", "urgent", 100) + " SELECT claim_id, text, round(score, 6) AS score FROM ranked")
 _HYBRID = (
     _bm25_sql("entities", "entity_id", "entity_id, canonical_name", _ENT_TEXT, "small", 30)

@@ -79,6 +79,13 @@ def test_search_needs_every_term_and_ranks(spark):
     assert search.find_entities(g, "").count() == 0
 
 
+def test_typed_search_isnt_cut_by_other_types(spark):
+    g = graph(spark, [(f"Acme {k}", "ORG") for k in range(1100)] + [(f"Acme and a name of more words {k}", "PLACE") for k in range(3)] + [(f"Else {k}", "ORG") for k in range(1200)], [])
+    got = [r["canonical_name"] for r in search.find_entities(g, "acme", "PLACE").collect()]
+    assert sorted(got) == [f"Acme and a name of more words {k}" for k in range(3)]
+    assert search.find_entities(g, "acme", "PLACE", 2).count() == 2
+
+
 def test_profile_and_trend(spark):
     edges = [("clm:1", "ent:ORG:A", "ABOUT"), ("clm:1", "ent:ORG:B", "MENTIONS"), ("clm:1", "span:1", "SUPPORTED_BY"), ("ent:ORG:A", "rep:1", "SOURCED_FROM")]
     values = [("v1", 1.0, "USD", None, None), ("v2", 3.0, "USD", "2024", None), ("v3", None, "USD", "2025", None)]
