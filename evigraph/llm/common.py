@@ -12,7 +12,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +23,21 @@ T = TypeVar("T")
 
 #: The white space of the word rules: space and the ASCII controls tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of keys and numbers (8 to 100 bytes each) that are broadcast at most, by a count made before.
-BROADCAST = 1_500_000
+#: Bytes that are broadcast at most, by a sum made before: of a row, its strings and ROW_BYTES for numbers and the hash table.
+BROADCAST, ROW_BYTES = 64 << 20, 128
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, is a temporary folder set.
+    Only in local mode, where a session may name none, is a temporary folder set.
     """
     base = spark.sparkContext.getCheckpointDir()
     if base is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = base or tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
     return f"{base}/{label}-{uuid.uuid4().hex}"
@@ -63,11 +68,24 @@ def sole(key: object, make: Callable[[], T]) -> T:
     return _remembered[key]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of fewer rows, so that what a task makes of one batch of long texts stays small."""
+def forget() -> None:
+    """Frees what sole() remembers, in operators that need none of it."""
+    _remembered.clear()
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows and, by the column text, so many bytes at most (or one row), so that what a
+    task makes of one batch of long texts stays small."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        at = 0
+        ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64) if "text" in b.schema.names else None
+        while at < b.num_rows:
+            stop = min(at + rows, b.num_rows)
+            if ends is not None:
+                room = size + (int(ends[at - 1]) if at else 0)
+                stop = min(stop, max(at + 1, int(np.searchsorted(ends, room, side="right"))))
+            yield b.slice(at, stop - at)
+            at = stop
 
 
 def fresh(name: str, columns: list[str]) -> str:
@@ -94,9 +112,16 @@ def locator(docs: DataFrame) -> Column:
     return F.concat_ws(":", place["file_path"], place["row_index"].cast("string"))
 
 
+def few(df: DataFrame, most: int | None = None) -> bool:
+    """Whether df's rows take no more than `most` bytes (BROADCAST, if not given), counted now."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    row = sum(texts, F.lit(ROW_BYTES))
+    return (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= (BROADCAST if most is None else most)
+
+
 def bounded(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its rows, counted now, are few enough; else df, to be joined by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+    """df with a broadcast hint if it is small enough, else df, to be joined by shuffle. The rows are the same."""
+    return F.broadcast(df) if few(df) else df
 
 
 def narrow(docs: DataFrame) -> DataFrame:
