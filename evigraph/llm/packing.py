@@ -13,8 +13,9 @@ slot by arithmetic. A rank is the number a task gave the piece among its own of
 class, plus what the tasks before hold: counts by task and class. So no class, however
 common, is gathered in one task; only the pieces of one sequence meet, for offsets.
 
-Defined results: null or empty text is a document of the end id alone; null ids stay
-null; repeated rows are packed each; an empty table gives no rows; other columns are
+Defined results: null or empty text is a document of the end id alone; a very long text
+is as many pieces as it needs; null ids stay null; repeated rows are packed each, and
+which of them gets which place is open; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm import tokens
-from evigraph.llm.common import bounded, materialize, narrow
+from evigraph.llm.common import bounded, materialize, narrow, sliced
 
 CAPACITY, GRAIN, TOLERANCE, ROUNDS = 2048, 8, 1e-3, 4000
 
@@ -120,20 +121,19 @@ def _pieces(docs: DataFrame, path: str, end: int, capacity: int, grain: int, wit
 
         part, seen = TaskContext.get().partitionId(), {}
         encoder = tokens.encoder(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                cut, out = b.slice(at, 512), []
-                for doc_id, ids in zip(cut.column("doc_id").to_pylist(), encoder.encode(cut.column("text").to_pylist()), strict=True):
-                    ids += tail
-                    n = len(ids) // 4
-                    for start in range(0, n, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        length = len(piece) // 4
-                        cls = -(-length // grain)
-                        local = seen[cls] = seen.get(cls, -1) + 1
-                        out.append((doc_id, start, length, zlib.crc32(piece), n, cls, part, local, piece)[: len(fields)])
-                cols = list(zip(*out, strict=True)) or [()] * len(fields)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f[2]) for c, f in zip(cols, fields, strict=True)], names=[f[0] for f in fields])
+        for b in sliced(batches):
+            out = []
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist()), strict=True):
+                ids += tail
+                n = len(ids) // 4
+                for start in range(0, n, capacity):
+                    piece = ids[4 * start : 4 * (start + capacity)]
+                    length = len(piece) // 4
+                    cls = -(-length // grain)
+                    local = seen[cls] = seen.get(cls, -1) + 1
+                    out.append((doc_id, start, length, zlib.crc32(piece), n, cls, part, local, piece)[: len(fields)])
+            cols = list(zip(*out, strict=True)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f[2]) for c, f in zip(cols, fields, strict=True)], names=[f[0] for f in fields])
 
     return narrow(docs).mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in fields))
 

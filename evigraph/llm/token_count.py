@@ -12,8 +12,9 @@ Words are what str.split() gives, each with the word mark in front, and pieces
 never cross words, so each distinct word is searched once and remembered in a
 cache of bounded size.
 
-Defined results: null or empty text 0 words and 0 tokens; a null id stays null;
-repeated rows give repeated results; other columns are ignored.
+Defined results: null or empty text 0 words and 0 tokens; a very long text is counted
+whole; a null id stays null; repeated rows give repeated results; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from evigraph.llm.common import narrow, sliced, sole
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 1_000_000
+CACHE = 300_000
 
 
 def default_vocabulary() -> str:

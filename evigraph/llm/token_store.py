@@ -10,8 +10,9 @@ one block's index and one frame. The dictionary is a table beside the blocks.
 Spark deals documents by ranges of (doc_id, digest of the text), so neither a hot
 id nor repeated rows meet in one task unless they are the same row over and over.
 
-Defined results: null or empty text is the end id alone; null ids come first;
-repeated rows are stored each; an empty table gives an empty store.
+Defined results: null or empty text is the end id alone; a very long text is one frame,
+as any; null ids come first; repeated rows are stored each, those of one id by a hash of
+their text; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import tokens
-from evigraph.llm.common import narrow, shared_dir
+from evigraph.llm.common import from_files, locator, narrow, shared_dir, sliced, whole_text
 
 #: The dictionary is fitted on so many documents, those of the smallest hash, and has at most so many bytes.
 SAMPLE_DOCS, DICTIONARY_BYTES = 400, 1 << 16
+#: Bytes that the encoder's cache holds of new words here.
+CACHE = 64 << 20
 #: A block is closed at so many bytes of ids or so many documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 1024
 BLOCKS = "part int, block int, block_start long, n_tokens long, min_id long, max_id long, dictionary string, width int, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary"
@@ -37,19 +40,21 @@ BLOCKS = "part int, block int, block_start long, n_tokens long, min_id long, max
 
 def _ids(texts: list[str], path: str, end: int, width: int) -> list[bytes]:
     tail = np.array([end], "<u4").tobytes()
-    whole = [x + tail for x in tokens.encoder(path).encode(texts)]
+    whole = [x + tail for x in tokens.encoder(path, CACHE).encode(texts)]
     return whole if width == 4 else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in whole]
 
 
 def train_dictionary(docs: DataFrame, path: str, end: int, width: int) -> bytes:
+    """Fitted on SAMPLE_DOCS rows, chosen by id and locator, so that only their texts are moved. docs is as of from_files."""
     import zstandard
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_ids(b.column("text").to_pylist(), path, end, width), pa.binary())], names=["ids"])
 
-    sample = narrow(docs).orderBy(F.xxhash64("doc_id"), F.length("text")).limit(SAMPLE_DOCS)
-    ids = [bytes(r[0]) for r in sample.mapInArrow(run, "ids binary").collect()]
+    chosen = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), locator(docs).alias("loc")).orderBy("h", "loc").limit(SAMPLE_DOCS).select("loc")
+    sample = docs.select(locator(docs).alias("loc"), whole_text().alias("text")).join(F.broadcast(chosen), "loc").select("text")
+    ids = sorted(bytes(r[0]) for r in sample.mapInArrow(run, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()
     except zstandard.ZstdError:  # too little to learn from
@@ -66,6 +71,7 @@ def _codec(dictionary: bytes):
 def write_store(docs: DataFrame, store: str, *, tokenizer: str | None = None, end: int = 0, width: int = 2) -> None:
     """Encode and write; width is the bytes of an id, 2 for vocabularies of up to 65,536."""
     path = tokenizer or tokens.default_path()
+    docs = from_files(docs, "store-input")
     dictionary = train_dictionary(docs, path, end, width)
     digest = hashlib.sha256(dictionary).hexdigest()
     docs.sparkSession.createDataFrame([(digest, bytearray(dictionary))], "hash string, bytes binary").coalesce(1).write.parquet(f"{store}/dictionary")
@@ -89,14 +95,12 @@ def write_store(docs: DataFrame, store: str, *, tokenizer: str | None = None, en
             block, before, open_, size = block + 1, before + n, [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
 
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                cut = b.slice(at, 256)
-                for doc_id, ids in zip(cut.column("doc_id").to_pylist(), _ids(cut.column("text").to_pylist(), path, end, width), strict=True):
-                    open_.append((doc_id, len(ids) // width, pack.compress(ids)))
-                    size += len(ids)
-                    if size >= BLOCK_BYTES or len(open_) >= BLOCK_DOCS:
-                        yield close()
+        for b in sliced(batches, 256):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), _ids(b.column("text").to_pylist(), path, end, width), strict=True):
+                open_.append((doc_id, len(ids) // width, pack.compress(ids)))
+                size += len(ids)
+                if size >= BLOCK_BYTES or len(open_) >= BLOCK_DOCS:
+                    yield close()
         if open_:
             yield close()
 
