@@ -4,15 +4,17 @@ Nine heuristic labellers each say clean (1), junk (-1) or nothing (0) of a text.
 Their accuracies are estimated by expectation-maximisation over the counts of vote
 patterns, of all documents; there are at most 3^9 patterns, so counts suffice and
 the driver holds only those. The posterior of a document's pattern is its label,
-and a linear scorer over hashed features of word shapes is trained on a bounded
-sample of documents with these labels: at most SAMPLE of the likely clean and of
-the likely junk, those of the smallest hash. Every document's score is the mean of
-the scorer's probability and the label model's: of a text of a few words the shapes say
-little, and of a long one the scorer sees more than the labellers' thresholds.
+and a linear scorer over hashed features (word shapes, their pairs, and the votes
+themselves) is trained on a bounded sample of documents with these labels: at most
+SAMPLE of the likely clean and of the likely junk, those of the smallest hash of
+their text, equal texts once. A document's score is the scorer's probability; the
+posterior of its votes is a further column.
 
 Defined results: null or empty text has score 0 and isn't kept; null ids and
-repeated rows are scored like any; an empty table gives no rows; if all documents
-look alike, the posterior itself is the score; other columns are ignored.
+repeated rows are scored like any, equal texts alike; a very long text is voted on
+and scored whole; of two texts with one hash the smaller is in the sample; an empty
+table gives no rows; if there are too few likely clean or likely junk documents to
+learn from, the posterior itself is the score; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +26,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm.common import materialize, narrow, sliced, sole, whole_text
 
-SAMPLE, BITS, CACHE = 2000, 12, 150_000
+SAMPLE, BITS, CACHE = 2000, 12, 100_000
+#: The share of distinct words is taken in blocks of so many words, since over a whole text it falls with its length.
+BLOCK, DISTINCT = 100, (0.5, 0.3)
+#: The weight of a vote among a text's features, whose shapes have length 1 together.
+VOTE = 0.3
 LABELLERS = ("symbols", "upper", "shouting", "repeats", "top_word", "bars", "stops", "word_length", "distinct")
 _SYMBOL = re.compile(r"[$#%&*<>{}\[\]~^=\\|@_+]")
 _SHORT = 3
@@ -44,6 +49,12 @@ def _three(value: float, clean: float, junk: float) -> int:
     return 1 if value >= clean else -1 if value <= junk else 0
 
 
+def distinct_share(words: list[str]) -> float:
+    """The mean share of distinct words in a block; a last block of under half a block counts with the one before."""
+    cuts = list(range(0, max(1, len(words) - BLOCK // 2), BLOCK)) + [len(words)]
+    return sum(len(set(words[a:b])) / (b - a) for a, b in zip(cuts, cuts[1:], strict=False)) / (len(cuts) - 1)
+
+
 def votes(text: str, words: list[str]) -> tuple[int, ...]:
     n, chars = len(words), max(1, len(text))
     if not n:
@@ -61,7 +72,7 @@ def votes(text: str, words: list[str]) -> tuple[int, ...]:
         _three(counts["|"] / n, 0.05, 0.2),
         _three(sum(1 for w in words if len(w) <= _SHORT) / n, 0.12, 0.03) if n >= 15 else 0,
         _three(sum(map(len, words)) / n, 10.5, 14.0) if n >= 5 else 0,
-        _three(len(counts) / n, 0.25, 0.12) if 20 <= n <= 2000 else 0,
+        _three(distinct_share(words), DISTINCT[0], DISTINCT[1]) if n >= 20 else 0,
     )
 
 
@@ -99,8 +110,9 @@ class Shapes(dict):
         return n
 
 
-def features(words: list[str]) -> tuple[list[int], list[float]]:
-    """Hashed counts of shapes, of pairs of shapes and of a word repeating the one before, by their square roots, of length 1."""
+def features(words: list[str], voted: str) -> tuple[list[int], list[float]]:
+    """Hashed counts of shapes, of pairs of shapes and of a word repeating the one before, by their square
+    roots, of length 1; and the votes, each in a place of its own after the hashed ones."""
     mask = (1 << BITS) - 1
     shapes = list(map(sole("shapes", Shapes).__getitem__, words))
     counts: Counter = Counter()
@@ -112,17 +124,21 @@ def features(words: list[str]) -> tuple[list[int], list[float]]:
         counts[1] += 2 * same
     at = list(counts)
     v = np.sqrt(np.array([counts[i] for i in at], float))
-    return at, (v / max(1e-9, float(np.sqrt((v * v).sum())))).tolist()
+    v = (v / max(1e-9, float(np.sqrt((v * v).sum())))).tolist()
+    return at + [(1 << BITS) + 3 * k + "-0+".index(x) for k, x in enumerate(voted)], v + [VOTE] * len(voted)
+
+
+WIDTH = (1 << BITS) + 3 * len(LABELLERS)
 
 
 def fit_linear(rows: list[tuple[list[int], list[float], float]], epochs: int = 300, rate: float = 8.0, ridge: float = 1e-5) -> np.ndarray:
     """Logistic regression on soft labels, both classes of equal weight, by gradient descent with momentum."""
-    x = np.zeros((len(rows), 1 << BITS), np.float32)
+    x = np.zeros((len(rows), WIDTH), np.float32)
     y = np.array([r[2] for r in rows], np.float32)
     for k, (at, v, _) in enumerate(rows):
         x[k, at] = v
     weight = np.where(y >= 0.5, 0.5 / max(1, (y >= 0.5).sum()), 0.5 / max(1, (y < 0.5).sum())).astype(np.float32)
-    w, b = np.zeros(1 << BITS, np.float32), 0.0
+    w, b = np.zeros(WIDTH, np.float32), 0.0
     mw, mb = np.zeros_like(w), 0.0
     for _ in range(epochs):
         g = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
@@ -160,9 +176,8 @@ class Scorer:
             return 0.0, p, v
         if self.weights is None:
             return p, p, v
-        at, x = features(words)
-        linear = float(1 / (1 + np.exp(-np.clip(self.weights[at] @ np.array(x) + self.weights[-1], -30, 30))))
-        return (linear + p) / 2, p, v
+        at, x = features(words, v)
+        return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ np.array(x) + self.weights[-1], -30, 30)))), p, v
 
 
 def fit(spark: SparkSession, docs: DataFrame) -> Scorer:
@@ -181,11 +196,14 @@ def fit(spark: SparkSession, docs: DataFrame) -> Scorer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            at, v = list(zip(*(features(t.split()) for t in b.column("text").to_pylist()), strict=True)) or ((), ())
+            words = [(t, t.split()) for t in b.column("text").to_pylist()]
+            at, v = list(zip(*(features(w, _votes(t, w)) for t, w in words), strict=True)) or ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float64())), b.column("y")], names=["at", "v", "y"])
 
+    # a text once, without its copies reaching one task: of each task's rows one a hash, then one a hash
     texts = docs.select(whole_text().alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = texts.join(F.broadcast(sample), "h").dropDuplicates(["h"]).select("text", "y").mapInArrow(run, "at array<int>, v array<double>, y double").collect()
+    texts = texts.join(F.broadcast(sample), "h").groupBy("h").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = texts.select("text", "y").mapInArrow(run, "at array<int>, v array<double>, y double").collect()
     clean = sum(r["y"] >= 0.5 for r in rows)
     if min(clean, len(rows) - clean) < 5:
         return Scorer(by, None)
@@ -210,9 +228,10 @@ def quality(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def keep_clean(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that the scorer keeps, with docs' columns."""
     scorer = fit(spark, docs)
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def keep(texts: pd.Series) -> pd.Series:
-        return pd.Series([scorer(t)[0] >= 0.5 for t in texts], dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield b.filter(pa.array([scorer(t or "")[0] >= 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.filter(keep(whole_text()))
+    return docs.mapInArrow(run, docs.schema)
