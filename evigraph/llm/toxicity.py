@@ -8,15 +8,18 @@ of each insult or threat is one of eight kinds; a document's features are the
 weights it gathered by kind and their density, and a logistic model over these
 gives the score. So "you worthless loser", "not a loser" and "he said loser" differ.
 
-Closed classes are listed below. The insult lexicon, of words and word beginnings,
-and all weights are learned from labelled rows: the training sample has at most
-MAX_TOXIC and MAX_CLEAN rows (those of the smallest hash). The model is calibrated
-on features made with the other half's lexicon, so that a unit's fit to its own
-rows doesn't count.
-
-Defined results: null or empty text has the score of a text without any match;
-null ids are kept and held out of training; repeated rows repeat; without labels,
-or with one class only, a prior over the listed words holds; other columns are ignored.
+Closed classes are listed below. The insult lexicon, of words and word beginnings of
+three letters or more, and all weights are learned from labelled rows: the training
+sample has at most MAX_TOXIC and MAX_CLEAN of them (those of the smallest hash of
+their id), one text for each id. The lexicon is every unit that these rows support.
+The model is calibrated on features made with the other half's lexicon, so that a
+unit's fit to its own rows doesn't count.
+
+Defined results: null or empty text has the score of a text without any match; a very
+long text is read whole; null ids are kept and held out of training; repeated rows
+repeat; an id with labels of both kinds isn't trained on, and of an id with several
+texts that of the smallest hash is; without labels, or with one class only, a prior
+over the listed words holds; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import narrow, sliced, sole
+from evigraph.llm.common import materialize, narrow, sliced, sole
 
-MAX_TOXIC, MAX_CLEAN, MAX_UNITS = 3000, 6000, 4096
-CACHE = 1_000_000
+MAX_TOXIC, MAX_CLEAN = 3000, 6000
+#: Letters that a word beginning has at least.
+SHORTEST = 3
+#: What a unit's share among toxic rows has to be, of that plus its share among clean ones.
+PURE = 0.93
+CACHE = 400_000
 
 #: Closed word classes in English, French, German and Spanish.
 INSULTS = "idiot moron stupid worthless loser pathetic disgusting scum trash clown imbécile crétin connard ordure dummkopf abschaum arschloch versager estúpido imbécil basura escoria".split()
@@ -104,10 +111,7 @@ class Grammar:
         object.__setattr__(self, "starts", {u[:-1]: w for u, w in self.insults if u[-1] == "*"})
 
     def insult(self, word: str) -> float:
-        got = self.words.get(word, 0.0)
-        for n in range(3, min(len(word), 8) + 1):
-            got = max(got, self.starts.get(word[:n], 0.0))
-        return got
+        return max(self.words.get(word, 0.0), *(self.starts.get(word[:n], 0.0) for n in range(SHORTEST, len(word) + 1)), 0.0)
 
     def symbol(self, word: str) -> tuple[str, float]:
         if (weight := self.insult(word)) > 0:
@@ -152,7 +156,7 @@ PRIOR = (-3.0, *[2.0 if k in "iI" else 0.5 for k in KINDS], 1.0, 0.5)
 
 def _units(text: str) -> set[str]:
     words = set(_WORD.findall(text.lower()))
-    return {w for w in words if len(w) > 2} | {w[:n] + "*" for w in words for n in range(3, min(len(w) - 1, 8) + 1)}
+    return {w for w in words if len(w) >= SHORTEST} | {w[:n] + "*" for w in words for n in range(SHORTEST, len(w))}
 
 
 def _count_units(sample: DataFrame) -> DataFrame:
@@ -172,23 +176,27 @@ def _count_units(sample: DataFrame) -> DataFrame:
     return per_task.groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")])
 
 
+def _least(n_toxic: int) -> int:
+    """Toxic rows that a unit has to be in."""
+    return 3 if n_toxic < 400 else max(4, n_toxic // 200)
+
+
+def _share(toxic, clean, n_toxic: int, n_clean: int):
+    """Of numbers or of columns."""
+    of_toxic = toxic / max(1, n_toxic)
+    return of_toxic / (of_toxic + (clean + 0.3) / max(1, n_clean))
+
+
 def choose_units(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> tuple[tuple[str, float], ...]:
     """Units with support whose share among toxic rows is far above that among clean ones; a
-    unit under a chosen beginning is left out. Weights are 0 to 1, by how pure the unit is."""
-    least = 3 if n_toxic < 400 else max(4, n_toxic // 200)
-    good = []
-    for unit, toxic, clean in counts:
-        if toxic >= least:
-            share = (toxic / max(1, n_toxic)) / (toxic / max(1, n_toxic) + (clean + 0.3) / max(1, n_clean))
-            if share >= 0.93:
-                good.append((toxic, share, unit))
+    unit under a chosen beginning is left out, as that covers it. Weights are 0 to 1, by how pure the unit is."""
+    least = _least(n_toxic)
+    shares = [(toxic, _share(toxic, clean, n_toxic, n_clean), unit) for unit, toxic, clean in counts if toxic >= least]
     chosen: dict[str, float] = {}
-    for toxic, share, unit in sorted(good, key=lambda g: (-g[0] * g[1], len(g[2]), g[2])):
+    for toxic, share, unit in sorted((g for g in shares if g[1] >= PURE), key=lambda g: (-g[0] * g[1], len(g[2]), g[2])):
         stem = unit.rstrip("*")
-        if not any(stem[:n] + "*" in chosen for n in range(3, min(len(stem), 8) + 1)):
+        if not any(stem[:n] + "*" in chosen for n in range(SHORTEST, len(stem) + 1)):
             chosen[unit] = min(1.0, (share - 0.9) * 10)
-        if len(chosen) == MAX_UNITS:
-            break
     for w in INSULTS:
         chosen.setdefault(w, 0.5)
     return tuple(sorted(chosen.items()))
@@ -227,25 +235,29 @@ def _featured(rows: DataFrame, keep: list[str], types: str, grammars: tuple[Gram
 
 
 def train(spark: SparkSession, docs: DataFrame, marks: DataFrame) -> Grammar:
-    """docs: doc_id, text; marks: doc_id, toxic (0 or 1), an id once. The sample is drawn from
-    the marks, so at most MAX_TOXIC + MAX_CLEAN of them are broadcast to meet their texts."""
+    """docs: doc_id, text; marks: doc_id, toxic (0 or 1), an id once. The sample is drawn from the marks,
+    so at most MAX_TOXIC + MAX_CLEAN of them are broadcast to meet their texts, and as many texts are kept."""
     totals = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
         return Grammar(tuple((w, 0.5) for w in sorted(INSULTS)), PRIOR)
     parts = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
-    sample = docs.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").dropDuplicates(["text"])
-    sample = sample.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).persist()
-    try:
-        sizes = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
-        size = lambda h, t: sizes.get((h, t), 0)
-        counted = _count_units(sample).filter("t0 + t1 >= 3").filter("(t0 + t1) * 1.0 / {0} > 4.0 * (c0 + c1) / {1}".format(size(0, 1) + size(1, 1), max(1, size(0, 0) + size(1, 0))))
-        rows = counted.orderBy(F.desc(F.col("t0") + F.col("t1")), "unit").limit(20 * MAX_UNITS).collect()
-        half = [choose_units([(r["unit"], r[f"t{h}"], r[f"c{h}"]) for r in rows], size(h, 1), size(h, 0)) for h in (0, 1)]
-        both = choose_units([(r["unit"], r["t0"] + r["t1"], r["c0"] + r["c1"]) for r in rows], size(0, 1) + size(1, 1), size(0, 0) + size(1, 0))
-        grammars = (Grammar(half[1]), Grammar(half[0]))  # each half is scored with the other's lexicon
-        got = _featured(sample.select("text", "toxic", "half"), ["toxic"], "toxic int", grammars, lambda b: b.column("half").to_pylist()).collect()
-    finally:
-        sample.unpersist()
+    met = docs.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    one = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("r")).select("r.*")
+    # equal texts count once; of differently labelled ones the toxic label does
+    sample = one.groupBy("h", "text").agg(F.max("toxic").alias("toxic")).withColumn("half", F.pmod("h", F.lit(2)).cast("int"))
+    sample = materialize(sample.drop("h"), "toxicity-sample")
+    sizes = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
+    size = lambda h, t: sizes.get((h, t), 0)
+    both_t, both_c = size(0, 1) + size(1, 1), size(0, 0) + size(1, 0)
+    sides = [(F.col("t0"), F.col("c0"), size(0, 1), size(0, 0)), (F.col("t1"), F.col("c1"), size(1, 1), size(1, 0)), (F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), both_t, both_c)]
+    good = F.lit(False)
+    for t, c, n_toxic, n_clean in sides:
+        good = good | ((t >= _least(n_toxic)) & (_share(t, c, n_toxic, n_clean) >= PURE - 1e-9))
+    rows = _count_units(sample).filter(good).collect()
+    half = [choose_units([(r["unit"], r[f"t{h}"], r[f"c{h}"]) for r in rows], size(h, 1), size(h, 0)) for h in (0, 1)]
+    both = choose_units([(r["unit"], r["t0"] + r["t1"], r["c0"] + r["c1"]) for r in rows], both_t, both_c)
+    grammars = (Grammar(half[1]), Grammar(half[0]))  # each half is scored with the other's lexicon
+    got = _featured(sample, ["toxic"], "toxic int", grammars, lambda b: b.column("half").to_pylist()).collect()
     x, y = np.array([r["x"] for r in got]).reshape(-1, N_FEATURES), np.array([r["toxic"] for r in got], float)
     if len(set(y)) < 2:
         return Grammar(both, PRIOR)
@@ -274,7 +286,8 @@ def in_training(doc_id: Column) -> Column:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(in_training(F.col("doc_id")) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(in_training(F.col("doc_id")) & F.col("toxic").isin(0, 1))
+    marks = marks.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_high")).filter("toxic = _high").drop("_high")
     grammar = train(spark, narrow(docs), marks)
     scored = score_documents(docs, grammar)
     return scored.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
