@@ -1,31 +1,35 @@
 """Operator 3: chat formatting by a visitor over typed content parts.
 
 A turn's content is an array of parts (type, text, ref, tokens) of type text,
-image, audio or document. The visitor flattens them in order: text is escaped and
-stays, any other part becomes a placeholder of its type, and its reference and
-the tokens it will expand to are recorded. A part of another type or none counts
-as text. Formatted, a turn is
+image, audio or document. The visitor flattens them in order: text stays, any other
+part becomes a placeholder of its type, and its reference and the tokens it will
+expand to are recorded. A part of another type or none counts as text. Formatted,
+a turn is
 
     <|im_start|>role\\n<|im_sep|>content\\n<|im_end|>\\n
 
 Inside roles and texts every backslash is doubled and every control string gets a
 backslash in front, so a text can never end or open a turn, and unescaping is to
-drop each first backslash. The loss mask is a list of spans, in code points of
-the formatted string: the content of the assistant's turns.
+drop each first backslash. What is escaped is the joined run of texts between two
+attachments, so a control string that is spread over parts is escaped too. The loss
+mask is a list of spans, in code points of the formatted string: the content of the
+assistant's turns.
 
 Only DataFrame and SQL operations. Turns are first joined in chunks of 64 turn
 numbers, then chunks to conversations, so that what reaches one task for a very
 long conversation is a few strings; the conversation itself is one row, as its
-formatted string has to be.
+formatted string has to be. Places are running sums in windows on the keys of
+these two groupings, so they add no shuffle and are linear in the turns.
 
-Defined results: null text or role is empty; turns of equal number go by role,
-then text; a null turn number comes first; a null conv_id is a conversation;
+Defined results: null text or role is empty, null parts are no parts; turns of equal
+number go by role, then content; a null turn number comes first; a null conv_id is a
+conversation; repeated rows are turns of their own; a very long text is kept whole;
 an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Control strings of this template and of a common other one, escaped alike.
@@ -33,6 +37,8 @@ CONTROL = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|image|>", "<|audio|>",
 PARTS = "array<struct<type:string,text:string,ref:string,tokens:long>>"
 ATTACHED = ("image", "audio", "document")
 CHUNK = 64
+#: Stands for an attachment, with its type's number, while texts are joined; in a text it gets a 0 behind it.
+MARK = "\ue000"
 
 
 def escape(text: Column) -> Column:
@@ -49,10 +55,14 @@ def unescape(text: Column) -> Column:
 def visit(parts: Column) -> dict[str, Column]:
     """content, attachments and expanded tokens of an array of parts."""
     attached = lambda p: F.coalesce(p["type"].isin(*ATTACHED), F.lit(False))
-    shown = F.transform(parts, lambda p: F.when(attached(p), F.concat(F.lit("<|"), p["type"], F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit("")))))
+    marked = lambda p: F.concat(F.lit(MARK), F.array_position(F.lit(list(ATTACHED)), p["type"]).cast("string"))
+    shown = F.transform(parts, lambda p: F.when(attached(p), marked(p)).otherwise(F.replace(F.coalesce(p["text"], F.lit("")), F.lit(MARK), F.lit(MARK + "0"))))
+    content = escape(F.array_join(shown, ""))
+    for k, kind in enumerate(ATTACHED, 1):
+        content = F.replace(content, F.lit(f"{MARK}{k}"), F.lit(f"<|{kind}|>"))
     files = F.filter(parts, attached)
     return {
-        "content": F.array_join(shown, ""),
+        "content": F.replace(content, F.lit(MARK + "0"), F.lit(MARK)),
         "attachments": F.transform(files, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(0).cast("long")).alias("tokens"))),
         "expanded": F.aggregate(files, F.lit(0).cast("long"), lambda n, p: n + F.coalesce(p["tokens"], F.lit(0).cast("long"))),
     }
@@ -63,10 +73,9 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), none.alias("ref"), F.lit(None).cast("long").alias("tokens")))
 
 
-def _sums(lengths: Column) -> Column:
-    """The sum of what stands before each element."""
-    whole = F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    return F.slice(whole, 1, F.size(lengths))
+def _before(value: Column | str, *keys: str, order: list[Column | str]) -> Column:
+    """The sum of what stands before each row of a group."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
 
 
 def format_chats(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -76,19 +85,20 @@ def format_chats(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> D
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     seen = visit(F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS)))
     head = F.concat(F.lit("<|im_start|>"), escape(role), F.lit("\n<|im_sep|>"))
-    turn = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), head.alias("head"), *[c.alias(k) for k, c in seen.items()])
-    at, length = F.length("head").cast("long"), F.length("content").cast("long")
+    number = F.col("turn").cast("long")
+    turn = turns.select("conv_id", number.alias("turn"), F.floor(number / CHUNK).alias("chunk"), role.alias("role"), head.alias("head"), *[c.alias(k) for k, c in seen.items()])
     rendered = F.concat("head", "content", F.lit("\n<|im_end|>\n"))
-    part = F.struct("turn", "role", rendered.alias("text"), F.length(rendered).cast("long").alias("n"), F.col("role").isin(*learn).alias("learn"), at.alias("at"), length.alias("length"), "attachments", "expanded")
-    chunks = turn.select("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk"), part.alias("p")).groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    before = F.arrays_zip(F.col("p"), _sums(F.transform("p", lambda p: p["n"])).alias("before"), F.sequence(F.lit(0), F.size("p") - 1).alias("k"))
-    spans = F.transform(F.filter(before, lambda z: z["p"]["learn"]), lambda z: F.struct(z["k"].cast("long").alias("turn"), z["p"]["at"].alias("start_in_turn"), (z["before"] + z["p"]["at"]).alias("start"), z["p"]["length"].alias("length")))
-    total = lambda field: F.aggregate("p", F.lit(0).cast("long"), lambda n, p: n + p[field])
-    chunks = chunks.select("conv_id", F.struct("chunk", F.array_join(F.transform("p", lambda p: p["text"]), "").alias("text"), total("n").alias("n"), spans.alias("spans"), F.size("p").cast("long").alias("turns"), F.flatten(F.transform("p", lambda p: p["attachments"])).alias("attachments"), total("expanded").alias("expanded")).alias("p"))
-    convs = chunks.groupBy("conv_id").agg(F.array_sort(F.collect_list("p"), lambda a, b: F.when(a["chunk"].isNull() | (a["chunk"] < b["chunk"]), -1).otherwise(1)).alias("p"))
-    zipped = F.arrays_zip(F.col("p"), _sums(F.transform("p", lambda p: p["n"])).alias("before"), _sums(F.transform("p", lambda p: p["turns"])).alias("k"))
-    mask = F.flatten(F.transform(zipped, lambda z: F.transform(z["p"]["spans"], lambda s: F.struct((s["turn"] + z["k"]).alias("turn"), s["start_in_turn"].alias("start_in_turn"), (s["start"] + z["before"]).alias("start"), s["length"].alias("length")))))
-    return convs.select("conv_id", F.array_join(F.transform("p", lambda p: p["text"]), "").alias("formatted"), mask.alias("loss_mask"), F.flatten(F.transform("p", lambda p: p["attachments"])).alias("attachments"), total("turns").alias("n_turns"), total("expanded").alias("expanded_tokens"))
+    turn = turn.select("conv_id", "chunk", "turn", "role", "content", rendered.alias("text"), F.length(rendered).cast("long").alias("n"), F.length("head").cast("long").alias("at"), F.length("content").cast("long").alias("length"), "attachments", "expanded")
+    order = ["turn", "role", unescape(F.col("content"))]
+    place = F.struct((F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy(*order)) - 1).cast("long").alias("k"), "text", "at", "length", _before("n", "conv_id", "chunk", order=order).alias("before"), F.col("role").isin(*learn).alias("learn"), "attachments")
+    placed = turn.select("conv_id", "chunk", "n", "expanded", place.alias("p"))
+    chunks = placed.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("p")).alias("p"), F.sum("n").alias("n"), F.count("*").alias("turns"), F.sum("expanded").alias("expanded"))
+    spans = F.transform(F.filter("p", lambda x: x["learn"]), lambda x: F.struct(x["k"].alias("turn"), x["at"].alias("start_in_turn"), (x["before"] + x["at"]).alias("start"), x["length"].alias("length")))
+    order = ["chunk"]
+    place = F.struct(F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)).alias("k"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"), spans.alias("spans"), _before("n", "conv_id", order=order).alias("before"), _before("turns", "conv_id", order=order).alias("turns_before"), F.flatten(F.transform("p", lambda x: x["attachments"])).alias("attachments"))
+    convs = chunks.select("conv_id", "turns", "expanded", place.alias("p")).groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("p"), F.sum("turns").alias("n_turns"), F.sum("expanded").alias("expanded_tokens"))
+    mask = F.flatten(F.transform("p", lambda c: F.transform(c["spans"], lambda s: F.struct((s["turn"] + c["turns_before"]).alias("turn"), s["start_in_turn"].alias("start_in_turn"), (s["start"] + c["before"]).alias("start"), s["length"].alias("length")))))
+    return convs.select("conv_id", F.array_join(F.transform("p", lambda c: c["text"]), "").alias("formatted"), mask.alias("loss_mask"), F.flatten(F.transform("p", lambda c: c["attachments"])).alias("attachments"), "n_turns", "expanded_tokens")
 
 
 def read_turns(formatted: Column) -> Column:
