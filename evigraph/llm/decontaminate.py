@@ -17,13 +17,16 @@ that is better. A document is contaminated by an item if at least COVERAGE of th
 item's windows remain, or if the remaining windows of one occurrence cover RUN words
 of the item in a row, whatever its length, RUN_LITERALS of them not placeholders.
 
-A benchmark of up to BROADCAST windows is broadcast (its size is counted first) and
-met in each task; beyond that, windows of documents are shuffled to it by hash. A
-window with fewer than LITERALS words that aren't placeholders counts for nothing,
-unless the item has no better ones. An item shorter than a window is one window.
-
-Defined results: null or empty texts and items match nothing; null ids are kept as
-null; repeated rows match each on its own; repeated items are items of their own;
+A benchmark whose windows take up to BROADCAST bytes (counted first) is broadcast, as
+columns sorted by hash, and met in each task; beyond that, windows of documents are
+shuffled to it by hash. A window with fewer than LITERALS words that aren't placeholders
+counts for nothing, unless the item has no better ones. An item shorter than a window
+contaminates only documents whose whole text it is, with the very same numbers, names
+and units, as a few words alone say nothing.
+
+Defined results: null or empty texts and items match nothing; a very long text is read
+whole; null ids are kept as null; repeated rows match each on its own; repeated items
+are items of their own; of slot values equally frequent the smallest is the reading's;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -34,16 +37,18 @@ from array import array
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm.common import fresh, from_files, locator, materialize, sliced, sole, whole_text
 
-WINDOW, COVERAGE, LITERALS, BROADCAST, CACHE = 8, 0.5, 3, 1_000_000, 400_000
+WINDOW, COVERAGE, LITERALS, BROADCAST, CACHE = 8, 0.5, 3, 64 << 20, 150_000
 RUN, RUN_LITERALS = 13, 7
 
 #: Units that become a placeholder.
@@ -178,7 +183,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words()
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for item, item_id, text in zip(b.column("item").to_pylist(), b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids, variants = words.template(text)
@@ -282,11 +287,14 @@ def best_occurrence(pairs: list[Pair], width: int, windows: int) -> tuple[int, b
     return most, run
 
 
-def _doc_matches(text: str, words: Words, known: np.ndarray, widths: list[int]) -> list[tuple[int, int, list[str]]]:
-    """(hash, position, slots) of the windows of a text that the benchmark has; all windows if known is None."""
+def _doc_matches(text: str, words: Words, known: np.ndarray | None, widths: list[int]) -> list[tuple[int, int, list[str]]]:
+    """(hash, position, slots) of the windows of a text that the benchmark has; all windows if known is None.
+    Narrow windows are those of whole short texts only."""
     ids, variants = words.template(text)
     out = []
     for width in widths:
+        if width < WINDOW and width != len(ids):
+            continue
         for at, hashes, kind in _variant_windows(variants, width):
             if known is not None:
                 k = np.searchsorted(known, hashes)
@@ -307,7 +315,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
     widths = [r["width"] for r in items.select("width").distinct().collect()]
     if not widths:
         return spark.createDataFrame([], RESULT)
-    near = items.count() <= broadcast
+    size = 48 + F.octet_length(F.array_join("slots", "")) + 8 * F.size("slots")
+    near = items.agg(F.sum(size.cast("long"))).first()[0] <= broadcast
 
     def judge(loc, doc_id, matches):
         """matches: item, item_id, windows, width, pos, the item's slots, its literal words, position in the document, its slots."""
@@ -315,8 +324,11 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
         for item, item_id, windows, width, pos, a, bits, at, b in matches:
             by[item, item_id, windows, width].append((at, pos, a, b, bits))
         for (_, item_id, windows, width), pairs in sorted(by.items(), key=lambda x: x[0][0]):
-            n, run = best_occurrence(pairs, width, windows)
-            if run or n >= COVERAGE * windows:
+            if width < WINDOW:  # a short item and a text that is no more than it
+                n, run = int(any(a == b for _, _, a, b, _ in pairs)), False
+            else:
+                n, run = best_occurrence(pairs, width, windows)
+            if run or n >= max(1, COVERAGE * windows):
                 yield loc, doc_id, item_id, n, windows, n / windows
 
     def batch(out):
@@ -325,26 +337,31 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, bro
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in RESULT.split(", ")])
 
     if near:
-        table = defaultdict(list)
-        for r in items.collect():
-            table[r["hash"]].append((r["item"], r["item_id"], r["windows"], r["width"], r["pos"], r["slots"], r["literal"]))
-        shared = spark.sparkContext.broadcast((dict(table), np.sort(np.array(list(table), np.int64).view(np.uint64))))
+        table = items.select("hash", "item", "item_id", "windows", "width", "pos", "slots", "literal").toArrow()
+        table = table.set_column(1, "item", pc.dictionary_encode(table.column("item").combine_chunks()))
+        shared = spark.sparkContext.broadcast(table.take(np.argsort(table.column("hash").to_numpy().view(np.uint64), kind="stable")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, known = shared.value
-            words = _words()
+            table, words = shared.value, _words()
+            known = table.column("hash").to_numpy().view(np.uint64)
+
+            @lru_cache(maxsize=20_000)
+            def of(h: int) -> list[tuple]:
+                low, high = (int(np.searchsorted(known, np.int64(h).view(np.uint64), side)) for side in ("left", "right"))
+                return list(zip(*(c.to_pylist() for c in table.slice(low, high - low).columns[1:]), strict=True))
+
             for b in sliced(batches):
                 out = []
                 for loc, doc_id, text in zip(b.column("loc").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     if found := _doc_matches(text, words, known, widths):
-                        out += judge(loc, doc_id, [(*m, at, slots) for h, at, slots in found for m in table[h]])
+                        out += judge(loc, doc_id, [(*m, at, slots) for h, at, slots in found for m in of(h)])
                 yield batch(out)
 
         return rows.mapInArrow(run, RESULT)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words()
-        for b in batches:
+        for b in sliced(batches):
             for loc, doc_id, text in zip(b.column("loc").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if found := _doc_matches(text, words, None, widths):
                     h, at, slots = zip(*found, strict=True)
