@@ -15,9 +15,12 @@ for all sets, then with l = 3 n / 10 for what remains; most documents resemble n
 and go no further. The last sets are posted in order of exact frequency, in which a set's
 unique shingles come first and use up its prefix. A posting list is not expanded into
 pairs: first each list is tied to its member with the fewest unique shingles, these pairs
-are verified, and components are formed; then only members of a list outside its main
-component meet the list's members of other components, under the size, position and
-overlap bounds.
+are verified, and components are formed. Then lists with several components are joined
+with themselves across components: a set of size n with pos shingles before the list's
+can, if this is the first that two sets share, link with sizes up to (5 n - 9 pos) / 4. So
+only sets that may link with their own size or more are looked up (pos <= n / 9), by
+shingle and size class, and a set looks up the sizes from 0.8 n to what its pos allows.
+Sets that have a passage in common and are too different for a link don't meet.
 Both steps are verified by exact intersection, so no link between components is lost
 and none is made up.
 
@@ -25,13 +28,14 @@ The boundary is where the cost of subsets, by the histogram of set sizes, passes
 that of posting and reading the set.
 
 Sets are of 64-bit hashes of shingles; classes by a 128-bit digest of the set. What is
-broadcast are keys whose number was counted first; above common.BROADCAST they are joined
-by shuffle. Ties in every choice go by row number.
+broadcast is summed up first; above common.BROADCAST bytes rows are joined by shuffle, and
+texts meet a bitmap of fixed size before that. Ties in every choice go by row number.
 
 Defined results: null or empty texts, or of white space only, have size 0, link with
 nothing and are their own component; with fewer than five words the whole sequence is
-the one shingle; a null id is a row of its own, and never the name of a component
-that has another id; repeated rows are repeated; other columns are ignored.
+the one shingle; a very long text is one set, whole; a null id is a row of its own, and
+never the name of a component that has another id; repeated rows are repeated; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import bounded, fresh, from_files, locator, materialize, sliced, whole_text
+from evigraph.llm.common import bounded, few, forget, fresh, from_files, locator, materialize, sliced, whole_text
 from evigraph.llm.components import connected_components
 
 WORDS = 5
@@ -116,6 +120,7 @@ def _members(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
         rid, seen = TaskContext.get().partitionId() << 40, set()
         for b in sliced(batches):
             out = []
@@ -123,7 +128,7 @@ def _members(docs: DataFrame) -> DataFrame:
                 s = shingles(text)
                 cls = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 new = cls is not None and cls not in seen
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(cls)
                 out.append((rid, len(s), cls, s.view(np.int64) if new and len(s) <= MOST_SMALL else None, s[: prefix_length(len(s), FIRST)].view(np.int64) if new else None))
@@ -199,14 +204,9 @@ def _sharing(postings: DataFrame, share: float) -> DataFrame:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order of token, nulls first. The rows of the last token wait for the next batch."""
-        token, rid, k = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        known = np.zeros(0, bool)
-
-        def told(token, rid, known):
-            same = token[1:] == token[:-1]
-            met = known & (np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-            return rid[met], np.ones(int(met.sum()), np.int32)
+        """Rows in order of token, nulls first. Of rows with one token each known rid is told that it has company;
+        the last row waits for the next batch, and nothing else, however many rows a token has."""
+        last, waiting = None, None  # the last row's token, and its rid unless that is told or unknown
 
         for b in batches:
             has = b.column("token").is_valid().to_numpy(zero_copy_only=False)
@@ -216,16 +216,17 @@ def _sharing(postings: DataFrame, share: float) -> DataFrame:
             b = b.filter(pa.array(has))
             if not b.num_rows:
                 continue
-            token = np.concatenate([token, b.column("token").to_numpy()])
-            known = np.concatenate([known, b.column("rid").is_valid().to_numpy(zero_copy_only=False)])
-            rid = np.concatenate([rid, b.column("rid").fill_null(-1).to_numpy()])
-            cut = int(np.searchsorted(token, token[-1]))
-            if cut:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in told(token[:cut], rid[:cut], known[:cut])], names=["rid", "k"])
-            # of the waiting token's rows, those already met are told when it ends
-            token, rid, known = token[cut:], rid[cut:], known[cut:]
-        if len(token):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in told(token, rid, known)], names=["rid", "k"])
+            token, known = b.column("token").to_numpy(), b.column("rid").is_valid().to_numpy(zero_copy_only=False)
+            rid = b.column("rid").fill_null(-1).to_numpy()
+            same = token[1:] == token[:-1]
+            again = last is not None and token[0] == last
+            before, behind = np.concatenate([[again], same]), np.concatenate([same, [False]])
+            met = rid[known & (before | behind)]
+            if again and waiting is not None:
+                met = np.append(met, waiting)
+            last, waiting = token[-1], int(rid[-1]) if known[-1] and not before[-1] else None
+            if len(met):
+                yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(np.ones(len(met), np.int32))], names=["rid", "k"])
 
     sent = postings.select("rid", "prefix").mapInArrow(local, "token long, rid long, k int")
     dealt = sent.repartition(F.coalesce("token", "rid")).sortWithinPartitions("token")
@@ -245,8 +246,29 @@ def _shingled(docs: DataFrame, wanted: DataFrame, share: float | None) -> DataFr
                 sets = [s[: prefix_length(len(s), share)] for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rid", "n", name])
 
+    return _fetched(docs, wanted).mapInArrow(run, f"rid long, n long, {name} array<long>")
+
+
+#: Bits, in buckets of 32768, of the bitmap that texts meet before a shuffle: 64 MB at most, whatever the input.
+BITS = 1 << 29
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rid and text of the rows in `wanted` (rid, loc): by a broadcast of two hashes of the locators if they are few,
+    else by a shuffle of what a bitmap of hashed locators lets through."""
     rows = docs.select(locator(docs).alias("loc"), whole_text().alias("text"))
-    return rows.join(bounded(wanted), "loc").select("rid", "text").mapInArrow(run, f"rid long, n long, {name} array<long>")
+    keys = [F.xxhash64("loc").alias("h"), F.xxhash64(F.lit(1), "loc").alias("g")]
+    small = wanted.select("rid", *keys)
+    if few(small):
+        return rows.select("text", *keys).join(F.broadcast(small), ["h", "g"]).select("rid", "text")
+    at = F.pmod(F.xxhash64("loc"), F.lit(BITS)) + 1
+    bits = wanted.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bits = materialize(bits, "wanted-bits")
+    place = F.bitmap_bit_position(at)
+    byte = F.ascii(F.decode(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    found = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "bucket")
+    found = found.select("loc", "text", byte.alias("byte"), (place % 8).cast("int").alias("place")).filter(F.expr("shiftright(byte, place) & 1 = 1"))
+    return found.select("loc", "text").join(wanted, "loc").select("rid", "text")
 
 
 def _links(n: Column, m: Column, shared: Column) -> Column:
@@ -297,21 +319,34 @@ def _large_links(docs: DataFrame, large: DataFrame, small_links: DataFrame) -> D
     comps = connected_components(first)
     placed = posted.join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
     placed = materialize(placed, "placed-postings")
-    hub = placed.groupBy("token").agg(F.min(F.struct("own", "rid", "comp")).alias("h"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    mixed = hub.filter("low <> high").select("token", F.col("h.comp").alias("main"))
-    placed = materialize(placed.join(mixed, "token"), "mixed-lists")
-    outside = placed.filter("comp <> main")
-    met = outside.alias("p").join(placed.alias("q"), F.col("p.token") == F.col("q.token"))
-    met = met.filter((F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.rid") < F.col("q.rid"))) & _may_link("p", "q"))
-    met = met.select(F.greatest("p.rid", "q.rid").alias("a"), F.least("p.rid", "q.rid").alias("b")).distinct()
-    return first.union(_verified(met, sets))
+    mixed = materialize(placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token"), "mixed-tokens")
+    placed = materialize(placed.join(mixed, "token").select("token", "rid", "n", "pos", "comp"), "mixed-lists")
+    return first.union(_verified(_met(placed), sets))
 
 
-def near_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """loc, doc_id, n_shingles and component_id of every row."""
-    docs = from_files(docs, "near-input")
+#: Sizes of one class are within so much of each other.
+SIZE_CLASS = 1.02
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_CLASS)))
+
+
+def _met(placed: DataFrame) -> DataFrame:
+    """a, b: pairs of different components that may link, by their first common shingle. placed: token, rid, n, pos, comp."""
+    most = F.floor((5 * F.col("n") - 9 * F.col("pos")) / F.lit(4))  # the largest size it can link with from here on
+    looked_up = placed.filter(9 * F.col("pos") <= F.col("n")).select("token", _size_class(F.col("n")).alias("size"), F.col("rid").alias("q"), F.col("n").alias("m"), F.col("comp").alias("q_comp"), most.alias("q_most"))
+    least, most = F.ceil(4 * F.col("n") / F.lit(5)), F.least(F.col("n"), most)
+    looking = placed.withColumns({"least": least, "most": most}).filter("least <= most")
+    looking = looking.withColumn("size", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))))
+    met = looking.join(looked_up, ["token", "size"]).filter((F.col("m").between(F.col("least"), F.col("most"))) & (F.col("n") <= F.col("q_most")) & (F.col("comp") != F.col("q_comp")) & ((F.col("m") < F.col("n")) | (F.col("q") < F.col("rid"))))
+    return met.select(F.greatest("rid", "q").alias("a"), F.least("rid", "q").alias("b")).distinct()
+
+
+def _grouped(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """loc, doc_id, n and component of every row; the component is null for a row that is alone in it. docs is as of from_files."""
     members = materialize(_members(docs), "members")
-    classes = materialize(members.filter("prefix is not null").groupBy("cls").agg(F.min("rid").alias("rep")), "classes")
+    classes = materialize(members.filter("cls is not null").groupBy("cls").agg(F.min("rid").alias("rep"), F.count("*").alias("c")), "classes")
     firsts = members.filter("prefix is not null")
     spare = materialize(firsts.select("rid", "cls").join(classes, "cls").filter("rid <> rep").select("rid"), "spare")
     reps = firsts.join(bounded(spare), "rid", "left_anti")
@@ -322,19 +357,28 @@ def near_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     large = reps.filter(5 * F.col("n") >= 4 * (x + 1)).select("rid", "loc", "n", "prefix")
     links = _large_links(docs, large, materialize(_small_links(small), "small-links"))
 
-    comps = materialize(connected_components(links), "components").select(F.col("node").alias("rep"), F.col("component"))
-    placed = members.select("rid", "loc", "doc_id", "n", "cls").join(classes, "cls", "left").join(comps, "rep", "left")
-    placed = materialize(placed.withColumn("component", F.coalesce("component", "rep", "rid")).select("loc", "doc_id", "n", "component"), "placed")
-    names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(names, "component").select("loc", "doc_id", F.col("n").alias("n_shingles"), "component_id", "component")
+    comps = connected_components(links).select(F.col("node").alias("rep"), F.col("component"))
+    # sets are alone unless they have copies or links, so most rows need no more than this join
+    classes = classes.join(comps, "rep", "left").filter("c > 1 or component is not null").select("cls", F.coalesce("component", "rep").alias("component"))
+    classes = materialize(classes, "grouped-classes")
+    return materialize(members.select("loc", "doc_id", "n", "cls").join(classes, "cls", "left").drop("cls"), "placed")
+
+
+def near_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """loc, doc_id, n_shingles and component_id of every row."""
+    placed = _grouped(spark, from_files(docs, "near-input"))
+    together = placed.filter("component is not null")
+    names = materialize(together.groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
+    alone = placed.filter("component is null").select("loc", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return alone.union(together.join(names, "component").select("loc", "doc_id", "n", "component_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs of which each component keeps one, that of the smallest id (then locator); with docs' columns."""
     docs = from_files(docs, "near-input")
     loc = fresh("loc", docs.columns)
-    found = materialize(near_join(spark, docs).select("loc", "doc_id", "component"), "near-groups")
-    kept = found.groupBy("component").agg(F.count("*").alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "loc")).alias("k"))
-    gone = found.join(kept.filter("c > 1"), "component").filter(F.col("loc") != F.col("k.loc")).select(F.col("loc").alias(loc))
+    together = _grouped(spark, docs).filter("component is not null")
+    kept = materialize(together.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "loc")).alias("k")), "near-kept")
+    gone = together.join(kept, "component").filter(F.col("loc") != F.col("k.loc")).select(F.col("loc").alias(loc))
     gone = materialize(gone, "near-gone")
     return docs.select(*docs.columns, locator(docs).alias(loc)).join(gone, loc, "left_anti").select(*docs.columns)

@@ -53,7 +53,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_join.near_join(spark, table(spark, sf_dir, "documents")).drop("loc", "component")
+    return near_join.near_join(spark, table(spark, sf_dir, "documents")).drop("loc")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
