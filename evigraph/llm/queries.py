@@ -32,6 +32,18 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(turns))
 
 
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's operator on turns of many typed parts: texts are cut behind each "|" and "e", and behind each "?" stands an image."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    image = F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"), F.concat_ws("-", F.lit("image"), "conv_id", "turn").alias("ref"), F.lit(64).cast("long").alias("tokens")
+    words = lambda t: F.flatten(F.transform(F.split(t, r"(?<=[|e])"), chat_format.text_parts))
+    runs = F.split("text", r"\?", -1)
+    parts = F.flatten(F.transform(runs, lambda t, k: F.when(k < F.size(runs) - 1, F.concat(words(F.concat(t, F.lit("?"))), F.array(F.struct(*image)))).otherwise(words(t))))
+    chats = chat_format.format_chats(turns.select("conv_id", "turn", "role", parts.alias("parts")))
+    ref = lambda k: F.get("attachments", k)["ref"]
+    return chats.select("conv_id", F.sha2(F.col("formatted").cast("binary"), 256).alias("formatted_sha256"), F.size("attachments").cast("long").alias("n_attachments"), ref(F.lit(0)).alias("first_ref"), ref(F.size("attachments") - 1).alias("last_ref"), "expanded_tokens")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark, table(spark, sf_dir, "documents"))
 
@@ -66,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_counts,
         op2_toxicity,
         op3_chat_formatting,
+        chat_parts,
         op4_quality,
         op5_token_store,
         op6_packing,
@@ -100,6 +113,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(whole) AS turns_sha256,
             CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
         FROM convs""",
+    "chat_parts": f"""
+        WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        shown AS (SELECT *, '<|im_start|>' || {_escaped("role")} || chr(10) || '<|im_sep|>' || replace({_escaped("text")}, '?', '?<|image|>') || chr(10) || '<|im_end|>' || chr(10) AS formatted,
+            length(text) - length(replace(text, '?', '')) AS images, 'image-' || conv_id || '-' || turn AS ref FROM turns)
+        SELECT CAST(conv_id AS BIGINT) AS conv_id, sha256(string_agg(formatted, '' ORDER BY turn NULLS FIRST, role, text)) AS formatted_sha256, CAST(sum(images) AS BIGINT) AS n_attachments,
+            first(ref ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE images > 0) AS first_ref, last(ref ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE images > 0) AS last_ref,
+            CAST(sum(images) * 64 AS BIGINT) AS expanded_tokens
+        FROM shown GROUP BY conv_id""",
     "op9_near_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

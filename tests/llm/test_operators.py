@@ -180,7 +180,7 @@ def test_token_store_round_trip(spark, tmp_path):
 
 # 6
 def test_packing_covers_every_id(spark, docs):
-    df = frame(spark, ODD, extra=True).select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    df = frame(spark, ODD, extra=True).unionByName(docs, allowMissingColumns=True)
     got = packing.pack(spark, df, with_ids=True).collect()
     by, seq = defaultdict(list), defaultdict(list)
     for r in got:
@@ -249,7 +249,7 @@ def test_written_shards(spark, tmp_path):
 ITEMS = [(0, "If Anna buys 12 apples for 3 dollars each and Ben gives her 4 more, how much did Anna pay in total for them?"), (1, "short one"), (2, None), (3, "")]
 
 
-@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, 0])
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, -1])
 def test_reworded_numbers_and_names_are_caught(spark, broadcast):
     same = "xx yy. " + ITEMS[0][1]
     other = same.replace("Anna", "Carla").replace("12", "700").replace("Ben", "Dora")
@@ -257,7 +257,7 @@ def test_reworded_numbers_and_names_are_caught(spark, broadcast):
     rows = [(1, same), (2, other), (3, mixed), (4, words(5, 300)), (None, same), (5, None), (6, ""), (7, "a short one here"), (8, " ".join([same] * 3)), (9, other), (9, other)]
     got = decontaminate.contaminated(spark, frame(spark, rows, extra=True), spark.createDataFrame(ITEMS, "item_id long, text string"), broadcast)
     found = sorted((r["doc_id"] or -1, r["item_id"]) for r in got.collect())
-    assert found == [(-1, 0), (1, 0), (2, 0), (3, 0), (7, 1), (8, 0), (9, 0), (9, 0)]
+    assert found == [(-1, 0), (1, 0), (2, 0), (3, 0), (8, 0), (9, 0), (9, 0)]
     cover = {r["doc_id"]: r["coverage"] for r in got.collect() if r["item_id"] == 0}
     assert cover[2] == cover[1] > cover[3]  # the inconsistent name costs its windows
     none = decontaminate.contaminated(spark, frame(spark, rows), spark.createDataFrame([], "item_id long, text string"), broadcast)
@@ -274,7 +274,7 @@ def variants(n):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, 0])
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, -1])
 def test_variants_of_an_item_in_one_text_dont_hide_it(spark, broadcast):
     exact, ten = ITEMS[0][1], variants(10)
     spaced = exact.replace("each and", "each and then also")
@@ -285,7 +285,7 @@ def test_variants_of_an_item_in_one_text_dont_hide_it(spark, broadcast):
     assert cover[1] == cover[2] == cover[3] == cover[4] == 1.0 > cover[6]  # words put in cost their windows
 
 
-@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, 0])
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, -1])
 def test_names_at_starts_number_words_and_short_units_are_slots(spark, broadcast):
     items = [
         (0, "Anna has 3 apples. Ben has 5 apples. Tom has 2 pears. How many fruits do they have together?"),
@@ -306,7 +306,7 @@ def test_names_at_starts_number_words_and_short_units_are_slots(spark, broadcast
     assert all(c == 1.0 for c in cover.values())
 
 
-@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, 0])
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, -1])
 def test_a_run_of_a_long_item_is_enough(spark, broadcast):
     letters = [w + c for c in "abc" for w in WORDS]
     item = letters[:57]
@@ -490,4 +490,4 @@ def test_every_query_is_registered():
 
     names = set(__spark_entry__.queries())
     assert {"pipeline", *queries.QUERIES} <= names and set(__spark_entry__.oracle_sql()) <= names
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in queries.QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
