@@ -52,6 +52,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between Spark and Python in these operators, where the session has Spark's default of 64 MB:
+#: batches of texts are what executors hold outside their heap, on either side.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(1 << 20))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session exchange small batches, unless it says itself how large they may be."""
+    name, default, size = ARROW_BATCH
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, size)
+
+
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -98,6 +110,7 @@ def fresh(name: str, columns: list[str]) -> str:
 
 def from_files(docs: DataFrame, label: str) -> DataFrame:
     """docs itself if it is read straight from files, else a written copy of it."""
+    small_batches(docs.sparkSession)
     try:
         docs.select(docs.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018
         return docs
@@ -126,4 +139,5 @@ def bounded(df: DataFrame) -> DataFrame:
 
 def narrow(docs: DataFrame) -> DataFrame:
     """The id and the whole text, nothing else."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))

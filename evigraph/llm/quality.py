@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import materialize, narrow, sliced, sole, whole_text
+from evigraph.llm.common import materialize, narrow, sliced, small_batches, sole, whole_text
 
 SAMPLE, BITS, CACHE = 2000, 12, 100_000
 #: The share of distinct words is taken in blocks of so many words, since over a whole text it falls with its length.
@@ -182,6 +182,7 @@ class Scorer:
 
 def fit(spark: SparkSession, docs: DataFrame) -> Scorer:
     """The posteriors from all documents, the linear scorer from the bounded sample."""
+    small_batches(spark)
     voted = materialize(_voted(docs), "votes")
     found = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()
     if not found:
