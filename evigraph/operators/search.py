@@ -8,30 +8,43 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.operators.read import CLAIM, clamp, hop
+from evigraph.operators.read import CLAIM, clamp, claims_in_report, hop, pinned
 from evigraph.operators.traverse import subgraph_nodes
 from evigraph.schema import Graph
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def query_terms(query: str) -> list[str]:
-    """Lower-case runs of letters and digits; each is a prefix."""
-    return [t for t in re.split(r"[^\w]|_", query.lower()) if t]
+def query_terms(query: str) -> list[tuple[str, ...]]:
+    """Lower-case runs of letters and digits, each the beginning of a word; runs in double quotes are a phrase of whole words."""
+    split = lambda text: tuple(t for t in re.split(r"[^\w]|_", text.lower()) if t)
+    out: list[tuple[str, ...]] = []
+    for k, piece in enumerate(query.split('"')):
+        if k % 2 and k < query.count('"'):
+            if words := split(piece):
+                out.append(("", *words))
+        else:
+            out += [(t,) for t in split(piece)]
+    return out
 
 
 def bm25(rows: DataFrame, fields: list[str], query: str, limit: int, where: Column | None = None) -> DataFrame:
-    """The rows of which every term begins some token, with `score`, the best first; ties by the first column.
-    A term's frequency is over all fields together; lengths and counts are of all rows, ranked are those of `where`. One scan counts
-    (a row of numbers reaches the driver), one scan scores; the ranking is a top-k, not a sort."""
+    """The rows that every term matches, with `score`, the best first; ties by the first column. A term is the
+    beginning of a word, or a phrase. A term's frequency is over all fields together; lengths and counts are of all
+    rows, ranked are those of `where`. One scan counts (a row of numbers reaches the driver), one scan scores; the
+    ranking is a top-k, not a sort."""
     terms = query_terms(query)
     if not terms:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
-    text = F.lower(F.concat_ws(" ", *fields))
-    tokens = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    tokens_of = lambda f: F.filter(F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    tokens = F.flatten(F.array(*map(tokens_of, fields)))
 
-    def frequency(term: str):
-        return F.size(F.filter(tokens, lambda t: t.startswith(term)))
+    def frequency(term: tuple[str, ...]) -> Column:
+        if len(term) == 1:
+            return F.size(F.filter(tokens, lambda t: t.startswith(term[0])))
+        words = F.lit(list(term[1:]))  # phrases don't run over from one field to the next
+        places = lambda f: F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens_of(f)) - len(term) + 2, F.lit(1))), lambda k: F.slice(tokens_of(f), k, len(term) - 1) == words)
+        return sum((F.size(places(f)) for f in fields), F.lit(0))
 
     with_tf = rows.select("*", F.size(tokens).alias("_len"), *[frequency(t).alias(f"_tf{k}") for k, t in enumerate(terms)])
     hits = [F.count_if(F.col(f"_tf{k}") > 0) for k in range(len(terms))]
@@ -48,21 +61,30 @@ def bm25(rows: DataFrame, fields: list[str], query: str, limit: int, where: Colu
     return out.orderBy(F.desc("score"), rows.columns[0]).limit(clamp(limit, 1, 1000))
 
 
-def find_entities(graph: Graph, query: str, entity_type: str | None = None, limit: int = 50) -> DataFrame:
+def find_entities(graph: Graph, query: str, entity_type: str | None = None, limit: int = 50, report_id: str | None = None) -> DataFrame:
+    """Entities by rank; of a type, or sourced from a report, only those are ranked and cut to the limit."""
     rows = graph["Entity"].select("entity_id", "canonical_name", "entity_type", "name", "description")
-    of_type = None if entity_type is None else F.col("entity_type") == entity_type
-    return bm25(rows, ["name", "canonical_name", "description"], query, limit, of_type)
+    where = None if entity_type is None else F.col("entity_type") == entity_type
+    if report_id is None:
+        return bm25(rows, ["name", "canonical_name", "description"], query, limit, where)
+    inside = graph.to("SOURCED_FROM").filter(F.col("target_id") == report_id).select(F.col("source_id").alias("entity_id"), F.lit(True).alias("_inside")).distinct()
+    rows = rows.join(inside, "entity_id", "left")
+    where = F.col("_inside") if where is None else where & F.col("_inside")
+    return bm25(rows, ["name", "canonical_name", "description"], query, limit, where).drop("_inside")
 
 
 def find_claims(graph: Graph, query: str, limit: int = 50) -> DataFrame:
     return bm25(graph["Claim"].select(*CLAIM), ["text"], query, limit)
 
 
-def hybrid_search(graph: Graph, query: str, top_k: int = 10) -> DataFrame:
-    """Entities by rank, then the claims about each, cut to top_k results in all."""
+def hybrid_search(graph: Graph, query: str, top_k: int = 10, report_id: str | None = None) -> DataFrame:
+    """Entities by rank, then the claims about each, cut to top_k results in all; of a report, if one is given."""
     k = clamp(top_k, 1, 1000)
-    entities = find_entities(graph, query, limit=k).select("entity_id", "canonical_name", "score")
-    claims = hop(entities, graph.of("ABOUT", "MENTIONS"), "entity_id", "claim_id", back=True).join(graph["Claim"].select("claim_id", "text"), "claim_id")
+    entities = find_entities(graph, query, limit=k, report_id=report_id).select("entity_id", "canonical_name", "score")
+    claims = hop(entities, graph.to("ABOUT", "MENTIONS"), "entity_id", "claim_id", back=True, only=pinned(entities, "entity_id"))
+    if report_id is not None:
+        claims = claims.join(claims_in_report(graph, report_id).select("claim_id"), "claim_id", "left_semi")
+    claims = claims.join(graph["Claim"].select("claim_id", "text"), "claim_id")
     first = entities.select(F.lit("entity").alias("result_type"), F.col("entity_id").alias("id"), F.col("canonical_name").alias("text"), F.col("canonical_name").alias("mentioned_entity"), "score")
     then = claims.select(F.lit("claim").alias("result_type"), F.col("claim_id").alias("id"), "text", F.col("canonical_name").alias("mentioned_entity"), "score")
     both = first.unionByName(then)
