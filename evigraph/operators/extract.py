@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.functions.lineage import cut_lineage
 from evigraph.functions.text import claim_type, leading_number, relationship_type
 
 TEXT_TYPES = ("paragraph", "heading", "data_row")
@@ -91,16 +92,76 @@ def relationships(answers: DataFrame, known: DataFrame) -> DataFrame:
     return _first(rows, F.lower("source"), F.lower("target"), "type")
 
 
+#: Runs of capitalised words behind a word in lower case, so away from a sentence's start.
+NAMES = r"(?<=(?<!\p{L})\p{Ll}{1,30}[,;]? )(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*)"
+#: Up to three words, then an amount and its unit.
+AMOUNTS = r"((?:\p{L}+ ){1,3}?)(?:was |of |is |to )?([$€£]?\d[\d,.]*\d|\d)\s?(%|percent|million|billion|USD|EUR)?"
+PERIOD = r"\b((?:Q[1-4] )?(?:19|20)\d\d)\b"
+SENTENCE = r"[^.!?]+(?:[.!?](?!\s)[^.!?]+)*[.!?]?"
+#: The first pattern that a sentence has names its type of claim.
+CLAIMS = {"PREDICTION": r"\b(?:will|expects?|forecasts?|plans? to)\b", "COMPARATIVE": r"\b(?:than|compared)\b", "CAUSAL": r"\b(?:because|due to|led to)\b", "NORMATIVE": r"\b(?:should|must|ought)\b", "OPINION": r"\b(?:believes?|thinks?|seems?)\b"}
+#: Verbs between two names, and the relation they state.
+RELATIONS = {"ACQUIRED": "acquire[sd]?|bought", "OWNS": "owns?|owned", "PARTNERS_WITH": "partner(?:s|ed) with", "COMPETES_WITH": "compete[sd]? with", "SUPPLIES_TO": "supplie[sd](?: \\w+)? to", "INVESTS_IN": "invest(?:s|ed) in", "LOCATED_IN": "(?:is )?(?:based|located) in"}
+
+
+def _block(blocks: DataFrame) -> DataFrame:
+    return text_blocks(blocks).select("document_id", F.col("block_seq").alias("first_block"), F.col("block_seq").alias("batch"), "content")
+
+
 def rule_entities(blocks: DataFrame) -> DataFrame:
-    """Without a model: runs of capitalised words away from a sentence's start, typed OTHER."""
-    found = F.regexp_extract_all("content", F.lit(r"(?<=[a-z,;] )(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*)"), 1)
-    rows = text_blocks(blocks).select("document_id", F.col("block_seq").alias("first_block"), F.col("block_seq").alias("batch"), F.posexplode(found).alias("pos", "name"))
+    """Without a model: runs of capitalised words away from a sentence's start, typed OTHER, and the names that stand at both ends of a known relation."""
+    found = F.concat(F.regexp_extract_all("content", F.lit(NAMES), 1), F.flatten(F.transform(_related(F.col("content")), lambda r: F.array(r["source"], r["target"]))))
+    rows = _block(blocks).select("document_id", "first_block", "batch", F.posexplode(found).alias("pos", "name"))
     return _first(rows.select("*", F.lit("OTHER").alias("type"), F.lit(None).cast("string").alias("description")), F.lower("name"))
 
 
 def rule_metrics(blocks: DataFrame) -> DataFrame:
-    """Without a model: money and percentages with the three words before them as their name."""
-    pattern = r"((?:\p{L}+ ){1,3})(?:was |of |is |to )?([$€£]?\d[\d,.]*\d|\d)\s?(%|percent|million|billion|USD|EUR)?"
-    rows = numeric_blocks(text_blocks(blocks)).select("document_id", F.col("block_seq").alias("first_block"), F.regexp_extract("content", pattern, 1).alias("name"), F.regexp_extract("content", pattern, 2).alias("raw"), F.regexp_extract("content", pattern, 3).alias("unit"))
-    value = leading_number(F.regexp_replace("raw", "[$€£,]", ""))
-    return rows.select("document_id", "first_block", F.trim("name").alias("name"), value.alias("value"), F.nullif("unit", F.lit("")).alias("unit")).filter("name <> '' and value is not null")
+    """Without a model: every amount of money and percentage of a block, with the up to three words before it as
+    its name, the block's first period and its first name."""
+    found = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(AMOUNTS), k).alias(n) for k, n in ((1, "name"), (2, "raw"), (3, "unit"))])
+    first = lambda pattern: F.nullif(F.regexp_extract("content", pattern, 1), F.lit(""))
+    rows = _block(numeric_blocks(blocks)).select("document_id", "first_block", first(PERIOD).alias("period"), first(NAMES).alias("entity"), F.posexplode(found).alias("pos", "m"))
+    value = leading_number(F.regexp_replace("m.raw", "[$€£,]", ""))
+    return rows.select("document_id", "first_block", "pos", F.trim("m.name").alias("name"), value.alias("value"), F.nullif("m.unit", F.lit("")).alias("unit"), "period", "entity").filter("name <> '' and value is not null")
+
+
+def rule_claims(blocks: DataFrame) -> DataFrame:
+    """Without a model: every sentence that has a name or a figure, with the names in it, those of a relation first; its type by the words it uses."""
+    rows = _block(blocks).select("document_id", "first_block", "batch", F.posexplode(F.regexp_extract_all("content", F.lit(SENTENCE), 0)).alias("pos", "text"))
+    rows = rows.withColumn("text", F.trim("text")).withColumn("entities", F.array_distinct(F.concat(F.flatten(F.transform(_related(F.col("text")), lambda r: F.array(r["source"], r["target"]))), F.regexp_extract_all("text", F.lit(NAMES), 1))))
+    kind = F.lit("FACTUAL")
+    for name, pattern in reversed(CLAIMS.items()):
+        kind = F.when(F.col("text").rlike("(?i)" + pattern), name).otherwise(kind)
+    return rows.filter((F.size("entities") > 0) | F.col("text").rlike(r"\d")).select("document_id", "first_block", "batch", "pos", "text", kind.alias("type"), "entities", F.lit(1.0).alias("confidence"))
+
+
+def _related(text):
+    """source, target, type of "Name verb Name" in a text."""
+    name = r"(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*)"
+    out = []
+    for kind, verbs in RELATIONS.items():
+        pattern = F.lit(rf"{name} (?:{verbs}) {name}")
+        ends = F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("source"), F.regexp_extract_all(text, pattern, 2).alias("target"))
+        out.append(F.transform(ends, _typed(kind)))
+    return F.concat(*out)
+
+
+def _typed(kind: str):
+    return lambda e: F.struct(e["source"].alias("source"), e["target"].alias("target"), F.lit(kind).alias("type"))
+
+
+def rule_relationships(blocks: DataFrame) -> DataFrame:
+    """Without a model: names with a known verb between them, each relation once in a document."""
+    rows = _block(blocks).select("document_id", "first_block", "batch", F.posexplode(_related(F.col("content"))).alias("pos", "r")).select("document_id", "first_block", "batch", "pos", "r.*")
+    rows = rows.select("*", F.lit(None).cast("string").alias("description"), F.lit(0.8).alias("confidence"))
+    return _first(rows, F.lower("source"), F.lower("target"), "type")
+
+
+def extract(blocks: DataFrame, model: Callable[[str], str] | None = None, size: int = 5) -> dict[str, DataFrame]:
+    """entities, metrics, claims and relations of the blocks: by the model's answers, or by rules. A kind for which a
+    batch has no valid answer has no records of it; the others stay. With a model also `answers`, with their errors."""
+    if model is None:
+        return {"entities": rule_entities(blocks), "metrics": rule_metrics(blocks), "claims": rule_claims(blocks), "relations": rule_relationships(blocks)}
+    answers = cut_lineage(ask(batch_blocks(text_blocks(blocks), size), model))  # each batch is asked once
+    found = entities(answers)
+    return {"entities": found, "metrics": metrics(answers), "claims": claims(answers), "relations": relationships(answers, found), "answers": answers}

@@ -1,11 +1,15 @@
-"""Entity resolution by rule: names that are equal once normalised are one entity."""
+"""Entity resolution by rule (names that are equal once normalised are one entity) or by a model, with the rule to fall back on."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.functions.lineage import cut_lineage
 from evigraph.functions.text import normalise_name
+from evigraph.operators.extract import ask
 
 
 def resolve_entities(mentions: DataFrame) -> DataFrame:
@@ -41,3 +45,26 @@ def rewrite_mentions(claims: DataFrame, resolved: DataFrame) -> DataFrame:
     return claims.join(done, ["document_id", "claim_id"], "left").withColumn("entities_mentioned", F.coalesce(F.transform("e", lambda x: x["name"]), none)).drop("e")
 
 
+#: A document with more groups of names than this is put to the model.
+FEW_GROUPS = 3
+ANSWER = "struct<entities:array<struct<canonical:string,type:string,aliases:array<string>>>>"
+
+
+def resolve_with_model(mentions: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """As resolve_entities; in documents of more than FEW_GROUPS groups the model is given the names, one a line, and
+    answers {"entities": [{"canonical", "type", "aliases"}]}. A document without a valid answer keeps the rule's result,
+    as do its names that no answer mentions. Blocks are those of the canonical name and its aliases."""
+    ruled = cut_lineage(resolve_entities(mentions))
+    many = ruled.groupBy("document_id").agg(F.count("*").alias("groups")).filter(F.col("groups") > FEW_GROUPS).select("document_id")
+    names = mentions.join(many, "document_id", "left_semi").groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("name")), "\n").alias("text"))
+    said = cut_lineage(ask(names, model).withColumn("e", F.from_json("answer", ANSWER)["entities"]).filter("e is not null").select("document_id", F.posexplode("e").alias("k", "e")).select("document_id", "k", "e.*").filter("canonical is not null and canonical <> ''"))
+    groups = said.select("document_id", "k", "canonical", F.coalesce("type", F.lit("OTHER")).alias("type"), F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    # a name belongs to the first entity that claims it
+    owned = groups.groupBy("document_id", F.lower("name").alias("key")).agg(F.min(F.struct("k", "canonical", "type")).alias("o"))
+    met = mentions.withColumn("key", F.lower("name")).join(owned, ["document_id", "key"])
+    blocks = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block_id"))), lambda x: x["block_id"]))
+    spelled = F.array_sort(F.collect_set("name"))
+    by_model = met.groupBy("document_id", F.col("o.canonical").alias("canonical_name"), F.col("o.type").alias("entity_type")).agg(F.min_by("description", "seq").alias("description"), spelled.alias("aliases"), blocks.alias("source_block_ids"))
+    by_model = by_model.withColumn("aliases", F.filter("aliases", lambda n: F.lower(n) != F.lower(F.col("canonical_name"))))
+    left = mentions.withColumn("key", F.lower("name")).join(owned.select("document_id", "key"), ["document_id", "key"], "left_anti").drop("key")
+    return by_model.unionByName(resolve_entities(left))
