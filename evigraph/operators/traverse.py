@@ -1,22 +1,34 @@
-"""Walks over the undirected graph: one join per level, on a checkpointed edge list."""
+"""Walks over the undirected graph, a level at a time. A level of few nodes goes into the filter of the edge scans, a
+larger one is joined; edges are neither copied nor shuffled for it where they come from a snapshot."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.functions.lineage import cut_lineage
-from evigraph.operators.read import clamp, induced_edges
+from evigraph.functions.lineage import cut_lineage, shared_path
+from evigraph.operators.read import clamp, first_named, induced_edges, pinned
 from evigraph.schema import Graph, id_column
 
+NO_PATH = (False, None, [], [])
+PATH = "found boolean, length int, nodes array<string>, edges array<string>"
+
 
 def node_index(graph: Graph) -> DataFrame:
     """id and label of every node, derived from the nine tables."""
-    out = None
+    return labels_of(graph, None)
+
+
+def labels_of(graph: Graph, ids: list[str] | None) -> DataFrame:
+    """id and label of the nodes among ids; of all if none are given."""
+    parts = []
     for label, rows in graph.nodes.items():
-        part = rows.select(F.col(id_column(label)).alias("id"), F.lit(label).alias("label"))
-        out = part if out is None else out.union(part)
-    return out
+        key = F.col(id_column(label))
+        parts.append((rows if ids is None else rows.filter(key.isin(ids))).select(key.alias("id"), F.lit(label).alias("label")))
+    return reduce(DataFrame.union, parts)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -24,23 +36,41 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("edge_id", F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(edges.select("edge_id", F.col("target_id").alias("a"), F.col("source_id").alias("b")))
 
 
+def stored(graph: Graph) -> Graph:
+    """The graph itself if it is read from a snapshot, else with its edges written once, for the levels of a walk to read."""
+    if graph.stored:
+        return graph
+    path = shared_path(graph.edges.sparkSession, f"walk-{uuid.uuid4().hex}")
+    graph.edges.write.parquet(path)
+    return Graph(graph.nodes, graph.edges.sparkSession.read.schema(graph.edges.schema).parquet(path), stored=True)
+
+
+def step(graph: Graph, frontier: DataFrame) -> DataFrame:
+    """edge_id, a (in the frontier's id) and b for all edges at the frontier's nodes."""
+    out = graph.edges.select("edge_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    into = graph.incoming.select("edge_id", F.col("target_id").alias("a"), F.col("source_id").alias("b"))
+    ids = pinned(frontier, "id")
+    if ids is not None:
+        return out.filter(F.col("a").isin(ids)).union(into.filter(F.col("a").isin(ids)))
+    return out.union(into).join(frontier.select(F.col("id").alias("a")), "a")
+
+
 def subgraph_nodes(graph: Graph, start: str, depth: int = 2) -> DataFrame:
     """id, label and distance of the nodes within depth edges of start, which is included; empty if it is unknown."""
-    edges = cut_lineage(graph.edges.select("edge_id", "source_id", "target_id"))
-    index = node_index(graph)
-    seen = cut_lineage(index.filter(F.col("id") == start).select("id", F.lit(0).alias("distance")))
-    frontier = seen
+    graph = stored(graph)
+    seen = frontier = cut_lineage(labels_of(graph, [start]).select("id", F.lit(0).alias("distance")).distinct())
     for level in range(1, clamp(depth, 1, 5) + 1):
-        reached = undirected(edges).join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        reached = step(graph, frontier).select(F.col("b").alias("id")).distinct()
         frontier = cut_lineage(reached.join(seen, "id", "left_anti").select("id", F.lit(level).alias("distance")))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
-    return seen.join(index, "id").select("id", "label", "distance")
+    return seen.join(node_index(graph), "id").select("id", "label", "distance")
 
 
 def subgraph_edges(graph: Graph, start: str, depth: int = 2) -> DataFrame:
     """Edges of which both ends are within depth of start."""
+    graph = stored(graph)
     return induced_edges(graph.edges, cut_lineage(subgraph_nodes(graph, start, depth).select("id")))
 
 
@@ -48,28 +78,74 @@ def subgraph_label_counts(graph: Graph, start: str, depth: int = 2) -> DataFrame
     return subgraph_nodes(graph, start, depth).groupBy("label").agg(F.count("*").alias("n"))
 
 
+class _Side:
+    """What one end of a search has reached: by level, a table of id, the edge it came by and the node before."""
+
+    def __init__(self, graph: Graph, start: str):
+        self.graph = graph
+        first = graph.edges.sparkSession.createDataFrame([(start, None, None)], "id string, edge string, before string")
+        self.levels, self.size, self.seen = [first], 1, first.select("id")
+
+    def grow(self) -> bool:
+        found = step(self.graph, self.levels[-1]).join(self.seen.withColumnRenamed("id", "b"), "b", "left_anti")
+        level = found.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("edge_id", "a")).alias("p"))
+        level = cut_lineage(level.select("id", F.col("p.edge_id").alias("edge"), F.col("p.a").alias("before")))
+        self.levels.append(level)
+        self.seen = self.seen.union(level.select("id"))
+        self.size = level.count()
+        return self.size > 0
+
+    def way(self, node: str) -> tuple[list[str], list[str]]:
+        """Nodes and edges from the node, which is in the last level, back to the start: a lookup for each level."""
+        nodes, edges = [node], []
+        for level in self.levels[:0:-1]:
+            r = level.filter(F.col("id") == nodes[-1]).first()
+            edges.append(r["edge"])
+            nodes.append(r["before"])
+        return nodes, edges
+
+
 def shortest_path(graph: Graph, a: str, b: str, max_depth: int = 4) -> DataFrame:
-    """One row: found, length, and the nodes and edge ids in order. a and b are node ids. Of
-    several shortest paths that with the smallest edge id at each step is taken."""
+    """One row: found, length, and the nodes and edge ids in order. a and b are node ids. The search grows from
+    both, level by level, the smaller level first. Of several shortest paths it is one through the smallest node
+    in which the levels meet, and from there to either end by the smallest edge id at each step."""
     spark = graph.edges.sparkSession
-    schema = "found boolean, length int, nodes array<string>, edges array<string>"
-    edges = cut_lineage(graph.edges.select("edge_id", "source_id", "target_id"))
-    known = node_index(graph).filter(F.col("id").isin(a, b)).select("id").distinct().count()
-    if known < len({a, b}):
-        return spark.createDataFrame([(False, None, [], [])], schema)
+    if labels_of(graph, [a, b]).select("id").distinct().count() < len({a, b}):
+        return spark.createDataFrame([NO_PATH], PATH)
     if a == b:
-        return spark.createDataFrame([(True, 0, [a], [])], schema)
-    seen = cut_lineage(spark.createDataFrame([(a,)], "id string").select("id", F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edges")))
-    frontier = seen
-    for level in range(1, clamp(max_depth, 1, 10) + 1):
-        step = undirected(edges).join(frontier.withColumnRenamed("id", "a"), "a")
-        reached = step.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("edge_id", "nodes", "edges")).alias("p"))
-        reached = reached.join(seen.select("id"), "id", "left_anti")
-        frontier = cut_lineage(reached.select("id", F.concat("p.nodes", F.array("id")).alias("nodes"), F.concat("p.edges", F.array("p.edge_id")).alias("edges")))
-        hit = frontier.filter(F.col("id") == b).first()
-        if hit is not None:
-            return spark.createDataFrame([(True, level, hit["nodes"], hit["edges"])], schema)
-        if frontier.isEmpty():
+        return spark.createDataFrame([(True, 0, [a], [])], PATH)
+    graph = stored(graph)
+    left, right = _Side(graph, a), _Side(graph, b)
+    for _ in range(clamp(max_depth, 1, 10)):
+        side, other = (left, right) if left.size <= right.size else (right, left)
+        if not side.grow():
             break
-        seen = seen.select("id").union(frontier.select("id"))
-    return spark.createDataFrame([(False, None, [], [])], schema)
+        # levels grow one by one, so a first meeting is in the last level of both
+        met = side.levels[-1].select("id").join(other.levels[-1].select("id"), "id", "left_semi").agg(F.min("id")).first()[0]
+        if met is not None:
+            (from_a, edges_a), (to_b, edges_b) = left.way(met), right.way(met)
+            nodes, edges = [*from_a[::-1], *to_b[1:]], [*edges_a[::-1], *edges_b]
+            return spark.createDataFrame([(True, len(edges), nodes, edges)], PATH)
+    return spark.createDataFrame([NO_PATH], PATH)
+
+
+def path_between(graph: Graph, a: str, b: str, max_depth: int = 4) -> DataFrame:
+    """shortest_path between the first entities of two names, with the names; not found if either is unknown."""
+    ends = [first_named(graph, n).select("entity_id").collect() for n in (a, b)]
+    if not all(ends):
+        found = graph.edges.sparkSession.createDataFrame([NO_PATH], PATH)
+    else:
+        found = shortest_path(graph, ends[0][0][0], ends[1][0][0], max_depth)
+    return found.select(F.lit(a).alias("from_name"), F.lit(b).alias("to_name"), "*")
+
+
+def path_steps(graph: Graph, path: DataFrame) -> DataFrame:
+    """k, id, label and properties (JSON) of the nodes of a path, and the edge and its type that leads on from each; a path has at most eleven nodes."""
+    from evigraph.operators.read import node_lookup
+
+    row = path.first()
+    spark = graph.edges.sparkSession
+    steps = [(k, n, row["edges"][k] if k < len(row["edges"]) else None) for k, n in enumerate(row["nodes"])]
+    table = spark.createDataFrame(steps, "k int, id string, edge_id string")
+    types = graph.edges.filter(F.col("edge_id").isin(list(row["edges"]))).select("edge_id", "type")
+    return table.join(node_lookup(graph, list(row["nodes"])), "id").join(types, "edge_id", "left").select("k", "id", "label", "properties", "edge_id", "type").orderBy("k")

@@ -28,10 +28,12 @@ def id_column(label: str) -> str:
 
 @dataclass(frozen=True)
 class Graph:
-    """Lazy DataFrames: one for each label, and the edges."""
+    """Lazy DataFrames: one for each label, and the edges; of a stored graph the edges twice, clustered by source and by target."""
 
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     edges: DataFrame | None = None
+    edges_in: DataFrame | None = None
+    stored: bool = False
 
     def __getitem__(self, label: str) -> DataFrame:
         return self.nodes[label]
@@ -40,6 +42,15 @@ class Graph:
         """Edges of the types. Where edges are a union or partitioned by type, only those are read."""
         return self.edges.filter(self.edges["type"].isin(*types))
 
+    def to(self, *types: str) -> DataFrame:
+        """The same edges, for looking them up by target."""
+        edges = self.incoming
+        return edges.filter(edges["type"].isin(*types))
+
+    @property
+    def incoming(self) -> DataFrame:
+        return self.edges if self.edges_in is None else self.edges_in
+
 
 def empty(spark: SparkSession) -> Graph:
     return Graph({k: spark.createDataFrame([], v) for k, v in NODE_SCHEMAS.items()}, spark.createDataFrame([], EDGE_SCHEMA))

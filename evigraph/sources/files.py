@@ -1,7 +1,7 @@
 """Files to blocks: one row per heading, paragraph or data row, in document order.
 
-Text files are read whole by Spark and parsed with DataFrame functions; workbooks, which
-are zip archives of XML, are parsed by a small function in mapInPandas.
+CSV is read by Spark's reader, other text files whole and parsed with DataFrame functions;
+workbooks, which are zip archives of XML, are parsed by a small function in mapInPandas.
 
     document_id, source_filename, block_seq, section_seq, section_title, section_level,
     parent_section_seq, type, level, content, page, start_char, end_char, metadata
@@ -9,7 +9,6 @@ are zip archives of XML, are parsed by a small function in mapInPandas.
 
 from __future__ import annotations
 
-import csv
 import io
 import re
 import zipfile
@@ -58,10 +57,11 @@ def markdown_blocks(files: DataFrame) -> DataFrame:
     heading = F.col("mark") > 0
     blocks = blocks.withColumn("content", F.when(heading, F.trim(F.regexp_replace("raw", r"^#{1,6}\s+", ""))).otherwise(F.trim("raw")))
     sections = blocks.filter(heading).select("document_id", "section_seq", F.col("content").alias("section_title"), F.col("mark").alias("section_level"))
-    # the parent is the last earlier heading of a lower level; a document has as many as it has headings
-    earlier = sections.select("document_id", F.col("section_seq").alias("up"), F.col("section_level").alias("up_level"))
-    parents = sections.join(earlier, "document_id").filter((F.col("up") < F.col("section_seq")) & (F.col("up_level") < F.col("section_level"))).groupBy("document_id", "section_seq").agg(F.max("up").alias("parent_section_seq"))
-    out = blocks.join(sections, ["document_id", "section_seq"], "left").join(parents, ["document_id", "section_seq"], "left")
+    # the parent is the last earlier heading of a lower level: of six levels, the last of each so far
+    before = Window.partitionBy("document_id").orderBy("section_seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.max(F.when(F.col("section_level") == n, F.col("section_seq"))).over(before) for n in range(1, 6)]
+    sections = sections.withColumn("parent_section_seq", F.greatest(*[F.when(F.col("section_level") > n, last[n - 1]) for n in range(1, 6)]))
+    out = blocks.join(sections, ["document_id", "section_seq"], "left")
     seq = F.row_number().over(Window.partitionBy("document_id").orderBy("n")) - 1
     return out.select("document_id", "source_filename", seq.cast("int").alias("block_seq"), F.col("section_seq").cast("int"), F.coalesce("section_title", _stem(F.col("source_filename"))).alias("section_title"), F.coalesce("section_level", F.lit(0)).alias("section_level"), F.col("parent_section_seq").cast("int"), F.when(heading, "heading").otherwise("paragraph").alias("type"), F.when(heading, F.col("mark")).alias("level"), "content", F.lit(1).alias("page"), F.col("start_char").cast("int"), (F.col("start_char") + F.length("raw")).cast("int").alias("end_char"), F.lit(None).cast("map<string,string>").alias("metadata"))
 
@@ -81,14 +81,6 @@ def _data_rows(files: DataFrame, parse: Callable[[str], Iterator[tuple[str, int,
     return files.select("document_id", "source_filename", column).mapInPandas(run, BLOCKS)
 
 
-def parse_csv(text: str):
-    """Rows without any value are left out; empty values stay in the metadata but not in the text."""
-    rows = [r for r in csv.reader(io.StringIO(text)) if any(v != "" for v in r)]
-    for n, r in enumerate(rows[1:]):
-        cells = [(k, v) for k, v in zip(rows[0], [*r, *[""] * len(rows[0])], strict=False)]
-        yield None, 0, n, cells, ", ".join(f"{k}: {v}" for k, v in cells if v != "")
-
-
 _CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -151,8 +143,30 @@ def read_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     return json_blocks(whole_files(spark, paths))
 
 
-def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return _data_rows(whole_files(spark, paths), parse_csv)
+def read_csv(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
+    """A data row for each row, by Spark's own reader; paths may have different headers. Rows without any value are
+    left out; empty values stay in the metadata but not in the text. Values may hold line ends, for which a file
+    has to be read by one task from end to end; without multi_line large files are split."""
+    out = None
+    for path in paths:
+        rows = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
+        columns = rows.columns
+        values = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in columns]
+        cells = F.array(*[F.struct(F.lit(c).alias("k"), v.alias("v")) for c, v in zip(columns, values, strict=True)]) if columns else F.array().cast("array<struct<k:string,v:string>>")
+        full = F.filter(cells, lambda x: x["v"] != "")
+        rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), cells.alias("cells"), full.alias("full")).filter(F.size("full") > 0)
+        out = rows if out is None else out.unionByName(rows)
+    out = _named(out)
+    # a row's place in its file: its place in its part of it, and the rows of the parts before, of which there are few
+    parts = out.groupBy("document_id", "block", F.shiftright("m", 33).alias("part")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("document_id").orderBy("block", "part")
+    bases = parts.select("document_id", "block", "part", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("document_id", "block", "part").orderBy("m")
+    rows = out.withColumn("part", F.shiftright("m", 33)).withColumn("k", F.row_number().over(inside) - 1).join(bases, ["document_id", "block", "part"])
+    k = (F.col("base") + F.col("k")).cast("int")
+    text = F.array_join(F.transform("full", lambda x: F.concat(x["k"], F.lit(": "), x["v"])), ", ")
+    null_int = F.lit(None).cast("int")
+    return rows.select("document_id", "source_filename", k.alias("block_seq"), F.lit(0).alias("section_seq"), _stem(F.col("source_filename")).alias("section_title"), F.lit(1).alias("section_level"), null_int.alias("parent_section_seq"), F.lit("data_row").alias("type"), null_int.alias("level"), text.alias("content"), F.lit(1).alias("page"), (k * 100).alias("start_char"), ((k + 1) * 100).alias("end_char"), F.map_from_entries(F.transform("cells", lambda x: F.struct(x["k"], x["v"]))).alias("metadata"))
 
 
 def read_xlsx(spark: SparkSession, paths: list[str]) -> DataFrame:

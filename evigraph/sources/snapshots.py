@@ -1,21 +1,82 @@
-"""Graphs as Parquet tables: one per label, and edges partitioned by type."""
+"""Graphs as Parquet tables: one per label, and edges partitioned by type, once clustered by source and once by target,
+so that a lookup of few nodes reads few row groups of either. A store is a base snapshot and the deltas after it."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evigraph.schema import EDGE_SCHEMA, NODE_SCHEMAS, Graph
+from evigraph.functions.lineage import cut_lineage
+from evigraph.operators.merge import MergePolicy, upsert_graph
+from evigraph.schema import EDGE_SCHEMA, NODE_SCHEMAS, Graph, empty, id_column
 
+#: Deltas after which a store is compacted.
+EVERY = 8
 
-def write_graph(graph: Graph, path: str) -> None:
+
+def write_graph(graph: Graph, path: str, mode: str = "errorifexists") -> None:
     """A new snapshot; readers take a path, so a snapshot is never changed."""
     for label, rows in graph.nodes.items():
-        rows.write.parquet(f"{path}/nodes/{label}")
-    # one task per type and source prefix at least, so that a frequent type isn't one file
-    graph.edges.repartition("type", graph.edges["source_id"]).write.partitionBy("type").parquet(f"{path}/edges")
+        rows.sortWithinPartitions(id_column(label)).write.mode(mode).parquet(f"{path}/nodes/{label}")
+    made = graph.edges if graph.stored else cut_lineage(graph.edges)  # sampled for ranges and written, twice
+    for name, end in (("edges", "source_id"), ("edges_in", "target_id")):
+        # ranges of (type, end): a frequent type is many files, each with a narrow range of ids
+        edges = graph.incoming if graph.stored and end == "target_id" else made
+        edges.repartitionByRange("type", end).sortWithinPartitions("type", end).write.mode(mode).partitionBy("type").parquet(f"{path}/{name}")
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
     """Edges are read by type only where a type is asked for."""
     nodes = {k: spark.read.schema(v).parquet(f"{path}/nodes/{k}") for k, v in NODE_SCHEMAS.items()}
-    return Graph(nodes, spark.read.schema(EDGE_SCHEMA).parquet(f"{path}/edges"))
+    edges, edges_in = (spark.read.schema(EDGE_SCHEMA).parquet(f"{path}/{n}") for n in ("edges", "edges_in"))
+    return Graph(nodes, edges, edges_in, stored=True)
+
+
+def _log(spark: SparkSession, store: str) -> list[tuple[int, str]]:
+    """(number, base or delta) of what was committed; a number committed again counts once."""
+    try:
+        log = spark.read.schema("n long, kind string").parquet(f"{store}/log")
+        last = log.filter("kind = 'base'").agg(F.max("n")).first()[0]
+        return sorted({(r["n"], r["kind"]) for r in log.filter(F.col("n") >= (last or 0)).collect()})
+    except AnalysisException:
+        return []
+
+
+def _note(spark: SparkSession, store: str, n: int, kind: str) -> None:
+    spark.createDataFrame([(n, kind)], "n long, kind string").coalesce(1).write.mode("append").parquet(f"{store}/log")
+
+
+def commit(spark: SparkSession, store: str, new: Graph, policy: MergePolicy = MergePolicy(), n: int | None = None, every: int = EVERY) -> int:
+    """Write new as the store's next delta (or as number n, again if it was) and compact now and then. A reader sees a delta
+    once it is noted in the log, which is last. Returns the number."""
+    log = _log(spark, store)
+    n = (log[-1][0] + 1 if log else 1) if n is None else n
+    if (n, "base") in log or (log and n < log[0][0]):
+        return n  # compacted already
+    write_graph(new, f"{store}/delta-{n}", "overwrite")
+    _note(spark, store, n, "delta")
+    if n % every == 0:
+        write_graph(read_store(spark, store, policy), f"{store}/base-{n}", "overwrite")
+        _note(spark, store, n, "base")
+    return n
+
+
+def read_store(spark: SparkSession, store: str, policy: MergePolicy = MergePolicy()) -> Graph:
+    """The last base with the deltas after it, at most EVERY of them, merged in order."""
+    log = _log(spark, store)
+    bases = [n for n, kind in log if kind == "base"]
+    out = read_graph(spark, f"{store}/base-{bases[-1]}") if bases else None
+    for n, kind in log:
+        if kind == "delta" and n > (bases[-1] if bases else 0):
+            delta = read_graph(spark, f"{store}/delta-{n}")
+            out = delta if out is None else upsert_graph(out, delta, policy)
+    return out or empty(spark)
+
+
+def counts(graph: Graph) -> DataFrame:
+    """what and n: rows of every label and edges of every type."""
+    out = graph.edges.groupBy(F.col("type").alias("what")).agg(F.count("*").alias("n"))
+    for label, rows in graph.nodes.items():
+        out = out.union(rows.agg(F.count("*").alias("n")).select(F.lit(label), "n"))
+    return out

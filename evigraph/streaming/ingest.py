@@ -8,23 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from evigraph.operators.merge import MergePolicy, merge_graphs
-from evigraph.schema import Graph, empty
-from evigraph.sources.snapshots import read_graph
+from evigraph.operators.merge import MergePolicy
+from evigraph.schema import Graph
+from evigraph.sources.snapshots import EVERY, commit
 
 
-def ingest_files(spark: SparkSession, folder: str, snapshots: str, checkpoint: str, to_graph: Callable[[DataFrame], Graph], policy: MergePolicy = MergePolicy()) -> StreamingQuery:
-    """New text files in a folder become a graph each batch, merged into snapshots/<batch>. A batch that is
-    repeated after a failure writes its own snapshot again, from the one before it."""
+def ingest_files(spark: SparkSession, folder: str, store: str, checkpoint: str, to_graph: Callable[[DataFrame], Graph], policy: MergePolicy = MergePolicy(), every: int = EVERY) -> StreamingQuery:
+    """New text files in a folder become a graph each batch, which is written as a delta of the store; every so many
+    batches the store is compacted. A batch that is repeated after a failure writes its own delta again."""
     files = spark.readStream.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
     files = files.withColumn("source_filename", F.element_at(F.split("path", "/"), -1)).withColumn("document_id", F.sha2("path", 256))
 
     def step(batch: DataFrame, n: int) -> None:
-        old = empty(batch.sparkSession) if n == 0 else read_graph(batch.sparkSession, f"{snapshots}/{n - 1}")
-        merged = merge_graphs(old, to_graph(batch), policy)
-        for label, rows in merged.nodes.items():
-            rows.write.mode("overwrite").parquet(f"{snapshots}/{n}/nodes/{label}")
-        merged.edges.write.mode("overwrite").partitionBy("type").parquet(f"{snapshots}/{n}/edges")
+        commit(batch.sparkSession, store, to_graph(batch), policy, n + 1, every)
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -35,5 +31,3 @@ def windowed_events(events: DataFrame, width: str = "1 hour", late: str = "10 mi
         events = events.withWatermark("ts", late)
     groups = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
     return groups.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
-
-
