@@ -7,12 +7,15 @@ totals by customer and month, account balances and prices are metric values.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.functions.lineage import shared_path
 from evigraph.schema import Graph, complete
+from evigraph.sources.snapshots import read_graph, write_graph
 
 
 def _id(*parts: Column | str) -> Column:
@@ -93,6 +96,19 @@ def commerce_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return complete(spark, nodes, reduce(DataFrame.unionByName, edges))
 
 
+_SNAPSHOTS: dict[tuple[str, str], str] = {}
+
+
+def commerce_snapshot(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same graph, written once in a session as a snapshot in the shared folder and read from there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SNAPSHOTS:
+        path = shared_path(spark, f"commerce-{uuid.uuid4().hex}")
+        write_graph(commerce_graph(spark, sf_dir), path)
+        _SNAPSHOTS[key] = path
+    return read_graph(spark, _SNAPSHOTS[key])
+
+
 def _e(kind: str, source: str, target: str, rest: str, props: str = "CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR)") -> str:
     return f"SELECT '{kind}|' || s || '|' || t, s, t, '{kind}', {props} FROM (SELECT {source} AS s, {target} AS t {rest})"
 
@@ -124,22 +140,22 @@ _EDGES = "\nUNION ALL ".join([
 
 #: The same graph as common table expressions, to put in front of an oracle's SELECT.
 COMMERCE_SQL = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT *, strftime(o_orderdate, '%Y-%m') AS ym FROM orders),
-states AS (SELECT DISTINCT ym, o_orderstatus FROM o),
+states AS MATERIALIZED (SELECT DISTINCT ym, o_orderstatus FROM o),
 totals AS MATERIALIZED (SELECT o_custkey, c_name, ym, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM o JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 reports AS (SELECT 'rep:' || ym AS report_id, 'Orders ' || ym AS title, 'orders-' || ym || '.parquet' AS source_filename, ym || '-01' AS date, CAST(count(*) AS INTEGER) AS num_pages FROM o GROUP BY ym),
 sections AS (SELECT 'sec:' || ym || ':' || o_orderstatus AS section_id, o_orderstatus AS title, 1 AS level, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS "order" FROM states),
-paragraphs AS (SELECT 'par:' || o_orderkey AS paragraph_id, 'Order ' || o_orderkey || ' priority ' || o_orderpriority || ' status ' || o_orderstatus AS text, CAST(day(o_orderdate) AS INTEGER) AS page FROM o),
-spans AS (SELECT replace(paragraph_id, 'par:', 'span:') AS span_id, text, page, 0 AS start_char, CAST(length(text) AS INTEGER) AS end_char, paragraph_id AS block_id FROM paragraphs),
-entities AS (SELECT 'ent:' || entity_type || ':' || canonical_name AS entity_id, canonical_name, entity_type, canonical_name AS name, description, aliases FROM (
+paragraphs AS MATERIALIZED (SELECT 'par:' || o_orderkey AS paragraph_id, 'Order ' || o_orderkey || ' priority ' || o_orderpriority || ' status ' || o_orderstatus AS text, CAST(day(o_orderdate) AS INTEGER) AS page FROM o),
+spans AS MATERIALIZED (SELECT replace(paragraph_id, 'par:', 'span:') AS span_id, text, page, 0 AS start_char, CAST(length(text) AS INTEGER) AS end_char, paragraph_id AS block_id FROM paragraphs),
+entities AS MATERIALIZED (SELECT 'ent:' || entity_type || ':' || canonical_name AS entity_id, canonical_name, entity_type, canonical_name AS name, description, aliases FROM (
   SELECT r_name AS canonical_name, 'REGION' AS entity_type, NULL AS description, CAST([] AS VARCHAR[]) AS aliases FROM region
   UNION ALL SELECT n_name, 'NATION', NULL, [] FROM nation UNION ALL SELECT c_name, 'CUSTOMER', NULL, [] FROM customer
   UNION ALL SELECT s_name, 'SUPPLIER', NULL, [] FROM supplier
   UNION ALL SELECT p_name, 'PRODUCT', min(p_type), list_sort(list(DISTINCT p_brand)) FROM part GROUP BY p_name)),
-metrics AS (SELECT 'met:' || name AS metric_id, name, 'USD' AS unit FROM (VALUES ('order_total'), ('account_balance'), ('retail_price')) v(name)),
-metric_values AS (SELECT 'val:ot:' || o_custkey || ':' || ym AS value_id, value, 'USD' AS unit, ym AS period, CAST(NULL AS VARCHAR) AS context FROM totals
+metrics AS MATERIALIZED (SELECT 'met:' || name AS metric_id, name, 'USD' AS unit FROM (VALUES ('order_total'), ('account_balance'), ('retail_price')) v(name)),
+metric_values AS MATERIALIZED (SELECT 'val:ot:' || o_custkey || ':' || ym AS value_id, value, 'USD' AS unit, ym AS period, CAST(NULL AS VARCHAR) AS context FROM totals
   UNION ALL SELECT 'val:ab:c' || c_custkey, c_acctbal, 'USD', NULL, NULL FROM customer UNION ALL SELECT 'val:ab:s' || s_suppkey, s_acctbal, 'USD', NULL, NULL FROM supplier
   UNION ALL SELECT 'val:rp:' || p_partkey, p_retailprice, 'USD', NULL, NULL FROM part),
-claims AS (SELECT 'clm:' || o_orderkey AS claim_id, c_name || ' placed a ' || o_orderpriority || ' order' AS text,
+claims AS MATERIALIZED (SELECT 'clm:' || o_orderkey AS claim_id, c_name || ' placed a ' || o_orderpriority || ' order' AS text,
   CASE o_orderstatus WHEN 'F' THEN 'FACTUAL' WHEN 'O' THEN 'PREDICTION' ELSE 'OPINION' END AS claim_type,
   CAST(10 - CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS DOUBLE) / 10 AS confidence, CAST(NULL AS VARCHAR) AS polarity FROM o JOIN customer ON o_custkey = c_custkey),
 edges(edge_id, source_id, target_id, type, description, confidence, source_text) AS MATERIALIZED ({_EDGES})"""

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
+from evigraph.functions.lineage import shared_path
 from evigraph.operators import analytics, extract, merge, read, resolve, search, traverse
-from evigraph.plans.commerce import COMMERCE_SQL, commerce_graph
+from evigraph.plans.commerce import COMMERCE_SQL, commerce_graph, commerce_snapshot
+from evigraph.plans.ingest import blocks_to_graph
 from evigraph.schema import Graph
 from evigraph.sources import files
+from evigraph.sources.snapshots import commit, counts, read_store
 from evigraph.streaming.ingest import windowed_events
 
 C, N, S, M = "Customer#000000001", "NATION_1", "Supplier#000000001", "order_total"
@@ -22,8 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def graph_query(name: str, build: Callable[[Graph], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(commerce_graph(spark, sf_dir))
+def graph_query(name: str, build: Callable[[Graph], DataFrame], sql: str | None = None, source: Callable[[SparkSession, str], Graph] = commerce_snapshot) -> None:
+    """A query on the snapshot of the graph, or on the graph as it is made from the tables."""
+    QUERIES[name] = lambda spark, sf_dir: build(source(spark, sf_dir))
     if sql is not None:
         glue = ",\n" if sql.lstrip().startswith("--cte") else "\n"
         ORACLE_SQL[name] = COMMERCE_SQL + glue + sql.replace("--cte", "", 1)
@@ -49,12 +54,21 @@ graph_query("find_entities_by_type", lambda g: flat(read.find_entities_by_type(g
 graph_query("get_entity", lambda g: flat(read.get_entity(g, START)), f"SELECT {_ENTITY} FROM entities WHERE entity_id = '{START}'")
 graph_query("get_report", lambda g: read.get_report(g, REPORT), f"SELECT * FROM reports WHERE report_id = '{REPORT}'")
 graph_query("list_reports", read.list_reports, "SELECT * FROM reports")
-graph_query("node_lookup", lambda g: read.node_lookup(g, [START, REPORT, CLAIM, "met:order_total", "nothing"]).select("id", "label"), f"SELECT entity_id AS id, 'Entity' AS label FROM entities WHERE entity_id = '{START}' UNION ALL SELECT report_id, 'Report' FROM reports WHERE report_id = '{REPORT}' UNION ALL SELECT claim_id, 'Claim' FROM claims WHERE claim_id = '{CLAIM}' UNION ALL SELECT metric_id, 'Metric' FROM metrics WHERE name = 'order_total'")
-_CLAIMS_ABOUT = f"SELECT n.entity_id, {_CLAIM} FROM entities n JOIN edges e ON e.target_id = n.entity_id JOIN claims c ON c.claim_id = e.source_id WHERE {_ABOUT} AND (n.canonical_name = '{{name}}' OR n.name = '{{name}}')"
+_SHOWN = F.concat_ws("|", *[F.get_json_object("properties", f"$.{k}") for k in ("title", "canonical_name", "entity_type", "text", "claim_type", "name", "unit", "num_pages", "page")])
+graph_query(
+    "node_lookup",
+    lambda g: read.node_lookup(g, [START, REPORT, CLAIM, "par:1", "met:order_total", "nothing"]).select("id", "label", _SHOWN.alias("shown")),
+    f"""SELECT entity_id AS id, 'Entity' AS label, concat_ws('|', canonical_name, entity_type, name) AS shown FROM entities WHERE entity_id = '{START}'
+    UNION ALL SELECT report_id, 'Report', concat_ws('|', title, num_pages) FROM reports WHERE report_id = '{REPORT}'
+    UNION ALL SELECT claim_id, 'Claim', concat_ws('|', text, claim_type) FROM claims WHERE claim_id = '{CLAIM}'
+    UNION ALL SELECT paragraph_id, 'Paragraph', concat_ws('|', text, page) FROM paragraphs WHERE paragraph_id = 'par:1'
+    UNION ALL SELECT metric_id, 'Metric', concat_ws('|', name, unit) FROM metrics WHERE name = 'order_total'""",
+)
+_CLAIMS_ABOUT = f"--cte n AS MATERIALIZED (SELECT entity_id FROM entities WHERE canonical_name = '{{name}}' UNION SELECT entity_id FROM entities WHERE name = '{{name}}'), ae AS MATERIALIZED (SELECT e.source_id, e.target_id FROM edges e WHERE {_ABOUT} AND e.target_id IN (SELECT entity_id FROM n)) SELECT ae.target_id AS entity_id, {_CLAIM} FROM ae JOIN claims c ON c.claim_id = ae.source_id WHERE true"
 graph_query("claims_about", lambda g: read.claims_about(g, C), _CLAIMS_ABOUT.format(name=C))
 graph_query("claims_about_product", lambda g: read.claims_about(g, PRODUCT), _CLAIMS_ABOUT.format(name=PRODUCT))
 graph_query("claims_about_by_type", lambda g: read.claims_about(g, C, claim_type="FACTUAL"), _CLAIMS_ABOUT.format(name=C) + " AND c.claim_type = 'FACTUAL'")
-_IN_REPORT = f"SELECT a.target_id FROM edges s JOIN edges p ON p.source_id = s.target_id AND p.type = 'HAS_PARAGRAPH' JOIN edges a ON a.source_id = p.target_id AND a.type = 'ASSERTS' WHERE s.type = 'HAS_SECTION' AND s.source_id = '{REPORT}'"
+_IN_REPORT = f"SELECT target_id FROM edges WHERE type = 'ASSERTS' AND source_id IN (SELECT target_id FROM edges WHERE type = 'HAS_PARAGRAPH' AND source_id IN (SELECT target_id FROM edges WHERE type = 'HAS_SECTION' AND source_id = '{REPORT}'))"
 graph_query("claims_in_report", lambda g: read.claims_in_report(g, REPORT), f"SELECT {_CLAIM} FROM claims c WHERE claim_id IN ({_IN_REPORT})")
 graph_query("claims_about_in_report", lambda g: read.claims_about(g, PRODUCT, report_id=REPORT), _CLAIMS_ABOUT.format(name=PRODUCT) + f" AND c.claim_id IN ({_IN_REPORT})")
 graph_query("find_entities_in_report", lambda g: flat(read.find_entities_in_report(g, REPORT, "CUSTOMER")), f"SELECT {_ENTITY} FROM entities WHERE entity_type = 'CUSTOMER' AND entity_id IN (SELECT source_id FROM edges WHERE type = 'SOURCED_FROM' AND target_id = '{REPORT}') ORDER BY entity_id LIMIT 50")
@@ -77,14 +91,31 @@ graph_query("profile_evidence", lambda g: read.profile_evidence(g, C), f"SELECT
 graph_query("profile_metrics", lambda g: read.profile_metrics(g, C), f"SELECT DISTINCT m.name AS metric, v.value, v.unit, v.period FROM {_VALUED} WHERE n.entity_id = '{START}'")
 graph_query("profile_related", lambda g: read.profile_related(g, C), f"SELECT entity_id, canonical_name, entity_type FROM entities WHERE entity_id <> '{START}' AND entity_id IN (SELECT target_id FROM edges WHERE source_id = '{START}' UNION ALL SELECT source_id FROM edges WHERE target_id = '{START}')")
 graph_query("profile_reports", lambda g: read.profile_reports(g, C), f"SELECT report_id, title, date FROM reports WHERE report_id IN (SELECT target_id FROM edges WHERE type = 'SOURCED_FROM' AND source_id = '{START}')")
+def _digest(rows: str, shown) -> Column:
+    return F.md5(F.array_join(F.array_sort(F.transform(rows, lambda x: F.concat_ws("|", *[shown_part(x) for shown_part in shown]))), chr(10)).cast("binary"))
+
+
+_PARTS = {
+    "claims": [lambda x: x["claim_id"], lambda x: x["text"], lambda x: x["claim_type"]],
+    "evidence": [lambda x: x["span_id"], lambda x: x["text"], lambda x: x["page"].cast("string")],
+    "metrics": [lambda x: x["metric"], lambda x: F.format_string("%.2f", x["value"]), lambda x: x["unit"], lambda x: x["period"]],
+    "related_entities": [lambda x: x["entity_id"], lambda x: x["canonical_name"], lambda x: x["entity_type"]],
+    "reports": [lambda x: x["report_id"], lambda x: x["title"], lambda x: x["date"]],
+}
+_LISTED = "(SELECT md5(coalesce(string_agg(x, chr(10) ORDER BY x), '')) FROM ({rows}))"
 graph_query(
     "entity_profile",
-    lambda g: read.entity_profile(g, C).select("entity_id", *[F.size(c).alias(c) for c in ("claims", "evidence", "metrics", "related_entities", "reports")]),
-    f"""SELECT '{START}' AS entity_id, CAST((SELECT count(*) FROM ({_TO_START})) AS INTEGER) AS claims,
-      CAST((SELECT count(DISTINCT target_id) FROM edges WHERE type = 'SUPPORTED_BY' AND source_id IN ({_TO_START})) AS INTEGER) AS evidence,
-      CAST((SELECT count(*) FROM (SELECT DISTINCT m.name, v.value, v.unit, v.period FROM {_VALUED} WHERE n.entity_id = '{START}')) AS INTEGER) AS metrics,
-      CAST((SELECT count(*) FROM entities WHERE entity_id <> '{START}' AND entity_id IN (SELECT target_id FROM edges WHERE source_id = '{START}' UNION ALL SELECT source_id FROM edges WHERE target_id = '{START}')) AS INTEGER) AS related_entities,
-      CAST((SELECT count(DISTINCT target_id) FROM edges WHERE type = 'SOURCED_FROM' AND source_id = '{START}') AS INTEGER) AS reports""",
+    lambda g: read.entity_profile(g, C).select("entity_id", *[F.size(c).alias(c) for c in _PARTS], *[_digest(c, shown).alias(f"{c}_md5") for c, shown in _PARTS.items()]),
+    f"""--cte tos AS MATERIALIZED ({_TO_START}), pc AS MATERIALIZED (SELECT {_CLAIM} FROM claims c WHERE claim_id IN (SELECT source_id FROM tos)),
+    pe AS MATERIALIZED (SELECT span_id, text, page FROM spans WHERE span_id IN (SELECT target_id FROM edges WHERE type = 'SUPPORTED_BY' AND source_id IN (SELECT source_id FROM tos))),
+    pm AS MATERIALIZED (SELECT DISTINCT m.name AS metric, v.value, v.unit, v.period FROM {_VALUED} WHERE n.entity_id = '{START}'),
+    pr AS MATERIALIZED (SELECT entity_id, canonical_name, entity_type FROM entities WHERE entity_id <> '{START}' AND entity_id IN (SELECT target_id FROM edges WHERE source_id = '{START}' UNION ALL SELECT source_id FROM edges WHERE target_id = '{START}')),
+    pt AS MATERIALIZED (SELECT report_id, title, date FROM reports WHERE report_id IN (SELECT target_id FROM edges WHERE type = 'SOURCED_FROM' AND source_id = '{START}'))
+    SELECT '{START}' AS entity_id, CAST((SELECT count(*) FROM pc) AS INTEGER) AS claims, CAST((SELECT count(*) FROM pe) AS INTEGER) AS evidence, CAST((SELECT count(*) FROM pm) AS INTEGER) AS metrics,
+      CAST((SELECT count(*) FROM pr) AS INTEGER) AS related_entities, CAST((SELECT count(*) FROM pt) AS INTEGER) AS reports,
+      {_LISTED.format(rows="SELECT concat_ws('|', claim_id, text, claim_type) AS x FROM pc")} AS claims_md5, {_LISTED.format(rows="SELECT concat_ws('|', span_id, text, page) AS x FROM pe")} AS evidence_md5,
+      {_LISTED.format(rows="SELECT concat_ws('|', metric, printf('%.2f', value), unit, period) AS x FROM pm")} AS metrics_md5, {_LISTED.format(rows="SELECT concat_ws('|', entity_id, canonical_name, entity_type) AS x FROM pr")} AS related_entities_md5,
+      {_LISTED.format(rows="SELECT concat_ws('|', report_id, title, date) AS x FROM pt")} AS reports_md5""",
 )
 graph_query(
     "cross_report_entity",
@@ -95,18 +126,18 @@ graph_query(
       UNION ALL SELECT DISTINCT 'metric', v.value_id, m.name, v.value, NULL FROM {_VALUED} WHERE n.entity_id = '{START}') x
     WHERE f.type = 'SOURCED_FROM' AND f.source_id = '{START}'""",
 )
-_REPORT_NODES = f"""rn AS (SELECT '{REPORT}' AS id, 'Report' AS label UNION SELECT source_id, 'Entity' FROM edges WHERE type = 'SOURCED_FROM' AND target_id = '{REPORT}'),
-    cn AS (SELECT e.source_id AS id, 'Claim' AS label FROM edges e JOIN rn ON e.target_id = rn.id WHERE {_ABOUT}),
-    vn AS (SELECT e.target_id AS id, 'MetricValue' AS label FROM edges e JOIN rn ON e.source_id = rn.id WHERE e.type = 'HAS_VALUE'),
-    mn AS (SELECT e.target_id AS id, 'Metric' AS label FROM edges e JOIN vn ON e.source_id = vn.id WHERE e.type = 'MEASURES'),
-    nodes AS (SELECT * FROM rn UNION SELECT * FROM cn UNION SELECT * FROM vn UNION SELECT * FROM mn)"""
+_REPORT_NODES = f"""rn AS MATERIALIZED (SELECT '{REPORT}' AS id, 'Report' AS label UNION SELECT source_id, 'Entity' FROM edges WHERE type = 'SOURCED_FROM' AND target_id = '{REPORT}'),
+    cn AS MATERIALIZED (SELECT e.source_id AS id, 'Claim' AS label FROM edges e JOIN rn ON e.target_id = rn.id WHERE {_ABOUT}),
+    vn AS MATERIALIZED (SELECT e.target_id AS id, 'MetricValue' AS label FROM edges e JOIN rn ON e.source_id = rn.id WHERE e.type = 'HAS_VALUE'),
+    mn AS MATERIALIZED (SELECT e.target_id AS id, 'Metric' AS label FROM edges e JOIN vn ON e.source_id = vn.id WHERE e.type = 'MEASURES'),
+    nodes AS MATERIALIZED (SELECT * FROM rn UNION SELECT * FROM cn UNION SELECT * FROM vn UNION SELECT * FROM mn)"""
 graph_query("report_graph_nodes", lambda g: read.report_graph_nodes(g, REPORT), f"--cte {_REPORT_NODES} SELECT id, label FROM nodes")
 graph_query("report_graph_edges", lambda g: read.report_graph_edges(g, REPORT), f"--cte {_REPORT_NODES} SELECT edge_id, source_id, target_id, type FROM edges WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)")
 
 # walks
-_WALK = f"""both_ways AS (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges),
-    d1 AS (SELECT DISTINCT b AS id FROM both_ways WHERE a = '{START}'), d2 AS (SELECT DISTINCT b AS id FROM both_ways JOIN d1 ON a = d1.id),
-    seen AS (SELECT id, min(distance) AS distance FROM (SELECT '{START}' AS id, 0 AS distance UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2) GROUP BY id),
+_WALK = f"""both_ways AS MATERIALIZED (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges),
+    d1 AS MATERIALIZED (SELECT DISTINCT b AS id FROM both_ways WHERE a = '{START}'), d2 AS MATERIALIZED (SELECT DISTINCT b AS id FROM both_ways JOIN d1 ON a = d1.id),
+    seen AS MATERIALIZED (SELECT id, min(distance) AS distance FROM (SELECT '{START}' AS id, 0 AS distance UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2) GROUP BY id),
     labelled AS (SELECT id, distance, CASE split_part(id, ':', 1) WHEN 'ent' THEN 'Entity' WHEN 'rep' THEN 'Report' WHEN 'sec' THEN 'Section' WHEN 'par' THEN 'Paragraph' WHEN 'span' THEN 'SourceSpan' WHEN 'met' THEN 'Metric' WHEN 'val' THEN 'MetricValue' ELSE 'Claim' END AS label FROM seen)"""
 graph_query("subgraph_nodes", lambda g: traverse.subgraph_nodes(g, START, 2), f"--cte {_WALK} SELECT id, label, distance FROM labelled")
 graph_query("subgraph_edges", lambda g: traverse.subgraph_edges(g, START, 2), f"--cte {_WALK} SELECT edge_id, source_id, target_id, type FROM edges WHERE source_id IN (SELECT id FROM seen) AND target_id IN (SELECT id FROM seen)")
@@ -114,16 +145,33 @@ graph_query("subgraph_label_counts", lambda g: traverse.subgraph_label_counts(g,
 _PATH = """both_ways AS (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges),
     walk(id, level) AS (SELECT '{a}', 0 UNION SELECT b, level + 1 FROM walk JOIN both_ways ON a = id WHERE level < 4)
     SELECT count(*) > 0 AS found, CAST(min(level) AS INTEGER) AS length FROM walk WHERE id = '{b}'"""
-graph_query("shortest_path", lambda g: traverse.shortest_path(g, START, f"ent:SUPPLIER:{S}").select("found", "length"), "--cte " + _PATH.format(a=START, b=f"ent:SUPPLIER:{S}"))
-graph_query("shortest_path_region", lambda g: traverse.shortest_path(g, START, "ent:REGION:ASIA").select("found", "length"), "--cte " + _PATH.format(a=START, b="ent:REGION:ASIA"))
+
+
+def _checked(g: Graph, path: DataFrame) -> DataFrame:
+    """found and length of a path, and how many of its edges lie between its nodes in the graph."""
+    steps = traverse.path_steps(g, path)
+    e = g.edges.select("edge_id", "source_id", "target_id")
+    after = F.lead("id").over(Window.partitionBy(F.lit(0)).orderBy("k"))  # eleven rows at most
+    met = steps.withColumn("next", after).join(e, "edge_id").filter((F.least("id", "next") == F.least("source_id", "target_id")) & (F.greatest("id", "next") == F.greatest("source_id", "target_id")))
+    return path.select("found", "length").join(F.broadcast(met.agg(F.count("*").cast("int").alias("edges_met"))))
+
+
+_PATH_MET = _PATH.replace(" AS length FROM walk", " AS length, CAST(min(level) AS INTEGER) AS edges_met FROM walk")
+for _name, _to in (("shortest_path", f"ent:SUPPLIER:{S}"), ("shortest_path_region", "ent:REGION:ASIA")):
+    graph_query(_name, lambda g, to=_to: _checked(g, traverse.shortest_path(g, START, to)), "--cte " + _PATH_MET.format(a=START, b=_to))
+graph_query(
+    "path_between",  # a customer and its supplier's nation may have many; a customer and its own nation one
+    lambda g: traverse.path_between(g, C, "NATION_19").select("from_name", "to_name", "found", "length", F.array_join("nodes", "|").alias("nodes"), F.array_join("edges", "|").alias("edges")),
+    f"SELECT '{C}' AS from_name, 'NATION_19' AS to_name, true AS found, CAST(1 AS INTEGER) AS length, source_id || '|' || target_id AS nodes, edge_id AS edges FROM edges WHERE source_id = '{START}' AND target_id = 'ent:NATION:NATION_19'",
+)
 
 
 # search
 def _bm25_sql(table: str, key: str, columns: str, text: str, term: str, limit: int, where: str = "") -> str:
-    return f"""--cte toks AS (SELECT {columns}, list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {table}),
-    tf AS (SELECT *, len(t) AS dl, len(list_filter(t, lambda x: starts_with(x, '{term}'))) AS f FROM toks),
-    stats AS (SELECT count(*) AS n, avg(dl) AS mean, count(*) FILTER (WHERE f > 0) AS df FROM tf),
-    ranked AS (SELECT tf.* EXCLUDE (t, dl, f), greatest(ln((n - df + 0.5) / (df + 0.5)), CAST(0.000001 AS DOUBLE)) * f * CAST(2.2 AS DOUBLE) / (f + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / mean)) AS score FROM tf, stats WHERE f > 0 {where} ORDER BY score DESC, {key} LIMIT {limit})"""
+    return f"""--cte toks AS MATERIALIZED (SELECT {columns}, list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {table}),
+    tf AS MATERIALIZED (SELECT *, len(t) AS dl, len(list_filter(t, lambda x: starts_with(x, '{term}'))) AS f FROM toks),
+    stats AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS mean, count(*) FILTER (WHERE f > 0) AS df FROM tf),
+    ranked AS MATERIALIZED (SELECT tf.* EXCLUDE (t, dl, f), greatest(ln((n - df + 0.5) / (df + 0.5)), CAST(0.000001 AS DOUBLE)) * f * CAST(2.2 AS DOUBLE) / (f + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / mean)) AS score FROM tf, stats WHERE f > 0 {where} ORDER BY score DESC, {key} LIMIT {limit})"""
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -133,20 +181,34 @@ def scored(rows: DataFrame) -> DataFrame:
 _ENT_TEXT = "concat_ws(' ', name, canonical_name, description)"
 graph_query("find_entities_fts", lambda g: scored(search.find_entities(g, "small")).select("entity_id", "canonical_name", "score"), _bm25_sql("entities", "entity_id", "entity_id, canonical_name", _ENT_TEXT, "small", 50) + " SELECT entity_id, canonical_name, round(score, 6) AS score FROM ranked")
 graph_query("find_entities_fts_by_type", lambda g: scored(search.find_entities(g, "0000", "SUPPLIER")).select("entity_id", "canonical_name", "score"), _bm25_sql("entities", "entity_id", "entity_id, canonical_name, entity_type", _ENT_TEXT, "0000", 50, "AND entity_type = 'SUPPLIER'") + " SELECT entity_id, canonical_name, round(score, 6) AS score FROM ranked")
+_IN = f"SELECT source_id FROM edges WHERE type = 'SOURCED_FROM' AND target_id = '{REPORT}'"
+graph_query("find_entities_fts_in_report", lambda g: scored(search.find_entities(g, "customer", report_id=REPORT)).select("entity_id", "canonical_name", "score"), _bm25_sql("entities", "entity_id", "entity_id, canonical_name", _ENT_TEXT, "customer", 50, f"AND entity_id IN ({_IN})") + " SELECT entity_id, canonical_name, round(score, 6) AS score FROM ranked")
+_PHRASE = "len(list_filter(range(1, len({t})), lambda k: {t}[k] = 'small' AND {t}[k + 1] = 'ring'))"
+graph_query(
+    "find_entities_phrase",
+    lambda g: scored(search.find_entities(g, '"small ring"')).select("entity_id", "canonical_name", "score"),
+    _bm25_sql("entities", "entity_id", "entity_id, canonical_name", _ENT_TEXT, "small", 50).replace("len(list_filter(t, lambda x: starts_with(x, 'small'))) AS f", "f AS f", 1).replace("AS t FROM entities", f"AS t, {' + '.join(_PHRASE.format(t=f'string_split(lower({c}), chr(32))') for c in ('name', 'canonical_name', 'coalesce(description, chr(32))'))} AS f FROM entities", 1).replace("* EXCLUDE (t, dl, f)", "* EXCLUDE (t, dl, f)") + " SELECT entity_id, canonical_name, round(score, 6) AS score FROM ranked",
+)
 graph_query("find_claims_fts", lambda g: scored(search.find_claims(g, "urgent", 100)).select("claim_id", "text", "score"), _bm25_sql("claims", "claim_id", "claim_id, text", "text", "urgent", 100) + " SELECT claim_id, text, round(score, 6) AS score FROM ranked")
 _HYBRID = (
     _bm25_sql("entities", "entity_id", "entity_id, canonical_name", _ENT_TEXT, "small", 30)
-    + f""", hybrid AS (SELECT * EXCLUDE (k) FROM (
+    + f""", hybrid AS MATERIALIZED (SELECT * EXCLUDE (k) FROM (
       SELECT 0 AS k, 'entity' AS result_type, entity_id AS id, canonical_name AS text, canonical_name AS mentioned_entity, round(score, 6) AS score FROM ranked
       UNION ALL SELECT 1, 'claim', c.claim_id, c.text, r.canonical_name, round(score, 6) FROM ranked r JOIN edges e ON e.target_id = r.entity_id AND {_ABOUT} JOIN claims c ON c.claim_id = e.source_id)
     ORDER BY k, score DESC, mentioned_entity, id LIMIT 30)"""
 )
 graph_query("hybrid_search", lambda g: scored(search.hybrid_search(g, "small", 30)), _HYBRID + " SELECT * FROM hybrid")
+_CUSTOMERS = _bm25_sql("entities", "entity_id", "entity_id, canonical_name", _ENT_TEXT, "customer", 40, f"AND entity_id IN ({_IN})")
+graph_query(
+    "hybrid_search_in_report",
+    lambda g: scored(search.hybrid_search(g, "customer", 40, report_id=REPORT)),
+    _CUSTOMERS + _HYBRID[_HYBRID.index(", hybrid AS") :].replace("c.claim_id = e.source_id)", f"c.claim_id = e.source_id AND c.claim_id IN ({_IN_REPORT}))").replace("LIMIT 30", "LIMIT 40") + " SELECT * FROM hybrid",
+)
 graph_query(
     "retrieve_for_question",
     lambda g: scored(search.retrieve_for_question(g, "small", 30)),
     _HYBRID
-    + f""", top AS (SELECT * FROM hybrid WHERE result_type = 'entity' ORDER BY score DESC, mentioned_entity, id LIMIT 5)
+    + f""", top AS MATERIALIZED (SELECT * FROM hybrid WHERE result_type = 'entity' ORDER BY score DESC, mentioned_entity, id LIMIT 5)
     SELECT * FROM hybrid UNION ALL SELECT 'metric', v.value_id, m.name || ': ' || printf('%.2f', v.value) || ' ' || v.unit, t.mentioned_entity, t.score
     FROM {_VALUED} JOIN top t ON n.entity_id = t.id""",
 )
@@ -180,14 +242,23 @@ _TREND = f"""--cte x AS (SELECT n.entity_id, v.value, row_number() OVER (PARTITI
     FROM x GROUP BY entity_id"""
 graph_query("metric_trend", lambda g: analytics.metric_trend(g, M, C), _TREND.format(where=f"AND n.canonical_name = '{C}'"))
 graph_query("metric_trend_all", lambda g: analytics.metric_trend(g, M), _TREND.format(where=""))
+graph_query("metric_trend_like", lambda g: analytics.metric_trend(g, "TOTAL", C), _TREND.replace("m.name = '" + M + "'", "lower(m.name) LIKE '%total%'").format(where=f"AND n.canonical_name = '{C}'"))
 graph_query("entity_timeline", lambda g: analytics.entity_timeline(g, C), f"SELECT CAST(NULL AS VARCHAR) AS period, 'claim' AS type, claim_id AS id, text FROM claims WHERE claim_id IN ({_TO_START}) UNION ALL SELECT v.period, 'metric', v.value_id, m.name || ': ' || printf('%.2f', v.value) || ' ' || v.unit FROM {_VALUED} WHERE n.entity_id = '{START}'")
 graph_query("contradiction_candidates", lambda g: analytics.contradiction_candidates(g, C), f"--cte x AS (SELECT claim_id, text, claim_type FROM claims WHERE claim_id IN ({_TO_START})) SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, a.claim_type AS type_a, b.claim_type AS type_b, a.text FROM x a JOIN x b ON a.text = b.text AND a.claim_id < b.claim_id AND a.claim_type <> b.claim_type")
 
 # building and merging
-graph_query("build_entities", lambda g: flat(g["Entity"]), f"SELECT {_ENTITY} FROM entities")
-graph_query("build_edges_by_type", lambda g: g.edges.groupBy("type").agg(F.count("*").alias("n")), "SELECT type, count(*) AS n FROM edges GROUP BY type")
+graph_query("build_entities", lambda g: flat(g["Entity"]), f"SELECT {_ENTITY} FROM entities", commerce_graph)
+graph_query("build_edges_by_type", lambda g: g.edges.groupBy("type").agg(F.count("*").alias("n")), "SELECT type, count(*) AS n FROM edges GROUP BY type", commerce_graph)
 graph_query("node_index", lambda g: traverse.node_index(g).groupBy("label").agg(F.count("*").alias("n")), "SELECT 'Report' AS label, count(*) AS n FROM reports UNION ALL SELECT 'Section', count(*) FROM sections UNION ALL SELECT 'Paragraph', count(*) FROM paragraphs UNION ALL SELECT 'SourceSpan', count(*) FROM spans UNION ALL SELECT 'Entity', count(*) FROM entities UNION ALL SELECT 'Metric', count(*) FROM metrics UNION ALL SELECT 'MetricValue', count(*) FROM metric_values UNION ALL SELECT 'Claim', count(*) FROM claims")
-graph_query("export_dump", lambda g: merge.export_dump(g).groupBy("kind", "label").agg(F.count("*").alias("n")).filter("kind = 'node'"), "SELECT 'node' AS kind, label, n FROM (SELECT 'Report' AS label, count(*) AS n FROM reports UNION ALL SELECT 'Section', count(*) FROM sections UNION ALL SELECT 'Paragraph', count(*) FROM paragraphs UNION ALL SELECT 'SourceSpan', count(*) FROM spans UNION ALL SELECT 'Entity', count(*) FROM entities UNION ALL SELECT 'Metric', count(*) FROM metrics UNION ALL SELECT 'MetricValue', count(*) FROM metric_values UNION ALL SELECT 'Claim', count(*) FROM claims)")
+_FIELD = lambda k: F.get_json_object("properties", f"$.{k}")
+_DUMPED = F.concat_ws("|", "id", *[_FIELD(k) for k in ("title", "text", "canonical_name", "claim_type", "unit", "period", "source_id", "target_id", "source_text", "num_pages", "page")])
+_DUMP_OF = {"Report": ("reports", "report_id, title, num_pages"), "Section": ("sections", "section_id, title"), "Paragraph": ("paragraphs", "paragraph_id, text, page"), "SourceSpan": ("spans", "span_id, text, page"), "Entity": ("entities", "entity_id, canonical_name"), "Metric": ("metrics", "metric_id, unit"), "MetricValue": ("metric_values", "value_id, unit, period"), "Claim": ("claims", "claim_id, text, claim_type")}
+_DUMP_ROWS = " UNION ALL ".join([*(f"SELECT 'node' AS kind, '{label}' AS label, concat_ws('|', {columns}) AS x FROM {rows}" for label, (rows, columns) in _DUMP_OF.items()), "SELECT 'edge', type, concat_ws('|', edge_id, source_id, target_id, source_text) FROM edges"])
+graph_query(
+    "export_dump",
+    lambda g: merge.export_dump(g).groupBy("kind", "label").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5(_DUMPED.cast("binary")), 1, 8), 16, 10).cast("long")).alias("digest"), F.sum(F.length(_DUMPED)).alias("chars")),
+    f"--cte dumped AS ({_DUMP_ROWS}) SELECT kind, label, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS BIGINT) AS digest, CAST(sum(length(x)) AS BIGINT) AS chars FROM dumped GROUP BY kind, label",
+)
 
 
 def _half(part: DataFrame, odd: int) -> DataFrame:
@@ -240,17 +311,24 @@ table_query(
 
 # documents
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (of all lines), line and its offset, for lines that aren't blank."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    starts = F.transform(lines, lambda _, i: i + F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda n, x: n + F.length(x)))
-    return docs.select("doc_id", F.posexplode(F.arrays_zip(lines.alias("line"), starts.alias("start_char"))).alias("line_no", "z")).select("doc_id", "line_no", "z.line", "z.start_char").filter(F.trim("line") != "")
+    """doc_id, line_no (of all lines), line and its offset, for lines that aren't blank. Offsets are a running sum over
+    a document's lines, so that a long document costs no more than its length."""
+    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long")
+    return rows.withColumn("start_char", start).filter(F.trim("line") != "").select("doc_id", "line_no", "line", "start_char")
 
 
 _LINES = "l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents), s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char FROM l), k AS (SELECT * FROM s WHERE trim(line) <> '')"
 _HEADING = "(length(trim(line)) BETWEEN 1 AND 99 AND ((length(regexp_replace(trim(line), '[^A-Za-z]', '', 'g')) >= 3 AND trim(line) = upper(trim(line))) OR regexp_matches(trim(line), '^\\d+(\\.\\d+)*\\.?\\s+\\S')))"
 table_query("split_blocks", "documents", lambda d: _lines(d).select("doc_id", "line_no", F.col("start_char").cast("long"), (F.col("start_char") + F.length("line")).cast("long").alias("end_char"), F.md5(F.col("line").cast("binary")).alias("line_md5")), f"WITH {_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(start_char AS BIGINT) AS start_char, CAST(start_char + length(line) AS BIGINT) AS end_char, md5(line) AS line_md5 FROM k")
 table_query("pdf_heading_lines", "documents", lambda d: _lines(d).filter(T.is_heading_line(F.col("line"))).select("doc_id", "line_no", "line"), f"WITH {_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM k WHERE {_HEADING}")
-table_query("pdf_section_tree", "documents", lambda d: files.section_tree(_lines(d)).groupBy("doc_id", "section_seq").agg(F.count("*").alias("n_lines")), f"WITH {_LINES}, t AS (SELECT doc_id, sum(CASE WHEN {_HEADING} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_seq FROM k) SELECT doc_id, CAST(section_seq AS BIGINT) AS section_seq, count(*) AS n_lines FROM t GROUP BY ALL")
+table_query(
+    "pdf_section_tree",
+    "documents",
+    lambda d: files.section_tree(_lines(d)).groupBy("doc_id", "section_seq").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").cast("binary")).alias("lines_md5")),
+    f"WITH {_LINES}, t AS (SELECT doc_id, line_no, line, sum(CASE WHEN {_HEADING} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_seq FROM k) SELECT doc_id, CAST(section_seq AS BIGINT) AS section_seq, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS lines_md5 FROM t GROUP BY doc_id, section_seq",
+)
 
 
 def _as_blocks(docs: DataFrame) -> DataFrame:
@@ -260,6 +338,74 @@ def _as_blocks(docs: DataFrame) -> DataFrame:
 table_query("batch_blocks", "documents", lambda d: extract.batch_blocks(_as_blocks(d)).select("document_id", "batch", "first_block", F.md5(F.col("section_title").cast("binary")).alias("title_md5"), F.length("text").cast("long").alias("n_chars")), f"WITH {_LINES}, b AS (SELECT *, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1) // 5 AS BIGINT) AS batch FROM k) SELECT CAST(doc_id AS VARCHAR) AS document_id, batch, CAST(min(line_no) AS INTEGER) AS first_block, md5(coalesce(arg_min(line, line_no) FILTER (WHERE {_HEADING}), 'Unknown')) AS title_md5, CAST(length(string_agg(line, chr(10) ORDER BY line_no)) AS BIGINT) AS n_chars FROM b GROUP BY doc_id, batch")
 table_query("numeric_blocks", "documents", lambda d: extract.numeric_blocks(_as_blocks(d)).select("document_id", "block_seq"), f"WITH {_LINES} SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(line_no AS INTEGER) AS block_seq FROM k WHERE regexp_matches(line, '[0-9]')")
 table_query("full_text", "documents", lambda d: files.full_text(_as_blocks(d)).select("document_id", F.md5(F.col("full_text").cast("binary")).alias("text_md5")), f"WITH {_LINES} SELECT CAST(doc_id AS VARCHAR) AS document_id, md5(string_agg(line, chr(10) ORDER BY line_no)) AS text_md5 FROM k GROUP BY doc_id")
+_AMOUNTS = extract.AMOUNTS.replace("'", "''")
+table_query(
+    "rule_metrics",
+    "documents",
+    lambda d: extract.rule_metrics(_as_blocks(d)).drop("entity"),
+    f"""WITH {_LINES}, x AS (SELECT doc_id, line_no, regexp_extract(line, '{extract.PERIOD}', 1) AS period, generate_subscripts(regexp_extract_all(line, '{_AMOUNTS}', 1), 1) - 1 AS pos,
+      unnest(regexp_extract_all(line, '{_AMOUNTS}', 1)) AS name, unnest(regexp_extract_all(line, '{_AMOUNTS}', 2)) AS raw, unnest(regexp_extract_all(line, '{_AMOUNTS}', 3)) AS unit FROM k WHERE regexp_matches(line, '[0-9]')),
+    v AS (SELECT *, TRY_CAST(regexp_extract(regexp_replace(raw, '[$€£,]', '', 'g'), '^\s*([-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?)', 1) AS DOUBLE) AS value FROM x)
+    SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(line_no AS INTEGER) AS first_block, CAST(pos AS INTEGER) AS pos, trim(name) AS name, value, nullif(unit, '') AS unit, nullif(period, '') AS period FROM v WHERE trim(name) <> '' AND value IS NOT NULL""",
+)
+
+
+def _as_files(docs: DataFrame, value: Column) -> DataFrame:
+    """Documents as a reader of whole files gives them."""
+    key = F.col("doc_id").cast("string")
+    return docs.select(key.alias("document_id"), F.concat(F.lit("doc-"), key, F.lit(".txt")).alias("source_filename"), value.alias("value"))
+
+
+def _as_markdown(docs: DataFrame) -> DataFrame:
+    """Heading lines as headings under one for the document, other lines as paragraphs."""
+    line = lambda x: F.when(T.is_heading_line(x), F.concat(F.lit("## "), F.trim(x))).otherwise(F.concat(x, F.lit("\n")))
+    text = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n")
+    return _as_files(docs, F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n"), text))
+
+
+_MARKDOWN = f"""WITH {_LINES}, h AS (SELECT doc_id, -1 AS line_no, 'Document ' || doc_id AS line, 1 AS level FROM documents UNION ALL SELECT doc_id, line_no, trim(line), CASE WHEN {_HEADING} THEN 2 END FROM k),
+    m AS (SELECT *, row_number() OVER w - 1 AS block_seq, count(level) OVER w AS section_seq FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))"""
+table_query(
+    "parse_markdown",
+    "documents",
+    lambda d: files.markdown_blocks(_as_markdown(d)).select("document_id", "block_seq", "section_seq", "parent_section_seq", "section_level", "type", "level", F.md5(F.col("content").cast("binary")).alias("content_md5")),
+    f"{_MARKDOWN} SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(block_seq AS INTEGER) AS block_seq, CAST(section_seq AS INTEGER) AS section_seq, CAST(CASE WHEN section_seq > 1 THEN 1 END AS INTEGER) AS parent_section_seq, CAST(CASE WHEN section_seq > 1 THEN 2 ELSE 1 END AS INTEGER) AS section_level, CASE WHEN level IS NULL THEN 'paragraph' ELSE 'heading' END AS type, CAST(level AS INTEGER) AS level, md5(line) AS content_md5 FROM m",
+)
+table_query(
+    "parse_json",
+    "documents",
+    lambda d: files.json_blocks(_as_files(d, F.format_string("[%s, %s]", F.to_json(F.struct("doc_id", "lang", "source", F.lit(None).cast("string").alias("none")), {"ignoreNullFields": "false"}), F.to_json(F.struct(F.col("n_chars").alias("n")))))).select("document_id", "block_seq", "type", "content", F.element_at("metadata", "lang").alias("lang")),
+    "SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(0 AS INTEGER) AS block_seq, 'data_row' AS type, concat_ws(', ', 'doc_id: ' || doc_id, 'lang: ' || lang, 'source: ' || source) AS content, lang FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 'data_row', 'n: ' || n_chars, NULL FROM documents",
+)
+
+
+def _parse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as CSV files and read again."""
+    path = shared_path(spark, f"csv-{uuid.uuid4().hex}")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.lit("").alias("none"), "source", F.concat(F.lit('"quoted", '), F.col("n_chars").cast("string"), F.lit("\nlines")).alias("n"))
+    rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return files.read_csv(spark, [path]).select(F.element_at("metadata", "doc_id").cast("long").alias("doc_id"), "type", "content", F.element_at("metadata", "none").alias("none"))
+
+
+QUERIES["parse_csv"] = _parse_csv
+ORACLE_SQL["parse_csv"] = """SELECT doc_id, 'data_row' AS type, concat_ws(', ', 'doc_id: ' || doc_id, 'lang: ' || lang, 'source: ' || source, 'n: "quoted", ' || n_chars || chr(10) || 'lines') AS content, '' AS none FROM documents"""
+
+
+def _ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' graph written into a store, and written again with other texts: what is there then."""
+    store = shared_path(spark, f"store-{uuid.uuid4().hex}")
+    blocks = files.markdown_blocks(_as_markdown(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    for text in (F.lit("old"), F.col("content")):
+        commit(spark, store, blocks_to_graph(blocks.withColumn("content", text)))
+    g = read_store(spark, store)
+    there = counts(g).filter(F.col("what").isin("Report", "Section", "Paragraph", "SourceSpan", "HAS_SECTION", "HAS_PARAGRAPH", "HAS_SPAN"))
+    chars = g["Paragraph"].agg(F.sum(F.length("text")).alias("n")).select(F.lit("characters").alias("what"), "n")
+    return there.union(chars)
+
+
+QUERIES["ingest_twice"] = _ingest_twice
+ORACLE_SQL["ingest_twice"] = f"""{_MARKDOWN}, n AS (SELECT (SELECT count(*) FROM documents) AS docs, count(level) AS sections, count(*) AS blocks, sum(length(line)) AS chars FROM m)
+    SELECT unnest(['Report', 'Section', 'Paragraph', 'SourceSpan', 'HAS_SECTION', 'HAS_PARAGRAPH', 'HAS_SPAN', 'characters']) AS what, unnest([CAST(docs AS BIGINT), sections, blocks, blocks, sections, blocks, blocks, CAST(chars AS BIGINT)]) AS n FROM n"""
 table_query("leading_number", "events", lambda e: e.select("event_id", T.leading_number(F.concat(F.col("value").cast("decimal(18,2)").cast("string"), F.lit(" units"))).alias("value"), T.leading_number(F.col("event_type")).alias("none")), "SELECT event_id, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS none FROM events")
 
 # beyond the catalogue: windows over metric values and events

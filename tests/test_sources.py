@@ -39,6 +39,20 @@ def test_csv(spark, tmp_path):
     assert files.read_documents(spark, [str(tmp_path / "h.csv")]).count() == 0
 
 
+def test_csv_files_of_several_headers_and_parts(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,b\n1,2\n")
+    rows_ = "".join(f"r{k},{'x' * 50}\n" for k in range(4000))
+    (tmp_path / "two.csv").write_text("c,d\n" + rows_)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        got = files.read_csv(spark, [str(tmp_path / "one.csv"), str(tmp_path / "two.csv")], multi_line=False)
+        two = rows(got.filter("source_filename = 'two.csv'"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["block_seq"] for r in two] == list(range(4000)) and [r["metadata"]["c"] for r in two] == [f"r{k}" for k in range(4000)]
+
+
 def test_json(spark, tmp_path):
     for name, text in (("a", '[{"k": null, "v": ""}, 5]'), ("o", '{"x": {"y": 1}, "z": "t"}'), ("s", '"word"')):
         (tmp_path / f"{name}.json").write_text(text)
@@ -79,7 +93,7 @@ def test_pdf_items(spark):
 
 def test_streams(spark, tmp_path):
     from evigraph.schema import complete
-    from evigraph.sources.snapshots import read_graph
+    from evigraph.sources.snapshots import read_store
 
     folder = tmp_path / "in"
     folder.mkdir()
@@ -87,6 +101,6 @@ def test_streams(spark, tmp_path):
     for n in range(2):
         (folder / f"{n}.md").write_text("x")
         ingest_files(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "ck"), to_graph).awaitTermination()
-    assert read_graph(spark, str(tmp_path / "out" / "1"))["Report"].count() == 2
+    assert read_store(spark, str(tmp_path / "out"))["Report"].count() == 2
     events = spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 'a' as event_type, 1.5 as value union all select timestamp'2024-01-01 01:10:00', 'a', 2.0")
     assert sorted(r["total"] for r in windowed_events(events).collect()) == [1.5, 2.0]
