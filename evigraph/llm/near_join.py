@@ -294,8 +294,8 @@ def _may_link(p: str, q: str) -> Column:
     )
 
 
-def _large_links(docs: DataFrame, large: DataFrame, small_links: DataFrame) -> DataFrame:
-    """a, b: links that, with small_links, connect what all links connect. large: rid, loc, n, prefix."""
+def _components(docs: DataFrame, large: DataFrame, small_links: DataFrame) -> DataFrame:
+    """node, component by all links, those of small sets given. large: rid, loc, n, prefix."""
     located = large.select("rid", "loc")
     some = materialize(_sharing(large, FIRST).join(located, "rid"), "candidates")
     fewer = materialize(_shingled(docs, some, SECOND), "candidate-prefixes")
@@ -316,12 +316,15 @@ def _large_links(docs: DataFrame, large: DataFrame, small_links: DataFrame) -> D
     near = near.select(F.greatest("p.rid", "q.rid").alias("a"), F.least("p.rid", "q.rid").alias("b")).distinct()
     first = materialize(_verified(near, sets).union(small_links), "hub-links")
 
-    comps = connected_components(first)
+    comps = materialize(connected_components(first), "hub-components")
     placed = posted.join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
     placed = materialize(placed, "placed-postings")
     mixed = materialize(placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token"), "mixed-tokens")
     placed = materialize(placed.join(mixed, "token").select("token", "rid", "n", "pos", "comp"), "mixed-lists")
-    return first.union(_verified(_met(placed), sets))
+    late = materialize(_verified(_met(placed), sets), "late-links")
+    if late.isEmpty():
+        return comps
+    return connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
 
 
 #: Sizes of one class are within so much of each other.
@@ -355,9 +358,8 @@ def _grouped(spark: SparkSession, docs: DataFrame) -> DataFrame:
     x = choose_boundary(sizes)
     small = reps.filter(F.col("n") <= x).select("rid", "n", "small")
     large = reps.filter(5 * F.col("n") >= 4 * (x + 1)).select("rid", "loc", "n", "prefix")
-    links = _large_links(docs, large, materialize(_small_links(small), "small-links"))
-
-    comps = connected_components(links).select(F.col("node").alias("rep"), F.col("component"))
+    comps = _components(docs, large, materialize(_small_links(small), "small-links"))
+    comps = comps.select(F.col("node").alias("rep"), F.col("component"))
     # sets are alone unless they have copies or links, so most rows need no more than this join
     classes = classes.join(comps, "rep", "left").filter("c > 1 or component is not null").select("cls", F.coalesce("component", "rep").alias("component"))
     classes = materialize(classes, "grouped-classes")
