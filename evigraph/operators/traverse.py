@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions.lineage import cut_lineage, shared_path
+from evigraph.operators import read
 from evigraph.operators.read import clamp, first_named, induced_edges, pinned
 from evigraph.schema import Graph, id_column
 
@@ -45,12 +46,12 @@ def stored(graph: Graph) -> Graph:
     return Graph(graph.nodes, graph.edges.sparkSession.read.schema(graph.edges.schema).parquet(path), stored=True)
 
 
-def step(graph: Graph, frontier: DataFrame) -> DataFrame:
-    """edge_id, a (in the frontier's id) and b for all edges at the frontier's nodes."""
+def step(graph: Graph, frontier: DataFrame, size: int) -> DataFrame:
+    """edge_id, a (in the frontier's id) and b for all edges at the frontier's nodes, of which there are `size`."""
     out = graph.edges.select("edge_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     into = graph.incoming.select("edge_id", F.col("target_id").alias("a"), F.col("source_id").alias("b"))
-    ids = pinned(frontier, "id")
-    if ids is not None:
+    if size <= read.PINNED:
+        ids = pinned(frontier, "id")
         return out.filter(F.col("a").isin(ids)).union(into.filter(F.col("a").isin(ids)))
     return out.union(into).join(frontier.select(F.col("id").alias("a")), "a")
 
@@ -59,12 +60,13 @@ def subgraph_nodes(graph: Graph, start: str, depth: int = 2) -> DataFrame:
     """id, label and distance of the nodes within depth edges of start, which is included; empty if it is unknown."""
     graph = stored(graph)
     seen = frontier = cut_lineage(labels_of(graph, [start]).select("id", F.lit(0).alias("distance")).distinct())
+    size = frontier.count()
     for level in range(1, clamp(depth, 1, 5) + 1):
-        reached = step(graph, frontier).select(F.col("b").alias("id")).distinct()
-        frontier = cut_lineage(reached.join(seen, "id", "left_anti").select("id", F.lit(level).alias("distance")))
-        if frontier.isEmpty():
+        if not size:
             break
-        seen = seen.union(frontier)
+        reached = step(graph, frontier, size).select(F.col("b").alias("id")).distinct()
+        frontier = cut_lineage(reached.join(seen, "id", "left_anti").select("id", F.lit(level).alias("distance")))
+        seen, size = seen.union(frontier), frontier.count()
     return seen.join(node_index(graph), "id").select("id", "label", "distance")
 
 
@@ -86,14 +88,16 @@ class _Side:
         first = graph.edges.sparkSession.createDataFrame([(start, None, None)], "id string, edge string, before string")
         self.levels, self.size, self.seen = [first], 1, first.select("id")
 
-    def grow(self) -> bool:
-        found = step(self.graph, self.levels[-1]).join(self.seen.withColumnRenamed("id", "b"), "b", "left_anti")
+    def grow(self, other: _Side) -> str | None:
+        """Adds a level. Gives the smallest node of it that is in the other side's last level too."""
+        found = step(self.graph, self.levels[-1], self.size).join(self.seen.withColumnRenamed("id", "b"), "b", "left_anti")
         level = found.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("edge_id", "a")).alias("p"))
         level = cut_lineage(level.select("id", F.col("p.edge_id").alias("edge"), F.col("p.a").alias("before")))
         self.levels.append(level)
         self.seen = self.seen.union(level.select("id"))
-        self.size = level.count()
-        return self.size > 0
+        there = other.levels[-1].select("id", F.col("id").alias("met"))
+        self.size, met = level.select("id").join(there, "id", "left").agg(F.count("*"), F.min("met")).first()
+        return met
 
     def way(self, node: str) -> tuple[list[str], list[str]]:
         """Nodes and edges from the node, which is in the last level, back to the start: a lookup for each level."""
@@ -118,14 +122,14 @@ def shortest_path(graph: Graph, a: str, b: str, max_depth: int = 4) -> DataFrame
     left, right = _Side(graph, a), _Side(graph, b)
     for _ in range(clamp(max_depth, 1, 10)):
         side, other = (left, right) if left.size <= right.size else (right, left)
-        if not side.grow():
-            break
         # levels grow one by one, so a first meeting is in the last level of both
-        met = side.levels[-1].select("id").join(other.levels[-1].select("id"), "id", "left_semi").agg(F.min("id")).first()[0]
+        met = side.grow(other)
         if met is not None:
             (from_a, edges_a), (to_b, edges_b) = left.way(met), right.way(met)
             nodes, edges = [*from_a[::-1], *to_b[1:]], [*edges_a[::-1], *edges_b]
             return spark.createDataFrame([(True, len(edges), nodes, edges)], PATH)
+        if not side.size:
+            break
     return spark.createDataFrame([NO_PATH], PATH)
 
 
