@@ -90,7 +90,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 <<
     task makes of one batch of long texts stays small."""
     for b in batches:
         at = 0
-        ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64) if "text" in b.schema.names else None
+        ends = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) if "text" in b.schema.names else None
         while at < b.num_rows:
             stop = min(at + rows, b.num_rows)
             if ends is not None:

@@ -8,8 +8,9 @@ hold, and those counts are as few as tasks times shards.
 The law is `key`, so equal texts under different ids may lie in different shards,
 as the key alone decides.
 
-Defined results: null ids share one key; null text has size 1; rows of one id lie
-in one shard, each in a slot of its own; an empty table gives no rows.
+Defined results: null ids share one key; null text has size 1, a very long one its
+bytes and 1; rows of one id lie in one shard, each in a slot of its own, and which row has
+which slot is open; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
