@@ -343,7 +343,7 @@ table_query(
     "rule_metrics",
     "documents",
     lambda d: extract.rule_metrics(_as_blocks(d)).drop("entity"),
-    f"""WITH {_LINES}, x AS (SELECT doc_id, line_no, regexp_extract(line, '{extract.PERIOD}', 1) AS period, generate_subscripts(regexp_extract_all(line, '{_AMOUNTS}', 1), 1) - 1 AS pos,
+    rf"""WITH {_LINES}, x AS (SELECT doc_id, line_no, regexp_extract(line, '{extract.PERIOD}', 1) AS period, generate_subscripts(regexp_extract_all(line, '{_AMOUNTS}', 1), 1) - 1 AS pos,
       unnest(regexp_extract_all(line, '{_AMOUNTS}', 1)) AS name, unnest(regexp_extract_all(line, '{_AMOUNTS}', 2)) AS raw, unnest(regexp_extract_all(line, '{_AMOUNTS}', 3)) AS unit FROM k WHERE regexp_matches(line, '[0-9]')),
     v AS (SELECT *, TRY_CAST(regexp_extract(regexp_replace(raw, '[$€£,]', '', 'g'), '^\s*([-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?)', 1) AS DOUBLE) AS value FROM x)
     SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(line_no AS INTEGER) AS first_block, CAST(pos AS INTEGER) AS pos, trim(name) AS name, value, nullif(unit, '') AS unit, nullif(period, '') AS period FROM v WHERE trim(name) <> '' AND value IS NOT NULL""",

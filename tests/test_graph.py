@@ -177,7 +177,7 @@ def test_paths_by_name_and_their_steps(spark):
     assert traverse.path_between(g, "a", "nobody").first()["found"] is False
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=14))
 def test_walks_equal_a_plain_search(spark, pairs):
     g = graph(spark, [(str(n), "X") for n in range(10)], sorted({(f"ent:X:{a}", f"ent:X:{b}", "R") for a, b in pairs}))
