@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,13 +101,18 @@ _SNAPSHOTS: dict[tuple[str, str], str] = {}
 
 
 def commerce_snapshot(spark: SparkSession, sf_dir: str) -> Graph:
-    """The same graph, written once in a session as a snapshot in the shared folder and read from there."""
+    """The same graph, written once in a session as a snapshot in the shared folder and read from there. The tables
+    are taken as fixed while the session lasts; a snapshot that is gone is written again."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SNAPSHOTS:
-        path = shared_path(spark, f"commerce-{uuid.uuid4().hex}")
-        write_graph(commerce_graph(spark, sf_dir), path)
-        _SNAPSHOTS[key] = path
-    return read_graph(spark, _SNAPSHOTS[key])
+    if key in _SNAPSHOTS:
+        try:
+            return read_graph(spark, _SNAPSHOTS[key])
+        except AnalysisException:
+            del _SNAPSHOTS[key]
+    path = shared_path(spark, f"commerce-{uuid.uuid4().hex}")
+    write_graph(commerce_graph(spark, sf_dir), path)
+    _SNAPSHOTS[key] = path
+    return read_graph(spark, path)
 
 
 def _e(kind: str, source: str, target: str, rest: str, props: str = "CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR)") -> str:
