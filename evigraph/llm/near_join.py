@@ -311,7 +311,8 @@ def _components(docs: DataFrame, large: DataFrame, small_links: DataFrame) -> Da
     posted = materialize(posted, "postings")
 
     hubs = posted.groupBy("token").agg(F.min(F.struct("own", "rid", "n", "pos")).alias("h"))
-    hubs = hubs.select("token", "h.own", "h.rid", "h.n", "h.pos")
+    # a table of its own, so that the join with a shingle that very many sets have can be split
+    hubs = materialize(hubs.select("token", "h.own", "h.rid", "h.n", "h.pos"), "hubs")
     near = posted.alias("p").join(hubs.alias("q"), F.col("p.token") == F.col("q.token")).filter((F.col("p.rid") != F.col("q.rid")) & _may_link("p", "q"))
     near = near.select(F.greatest("p.rid", "q.rid").alias("a"), F.least("p.rid", "q.rid").alias("b")).distinct()
     first = materialize(_verified(near, sets).union(small_links), "hub-links")
