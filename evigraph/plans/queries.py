@@ -54,10 +54,16 @@ graph_query("find_entities_by_type", lambda g: flat(read.find_entities_by_type(g
 graph_query("get_entity", lambda g: flat(read.get_entity(g, START)), f"SELECT {_ENTITY} FROM entities WHERE entity_id = '{START}'")
 graph_query("get_report", lambda g: read.get_report(g, REPORT), f"SELECT * FROM reports WHERE report_id = '{REPORT}'")
 graph_query("list_reports", read.list_reports, "SELECT * FROM reports")
-_SHOWN = F.concat_ws("|", *[F.get_json_object("properties", f"$.{k}") for k in ("title", "canonical_name", "entity_type", "text", "claim_type", "name", "unit", "num_pages", "page")])
+
+
+def _shown(*keys: str) -> Column:
+    """Properties of a node or edge, from their JSON; made in a session, so not when this module is imported."""
+    return F.concat_ws("|", *[F.get_json_object("properties", f"$.{k}") for k in keys])
+
+
 graph_query(
     "node_lookup",
-    lambda g: read.node_lookup(g, [START, REPORT, CLAIM, "par:1", "met:order_total", "nothing"]).select("id", "label", _SHOWN.alias("shown")),
+    lambda g: read.node_lookup(g, [START, REPORT, CLAIM, "par:1", "met:order_total", "nothing"]).select("id", "label", _shown("title", "canonical_name", "entity_type", "text", "claim_type", "name", "unit", "num_pages", "page").alias("shown")),
     f"""SELECT entity_id AS id, 'Entity' AS label, concat_ws('|', canonical_name, entity_type, name) AS shown FROM entities WHERE entity_id = '{START}'
     UNION ALL SELECT report_id, 'Report', concat_ws('|', title, num_pages) FROM reports WHERE report_id = '{REPORT}'
     UNION ALL SELECT claim_id, 'Claim', concat_ws('|', text, claim_type) FROM claims WHERE claim_id = '{CLAIM}'
@@ -250,13 +256,19 @@ graph_query("contradiction_candidates", lambda g: analytics.contradiction_candid
 graph_query("build_entities", lambda g: flat(g["Entity"]), f"SELECT {_ENTITY} FROM entities", commerce_graph)
 graph_query("build_edges_by_type", lambda g: g.edges.groupBy("type").agg(F.count("*").alias("n")), "SELECT type, count(*) AS n FROM edges GROUP BY type", commerce_graph)
 graph_query("node_index", lambda g: traverse.node_index(g).groupBy("label").agg(F.count("*").alias("n")), "SELECT 'Report' AS label, count(*) AS n FROM reports UNION ALL SELECT 'Section', count(*) FROM sections UNION ALL SELECT 'Paragraph', count(*) FROM paragraphs UNION ALL SELECT 'SourceSpan', count(*) FROM spans UNION ALL SELECT 'Entity', count(*) FROM entities UNION ALL SELECT 'Metric', count(*) FROM metrics UNION ALL SELECT 'MetricValue', count(*) FROM metric_values UNION ALL SELECT 'Claim', count(*) FROM claims")
-_FIELD = lambda k: F.get_json_object("properties", f"$.{k}")
-_DUMPED = F.concat_ws("|", "id", *[_FIELD(k) for k in ("title", "text", "canonical_name", "claim_type", "unit", "period", "source_id", "target_id", "source_text", "num_pages", "page")])
+
+
+def _digests(dump: DataFrame) -> DataFrame:
+    x = F.concat_ws("|", "id", F.nullif(_shown("title", "text", "canonical_name", "claim_type", "unit", "period", "source_id", "target_id", "source_text", "num_pages", "page"), F.lit("")))
+    digest = F.sum(F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
+    return dump.groupBy("kind", "label").agg(F.count("*").alias("n"), digest.alias("digest"), F.sum(F.length(x)).alias("chars"))
+
+
 _DUMP_OF = {"Report": ("reports", "report_id, title, num_pages"), "Section": ("sections", "section_id, title"), "Paragraph": ("paragraphs", "paragraph_id, text, page"), "SourceSpan": ("spans", "span_id, text, page"), "Entity": ("entities", "entity_id, canonical_name"), "Metric": ("metrics", "metric_id, unit"), "MetricValue": ("metric_values", "value_id, unit, period"), "Claim": ("claims", "claim_id, text, claim_type")}
 _DUMP_ROWS = " UNION ALL ".join([*(f"SELECT 'node' AS kind, '{label}' AS label, concat_ws('|', {columns}) AS x FROM {rows}" for label, (rows, columns) in _DUMP_OF.items()), "SELECT 'edge', type, concat_ws('|', edge_id, source_id, target_id, source_text) FROM edges"])
 graph_query(
     "export_dump",
-    lambda g: merge.export_dump(g).groupBy("kind", "label").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5(_DUMPED.cast("binary")), 1, 8), 16, 10).cast("long")).alias("digest"), F.sum(F.length(_DUMPED)).alias("chars")),
+    lambda g: _digests(merge.export_dump(g)),
     f"--cte dumped AS ({_DUMP_ROWS}) SELECT kind, label, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS BIGINT) AS digest, CAST(sum(length(x)) AS BIGINT) AS chars FROM dumped GROUP BY kind, label",
 )
 

@@ -79,6 +79,16 @@ def test_xlsx(spark, tmp_path):
     assert [(r["section_title"], r["content"], r["page"]) for r in got] == [("First", "name: 1, col1: 2", 1)]
 
 
+def test_the_registry_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-W", "error::SyntaxWarning", "-c", "import __spark_entry__ as e; print(set(e.oracle_sql()) <= set(e.queries()))"], cwd=here, capture_output=True, text=True, check=False)
+    assert said.stdout.strip() == "True", said.stderr
+
+
 def test_unknown_kinds_are_refused(spark):
     with pytest.raises(ValueError, match="csv, json"):
         files.read_documents(spark, ["x.pdf"])
