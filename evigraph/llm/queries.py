@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import chat_format, decontaminate, exact_dedup, near_join, packing, quality, shards, token_count, token_store, toxicity
+from evigraph.llm import chat_format, decontaminate, exact_dedup, fingerprints, hard_negatives, importance, near_join, packing, quality, shards, token_count, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents")).drop("loc")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("long")
+    return hard_negatives.mine(spark, table(spark, sf_dir, "embeddings"), relabel=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_near_join,
         op10_exact_dedup,
+        op11_simhash,
+        op12_importance,
+        op13_hard_negatives,
     )
 }
 
@@ -137,4 +153,36 @@ ORACLE_SQL: dict[str, str] = {
             row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
             sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    # the digest of the word rule, by its polynomial: SQL has no crc32
+    "op12_importance": r"""
+        WITH word AS MATERIALIZED (
+          SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM documents),
+        aim AS MATERIALIZED (
+          SELECT unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM benchmark),
+        crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+        known AS MATERIALIZED (SELECT DISTINCT w FROM (SELECT w FROM word UNION ALL SELECT w FROM aim)),
+        bucket AS MATERIALIZED (
+          SELECT w, xor(list_reduce(list_transform(range(octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(w), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)), lambda c, x: xor(c // 256, t[1 + xor(c % 256, x)]), 4294967295), 4294967295) % 10000 AS b FROM known, crc),
+        raw AS (SELECT b, count(*) AS n FROM word JOIN bucket USING (w) GROUP BY b), tgt AS (SELECT b, count(*) AS n FROM aim JOIN bucket USING (w) GROUP BY b),
+        gain AS MATERIALIZED (
+          SELECT x.b, CAST(floor(1000 * ln((coalesce(tgt.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM word) + 10000.0::DOUBLE) / ((coalesce(raw.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM aim) + 10000.0::DOUBLE)))) AS BIGINT) AS g
+          FROM range(10000) x(b) LEFT JOIN raw ON raw.b = x.b LEFT JOIN tgt ON tgt.b = x.b),
+        doc AS (SELECT doc_id, count(*) AS n, CAST(floor(CAST(sum(g) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM word JOIN bucket USING (w) JOIN gain USING (b) GROUP BY doc_id),
+        scored AS MATERIALIZED (
+          SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+          FROM documents d LEFT JOIN doc USING (doc_id)),
+        ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 10 * count(*) OVER () // 100 AS k FROM scored WHERE n_features >= 20)
+        SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= k THEN r END AS rank FROM scored s LEFT JOIN ranks USING (doc_id)""",
+    "op13_hard_negatives": """
+        WITH clean AS MATERIALIZED (
+          SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS MATERIALIZED (
+          SELECT a.rid, a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS s
+          FROM clean a JOIN clean r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+        positive AS (SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY rid ORDER BY s DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.rid, p.vec_id ORDER BY n.s DESC, n.vec_id) AS INTEGER) AS rank, n.vec_id AS negative_id, p.s AS positive_score, n.s AS negative_score
+        FROM positive p JOIN scores n ON n.rid = p.rid AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+        QUALIFY row_number() OVER (PARTITION BY p.rid, p.vec_id ORDER BY n.s DESC, n.vec_id) <= 3""",
 }
