@@ -8,7 +8,8 @@ such places, in order. Where all white space between cuts is a single space, the
 text is split at spaces; with longer runs a cut takes the run before it along. Each
 distinct cut goes through the library's BPE model once and its ids are kept, in a
 cache bounded by bytes. Texts with characters beyond Latin, of which libraries may
-disagree what class they are, go to the library itself, cut into parts of PART
+disagree what class they are, and those that hold one of the tokenizer's added tokens
+(which are single ids wherever they stand), go to the library itself, cut into parts of PART
 characters at such places; of a longer run without white space the part is as long.
 """
 
@@ -66,7 +67,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        #: Whether a cut at white space could part such a token from what it takes along.
+        self.uncut = any(t.lstrip or t.rstrip or t.single_word or t.content != "".join(t.content.split()) for t in added)
         self.first = _Cuts(self.tok.model, "", cache)
         self.later = _Cuts(self.tok.model, " ", cache, self.first)
         if sys.byteorder != "little" or array("I").itemsize != 4:
@@ -74,7 +78,7 @@ class Encoder:
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """By the library alone. It takes about 100 bytes for a token while it runs, so it is called for few parts at a time."""
-        parts = [(k, part) for k, t in enumerate(texts) for part in _parts(t)]
+        parts = [(k, part) for k, t in enumerate(texts) for part in ([t] if self.uncut else _parts(t))]
         out: list[list[bytes]] = [[] for _ in texts]
         at = 0
         while at < len(parts):
@@ -88,7 +92,7 @@ class Encoder:
         return [b"".join(x) for x in out]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if (any(c in t for c in _CONTROLS) if t.isascii() else _ODD.search(t))]
+        odd = [i for i, t in enumerate(texts) if (any(c in t for c in _CONTROLS) if t.isascii() else _ODD.search(t)) or any(a in t for a in self.added)]
         rest = dict(zip(odd, self.whole([texts[i] for i in odd]), strict=True))
         collects = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and a collection would walk the cache
