@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evigraph.functions.lineage import cut_lineage
 from evigraph.schema import Graph, complete
 
 
@@ -16,10 +17,12 @@ def make_id(prefix: str, *parts: Column | str) -> Column:
 
 
 def _edge(rows: DataFrame, kind: Column | str, source: str, target: str) -> DataFrame:
+    """Edges with the report that supports them."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
     none = [F.lit(None).cast(t).alias(n) for n, t in (("description", "string"), ("confidence", "double"), ("source_text", "string"))]
     rows = rows.filter(F.col(source).isNotNull() & F.col(target).isNotNull())
-    return rows.select(F.concat_ws("|", kind, source, target).alias("edge_id"), F.col(source).alias("source_id"), F.col(target).alias("target_id"), kind.alias("type"), *none).dropDuplicates(["edge_id"])
+    report = F.col("report_id") if "report_id" in rows.columns else make_id("rep", "document_id")
+    return rows.select(report.alias("report_id"), F.concat_ws("|", kind, source, target).alias("edge_id"), F.col(source).alias("source_id"), F.col(target).alias("target_id"), kind.alias("type"), *none)
 
 
 def _lookup(resolved: DataFrame) -> DataFrame:
@@ -50,7 +53,9 @@ def build_graph(spark: SparkSession, blocks: DataFrame, resolved: DataFrame, met
     entities = one.groupBy("entity_id", "canonical_name", "entity_type").agg(F.min("description").alias("description"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases")).withColumn("name", F.col("canonical_name"))
     lookup = _lookup(one)
 
-    unit = metrics.groupBy(F.lower("name").alias("_k")).agg(F.min("name").alias("metric"), F.min("unit").alias("metric_unit"))
+    # a metric's name and unit are the first in the order of documents and blocks
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct("document_id", "block_seq", c))
+    unit = metrics.groupBy(F.lower("name").alias("_k")).agg(F.min_by("name", place("name")).alias("metric"), F.min_by("unit", place("unit")).alias("metric_unit"))
     m = metrics.withColumn("_k", F.lower("name")).join(unit, "_k").withColumn("metric_id", make_id("met", "metric"))
     m = _entity_of(m.withColumn("value_id", make_id("val", "document_id", F.col("block_seq").cast("string"), "metric", F.col("value").cast("string"), F.coalesce("period", F.lit("")), F.coalesce("entity", F.lit("")))), lookup, "entity")
     m = m.withColumn("span_id", span)
@@ -60,13 +65,13 @@ def build_graph(spark: SparkSession, blocks: DataFrame, resolved: DataFrame, met
     nodes_c = c.select("claim_id", "text", F.col("type").alias("claim_type"), "confidence", F.lit(None).cast("string").alias("polarity")).dropDuplicates(["claim_id"])
     about = _entity_of(c.select("document_id", "claim_id", F.posexplode("entities").alias("pos", "name")), lookup, "name")
     # of a claim's edges to one entity the first counts
-    about = about.filter("entity_id is not null").groupBy("claim_id", "entity_id").agg(F.min("pos").alias("pos"))
+    about = about.filter("entity_id is not null").groupBy("document_id", "claim_id", "entity_id").agg(F.min("pos").alias("pos"))
     r = relations
     for end in ("source", "target"):
         r = _entity_of(r, lookup, end).withColumnRenamed("entity_id", f"{end}_id")
-    r = r.filter("source_id is not null and target_id is not null").groupBy("source_id", "target_id", "type").agg(F.min(F.struct("description", "confidence", "source_text")).alias("p"))
-    related = r.select(F.concat_ws("|", "type", "source_id", "target_id").alias("edge_id"), "source_id", "target_id", "type", "p.description", "p.confidence", "p.source_text")
-    edges = [
+    r = r.filter("source_id is not null and target_id is not null")
+    related = r.select(doc.alias("report_id"), F.concat_ws("|", "type", "source_id", "target_id").alias("edge_id"), "source_id", "target_id", "type", "description", "confidence", "source_text")
+    found = [
         _edge(sections.filter("parent_id is null"), "HAS_SECTION", "report_id", "section_id"),
         _edge(sections, "HAS_SECTION", "parent_id", "section_id"),
         _edge(b, "HAS_PARAGRAPH", "section_id", "paragraph_id"),
@@ -81,7 +86,12 @@ def build_graph(spark: SparkSession, blocks: DataFrame, resolved: DataFrame, met
         related,
     ]
     nodes = {"Report": reports, "Section": sections.select("section_id", "title", "level", "order"), "Paragraph": paragraphs, "SourceSpan": spans, "Entity": entities, "Metric": m.select("metric_id", F.col("metric").alias("name"), F.col("metric_unit").alias("unit")).dropDuplicates(["metric_id"]), "MetricValue": values, "Claim": nodes_c}
-    return complete(spark, nodes, reduce(DataFrame.unionByName, edges))
+    # read for the edges and for who supports them
+    found = cut_lineage(reduce(DataFrame.unionByName, found))
+    edges = found.groupBy("edge_id", "source_id", "target_id", "type").agg(F.min(F.struct("description", "confidence", "source_text")).alias("p")).select("edge_id", "source_id", "target_id", "type", "p.*")
+    owned = [(reports, "Report", "report_id", "report_id"), (sections, "Section", "report_id", "section_id"), (b, "Paragraph", "report_id", "paragraph_id"), (b, "SourceSpan", "report_id", "span_id"), (m, "MetricValue", doc, "value_id"), (c, "Claim", doc, "claim_id"), (found.withColumn("edge", F.col("edge_id")), "edge", "report_id", "edge")]
+    members = reduce(DataFrame.union, [rows.select((F.col(report) if isinstance(report, str) else report).alias("report_id"), F.lit(kind).alias("kind"), F.col(key).alias("id")) for rows, kind, report, key in owned]).distinct()
+    return complete(spark, nodes, edges, members)
 
 
 #: Edge types between fixed labels: source, target.

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
-from evigraph.functions.lineage import shared_path
+from evigraph.functions.lineage import cut_lineage, shared_path
 from evigraph.operators import analytics, extract, merge, read, resolve, search, traverse
+from evigraph.operators.build import build_graph
 from evigraph.plans.commerce import COMMERCE_SQL, commerce_graph, commerce_snapshot
 from evigraph.plans.ingest import blocks_to_graph
-from evigraph.schema import Graph
+from evigraph.schema import LABELS, Graph
 from evigraph.sources import files
-from evigraph.sources.snapshots import commit, counts, read_store
+from evigraph.sources.snapshots import commit, counts, read_store, write_counts
 from evigraph.streaming.ingest import windowed_events
 
 C, N, S, M = "Customer#000000001", "NATION_1", "Supplier#000000001", "order_total"
@@ -418,6 +420,72 @@ def _ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["ingest_twice"] = _ingest_twice
 ORACLE_SQL["ingest_twice"] = f"""{_MARKDOWN}, n AS (SELECT (SELECT count(*) FROM documents) AS docs, count(level) AS sections, count(*) AS blocks, sum(length(line)) AS chars FROM m)
     SELECT unnest(['Report', 'Section', 'Paragraph', 'SourceSpan', 'HAS_SECTION', 'HAS_PARAGRAPH', 'HAS_SPAN', 'characters']) AS what, unnest([CAST(docs AS BIGINT), sections, blocks, blocks, sections, blocks, blocks, CAST(chars AS BIGINT)]) AS n FROM n"""
+
+def _records_graph(docs: DataFrame) -> Graph:
+    """The documents' graph with a claim and a metric value for each block that has a figure, about the document's
+    language; a source publishes a language if one of its documents in it has such a block."""
+    blocks = cut_lineage(files.markdown_blocks(_as_markdown(docs)))
+    about = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("nowhere")).alias("source"))
+    pairs = about.select("document_id", F.explode(F.array(F.struct(F.col("lang").alias("name"), F.lit("LANGUAGE").alias("kind")), F.struct(F.col("source").alias("name"), F.lit("SOURCE").alias("kind")))).alias("e"))
+    none = F.lit(None).cast("string")
+    resolved = pairs.select("document_id", F.col("e.name").alias("canonical_name"), F.col("e.kind").alias("entity_type"), none.alias("description"), F.array().cast("array<string>").alias("aliases"))
+    found = blocks.filter(F.col("content").rlike("[0-9]")).select("document_id", "block_seq", "content").join(about, "document_id")
+    metrics = found.select("document_id", "block_seq", F.lit("characters").alias("name"), F.length("content").cast("double").alias("value"), F.lit("chars").alias("unit"), none.alias("period"), F.col("lang").alias("entity"))
+    claims = found.select("document_id", "block_seq", F.col("content").alias("text"), F.lit("FACTUAL").alias("type"), F.lit(1.0).alias("confidence"), F.array("lang").alias("entities"))
+    relations = found.select("document_id", "source", F.col("lang").alias("target"), F.lit("PUBLISHES").alias("type"), none.alias("description"), F.lit(1.0).alias("confidence"), none.alias("source_text"))
+    return build_graph(docs.sparkSession, blocks, resolved, metrics, claims, relations.distinct())
+
+
+def _rewritten(spark: SparkSession, sf_dir: str) -> str:
+    """A store of all documents, of which those of several lines were written again with the first half of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    store = shared_path(spark, f"store-{uuid.uuid4().hex}")
+    commit(spark, store, _records_graph(docs))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    half = F.array_join(F.slice(lines, 1, F.ceil(F.size(lines) / 2).cast("int")), "\n")
+    commit(spark, store, _records_graph(docs.filter(F.size(lines) > 1).withColumn("text", half)))
+    return store
+
+
+_STATE_TEXT = {"Paragraph": "text", "SourceSpan": "text", "Claim": "text", "Section": "title"}
+
+
+def _ingest_shorter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store of _rewritten holds: rows and characters by label, edges by type, and edges with an end that isn't there."""
+    g = read_store(spark, _rewritten(spark, sf_dir))
+    nodes = reduce(DataFrame.union, [g[k].select(F.lit(k).alias("what"), F.length(_STATE_TEXT[k] if k in _STATE_TEXT else F.lit("")).alias("chars")) for k in LABELS])
+    index = traverse.node_index(g).select("id")
+    edges = g.edges.select("type", "source_id", "target_id")
+    for end in ("source_id", "target_id"):
+        edges = edges.join(index.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    dangling = edges.filter("_source_id is null or _target_id is null").agg(F.count("*").alias("n")).select(F.lit("dangling"), "n", F.lit(0).cast("long"))
+    by_type = g.edges.groupBy("type").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("chars"))
+    return nodes.groupBy("what").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).union(by_type).union(dangling)
+
+
+QUERIES["ingest_shorter"] = _ingest_shorter
+#: The graph of these texts is what is left: every edge is supported by one of them.
+_HALVED = "halved AS MATERIALIZED (SELECT doc_id, lang, source, array_to_string(list_slice(string_split(coalesce(text, ''), chr(10)), 1, CAST(ceil(len(string_split(coalesce(text, ''), chr(10))) / 2) AS INTEGER)), chr(10)) AS text FROM documents)"
+_SHORTER = f"WITH {_HALVED}, " + _MARKDOWN.removeprefix("WITH ").replace("documents", "halved") + """,
+    f AS (SELECT m.*, lang, source FROM m JOIN halved USING (doc_id) WHERE regexp_matches(line, '[0-9]')), g AS (SELECT count(*) AS n, sum(length(line)) AS chars FROM f), o AS (SELECT count(*) AS blocks, count(level) AS sections, sum(length(line)) AS chars, sum(length(line)) FILTER (WHERE level IS NOT NULL) AS titles, count(DISTINCT doc_id) AS docs FROM m)"""
+ORACLE_SQL["ingest_shorter"] = f"""{_SHORTER}
+    SELECT 'Report' AS what, docs AS n, CAST(0 AS BIGINT) AS chars FROM o UNION ALL SELECT 'Section', sections, CAST(titles AS BIGINT) FROM o UNION ALL SELECT unnest(['Paragraph', 'SourceSpan']), blocks, CAST(chars AS BIGINT) FROM o
+    UNION ALL SELECT 'Entity', (SELECT count(DISTINCT lang) + count(DISTINCT source) FROM documents), 0 UNION ALL SELECT 'Metric', 1, 0 UNION ALL SELECT 'MetricValue', n, 0 FROM g UNION ALL SELECT 'Claim', n, CAST(chars AS BIGINT) FROM g
+    UNION ALL SELECT 'HAS_SECTION', sections, 0 FROM o UNION ALL SELECT unnest(['HAS_PARAGRAPH', 'HAS_SPAN']), blocks, 0 FROM o UNION ALL SELECT unnest(['ASSERTS', 'ABOUT', 'HAS_VALUE', 'MEASURES']), n, 0 FROM g UNION ALL SELECT 'SUPPORTED_BY', 2 * n, 0 FROM g
+    UNION ALL SELECT 'SOURCED_FROM', 2 * docs, 0 FROM o UNION ALL SELECT 'PUBLISHES', count(DISTINCT (lang, source)), 0 FROM f UNION ALL SELECT 'dangling', 0, 0"""
+QUERIES["commit_counts"] = lambda spark, sf_dir: write_counts(spark, _rewritten(spark, sf_dir))
+
+
+def _counts_sql(docs: str, write: int) -> str:
+    at = f"""WITH {_HALVED}, again AS (SELECT doc_id, lang, source, text FROM halved WHERE doc_id IN (SELECT doc_id FROM documents WHERE contains(text, chr(10)))), """
+    at += _MARKDOWN.removeprefix("WITH ").replace("documents", docs)
+    at += f", f AS (SELECT m.*, lang, source FROM m JOIN {docs} USING (doc_id) WHERE regexp_matches(line, '[0-9]')), x AS (SELECT (SELECT count(*) FROM {docs}) AS docs, (SELECT count(*) FROM m) AS blocks, (SELECT count(level) FROM m) AS sections, (SELECT count(*) FROM f) AS n, (SELECT count(DISTINCT (lang, source)) FROM f) AS related, (SELECT count(DISTINCT lang) + count(DISTINCT source) FROM {docs}) AS entities)"
+    return at + f""" SELECT CAST({write} AS BIGINT) AS write, unnest(['reports', 'sections', 'paragraphs', 'source_spans', 'entities', 'metrics', 'metric_values', 'claims', 'relationships', 'edges']) AS counter,
+      unnest([docs, sections, blocks, blocks, entities, CAST(n > 0 AS BIGINT), n, n, related, sections + 2 * blocks + 6 * n + 2 * docs + related]) AS n FROM x"""
+
+
+ORACLE_SQL["commit_counts"] = f"SELECT * FROM ({_counts_sql('documents', 1)}) UNION ALL SELECT * FROM ({_counts_sql('again', 2)})"
+
 table_query("leading_number", "events", lambda e: e.select("event_id", T.leading_number(F.concat(F.col("value").cast("decimal(18,2)").cast("string"), F.lit(" units"))).alias("value"), T.leading_number(F.col("event_type")).alias("none")), "SELECT event_id, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS none FROM events")
 
 # beyond the catalogue: windows over metric values and events

@@ -21,6 +21,11 @@ NODE_SCHEMAS: dict[str, str] = {
 LABELS = tuple(NODE_SCHEMAS)
 EDGE_SCHEMA = "edge_id string, source_id string, target_id string, type string, description string, confidence double, source_text string"
 
+#: What a document supports: rows of labels that belong to documents, and edges (kind `edge`).
+MEMBER_SCHEMA = "report_id string, kind string, id string"
+#: Edge types between fixed labels; all others are relationships between entities.
+STRUCTURAL = ("HAS_SECTION", "HAS_PARAGRAPH", "HAS_SPAN", "ASSERTS", "ABOUT", "MENTIONS", "HAS_VALUE", "MEASURES", "SUPPORTED_BY", "SOURCED_FROM")
+
 
 def id_column(label: str) -> str:
     return NODE_SCHEMAS[label].split()[0]
@@ -28,12 +33,14 @@ def id_column(label: str) -> str:
 
 @dataclass(frozen=True)
 class Graph:
-    """Lazy DataFrames: one for each label, and the edges; of a stored graph the edges twice, clustered by source and by target."""
+    """Lazy DataFrames: one for each label, and the edges; of a stored graph the edges twice, clustered by source and by
+    target. members says which documents support what; a graph without it knows no documents."""
 
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     edges: DataFrame | None = None
     edges_in: DataFrame | None = None
     stored: bool = False
+    members: DataFrame | None = None
 
     def __getitem__(self, label: str) -> DataFrame:
         return self.nodes[label]
@@ -56,8 +63,8 @@ def empty(spark: SparkSession) -> Graph:
     return Graph({k: spark.createDataFrame([], v) for k, v in NODE_SCHEMAS.items()}, spark.createDataFrame([], EDGE_SCHEMA))
 
 
-def complete(spark: SparkSession, nodes: dict[str, DataFrame], edges: DataFrame) -> Graph:
+def complete(spark: SparkSession, nodes: dict[str, DataFrame], edges: DataFrame, members: DataFrame | None = None) -> Graph:
     """A graph of these nodes and edges, with empty tables for the other labels and columns in schema order."""
     none = empty(spark)
     fixed = {k: nodes[k].select(*none[k].columns) if k in nodes else none[k] for k in LABELS}
-    return Graph(fixed, edges.select(*none.edges.columns))
+    return Graph(fixed, edges.select(*none.edges.columns), members=members)

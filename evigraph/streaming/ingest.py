@@ -15,12 +15,13 @@ from evigraph.sources.snapshots import EVERY, commit
 
 def ingest_files(spark: SparkSession, folder: str, store: str, checkpoint: str, to_graph: Callable[[DataFrame], Graph], policy: MergePolicy = MergePolicy(), every: int = EVERY) -> StreamingQuery:
     """New text files in a folder become a graph each batch, which is written as a delta of the store; every so many
-    batches the store is compacted. A batch that is repeated after a failure writes its own delta again."""
+    batches the store is compacted. A batch that is repeated after a failure is written once: the store knows the last
+    batch of each checkpoint."""
     files = spark.readStream.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
     files = files.withColumn("source_filename", F.element_at(F.split("path", "/"), -1)).withColumn("document_id", F.sha2("path", 256))
 
     def step(batch: DataFrame, n: int) -> None:
-        commit(batch.sparkSession, store, to_graph(batch), policy, n + 1, every)
+        commit(batch.sparkSession, store, to_graph(batch), policy, (checkpoint, n), every)
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

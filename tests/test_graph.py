@@ -211,12 +211,12 @@ def test_writing_again_replaces_the_document_and_keeps_the_rest(spark, tmp_path)
 
     store = str(tmp_path / "store")
     for n, text in enumerate(("old", "mid", "new", "last"), 1):
-        assert commit(spark, store, report(spark, text, n / 10), every=2) == n
+        assert commit(spark, store, report(spark, text, n / 10), txn=("writer", n), every=2) == n
         g = read_store(spark, store)
         assert [g[k].first()[1] for k in ("Report", "Section", "Paragraph", "SourceSpan")] == [f"title {text}", text, text, text]
         assert g["Claim"].first()["confidence"] == 0.1 and g.edges.first()["confidence"] == 0.1
         assert {r["what"]: r["n"] for r in counts(g).collect()} == {"Report": 1, "Section": 1, "Paragraph": 1, "SourceSpan": 1, "Entity": 1, "Metric": 0, "MetricValue": 0, "Claim": 1, "TimePeriod": 0, "SOURCED_FROM": 1}
-    commit(spark, store, report(spark, "again"), n=4, every=2)  # compacted before: nothing changes
+    commit(spark, store, report(spark, "again"), txn=("writer", 4), every=2)  # written before: nothing changes
     assert read_store(spark, store)["Paragraph"].first()["text"] == "last"
     most = merge.MergePolicy(confidence="max")
     assert merge.upsert_graph(report(spark, "a", 0.2), report(spark, "b", 0.9), most)["Claim"].first()["confidence"] == 0.9
