@@ -3,7 +3,8 @@
 No ring table: the key and the number of shards decide. With one more shard, rows
 move only into the new one. No row is shuffled to be dealt; a row's slot in its
 shard is its place among its task's rows of that shard plus what the tasks before
-hold, and those counts are as few as tasks times shards.
+hold. Those counts are as few as tasks times shards; they are broadcast while a sum made
+before says that they are small, and joined by shuffle beyond.
 
 The law is `key`, so equal texts under different ids may lie in different shards,
 as the key alone decides.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import materialize, whole_text
+from evigraph.llm.common import bounded, materialize, whole_text
 
 #: Fixed value: the multiplier of the published jump consistent hash.
 MULTIPLIER = np.uint64(2862933555777941757)
@@ -61,10 +62,10 @@ def assign_shards(rows: DataFrame, key: Column, shards: int, keep: list[Column])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shard), pa.array(grown), pa.array(np.full(len(keys), part, np.int32)), pa.array(local)], names=[*b.schema.names[:-1], "shard", "grown_shard", "part", "local"])
 
     dealt = materialize(kept.mapInArrow(run, schema), "shards")  # a part's numbers hold once they are written
-    counts = dealt.groupBy("part", "shard").agg(F.count("*").alias("n"))
+    counts = materialize(dealt.groupBy("part", "shard").agg(F.count("*").alias("n")), "shard-counts")
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return dealt.join(bases, ["part", "shard"]).withColumn("slot", F.col("base") + F.col("local")).drop("part", "local", "base")
+    return dealt.join(bounded(bases), ["part", "shard"]).withColumn("slot", F.col("base") + F.col("local")).drop("part", "local", "base")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
