@@ -1,19 +1,27 @@
 """Operator 2: toxicity by a weighted finite-state pattern grammar.
 
-A clause is read as a string of word classes: insult, threat, target, negation,
-reported speech, other. Four transducers run over it, each on the output of the
-one before: negation (its scope is the three words after it), reported speech (to
-the clause's end), and target, forwards and backwards (three words). What remains
-of each insult or threat is one of eight kinds; a document's features are the
-weights it gathered by kind and their density, and a logistic model over these
-gives the score. So "you worthless loser", "not a loser" and "he said loser" differ.
-
-Closed classes are listed below. The insult lexicon, of words and word beginnings of
-three letters or more, and all weights are learned from labelled rows: the training
-sample has at most MAX_TOXIC and MAX_CLEAN of them (those of the smallest hash of
-their id), one text for each id. The lexicon is every unit that these rows support.
-The model is calibrated on features made with the other half's lexicon, so that a
-unit's fit to its own rows doesn't count.
+A clause is read as a string of word classes: insult, learned beginning, threat verb, target,
+negation, reported speech, other. Transducers for negation (its scope is the three words behind
+it), reported speech (to the clause's end) and insults at a target (four words) are composed
+into one automaton that reads it forwards; those for insults and for threats, whose target
+stands behind the verb, into one that reads it backwards. What they mark are matched clauses:
+
+* an insult at a target, neither negated nor reported: "you pathetic loser", "he is a loser";
+* a threat against a target, neither negated nor reported: "we will hurt them";
+* an insult without a target, which counts only where another match in the text supports it.
+
+Nothing else counts: not a threat verb without its target, nor a negated or reported insult, nor
+a single insult on its own. A document's features are its targeted insults, its threats, the
+matches that support each other, and their density. Weights are learned with a sign prior, none is
+below zero, and the first two are at least what makes one such clause toxic.
+
+Closed classes are listed below. More insults are learned from labelled rows: whole words first;
+then beginnings of four letters or more for what inflects, which have to stand in many different
+words, none of which makes up most of them, so that a single known word brings in no beginning.
+Beginnings are weak: they never make a targeted clause. The training sample has at most MAX_TOXIC
+and MAX_CLEAN rows (those of the smallest hash of their id), one text for each id. Weights are
+fitted on features made with the other half's lexicon, so that a unit's fit to its own rows
+doesn't count.
 
 Defined results: null or empty text has the score of a text without any match; a very
 long text is read whole; null ids are kept and held out of training; repeated rows
@@ -38,10 +46,12 @@ from pyspark.sql import functions as F
 from evigraph.llm.common import materialize, narrow, sliced, sole
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
-#: Letters that a word beginning has at least.
-SHORTEST = 3
-#: What a unit's share among toxic rows has to be, of that plus its share among clean ones.
-PURE = 0.93
+#: Letters that a word, and a word's beginning, has at least.
+SHORTEST, STEM = 3, 4
+#: What a word's and a beginning's share among toxic rows has to be, of that plus its share among clean ones.
+PURE, PURE_STEM = 0.93, 0.85
+#: Different words that a beginning stands in at least, and what the most frequent of them may make up.
+WORDS, MOST = 6, 0.6
 CACHE = 400_000
 
 #: Closed word classes in English, French, German and Spanish.
@@ -50,30 +60,33 @@ THREATS = "kill hurt destroy murder beat stab shoot tuer tuerai frapper détruir
 TARGETS = "you your yourself he she him her they them tu toi vous te ton ta du dich dir ihr euch sie tú ti usted ustedes vosotros".split()
 NEGATIONS = "not no never nobody n't isn't aren't don't pas jamais aucun nicht kein keine nie nunca tampoco jamás".split()
 REPORTS = "said says say told called calls claimed quoted wrote dit disait appelle sagte sagt nannte schrieb dijo dice llamó escribió".split()
-LISTED = {w: k for k, words in (("V", THREATS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
+LISTED = {w: k for k, words in (("v", THREATS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
 
-#: Kinds after the last transducer: insult or threat; plain, negated, reported; upper case with a target.
-KINDS = "iInqvVmr"
+#: Symbols: i insult, s learned beginning, v threat verb; after the automata I insult at a target, V threat against one, n negated, r reported.
+CLASSES = "isvTNRo"
 _WORD = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[a-z]+)?|[.!?;:\n]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[a-z]+)?|[.!?;\n]")
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """moves[state][symbol] is (next state, output); a symbol without a move is passed on by `rest`."""
+    """moves[state, symbol] is (next state, output); a symbol without a move is passed on by `rest`."""
 
     moves: dict
     rest: dict
 
+    def step(self, state: int, symbol: str) -> tuple[int, str]:
+        return self.moves.get((state, symbol), (self.rest.get(state, 0), symbol))
+
     def __call__(self, symbols: list[str]) -> list[str]:
         state, out = 0, []
         for s in symbols:
-            state, o = self.moves.get((state, s), (self.rest.get(state, 0), s))
+            state, o = self.step(state, s)
             out.append(o)
         return out
 
 
-def _scope(opens: str, change: dict[str, str], width: int | None) -> Transducer:
+def scope(opens: str, change: dict[str, str], width: int | None) -> Transducer:
     """After a symbol of `opens`, the next `width` symbols (None: all) are changed."""
     last = width or 1
     moves, rest = {}, {}
@@ -88,39 +101,53 @@ def _scope(opens: str, change: dict[str, str], width: int | None) -> Transducer:
     return Transducer(moves, rest)
 
 
-#: Insults come in as "i" and threats as "v".
-NEGATION = _scope("N", {"i": "n", "v": "m"}, 3)
-REPORTED = _scope("R", {"i": "q", "v": "r"}, None)
-TARGET = _scope("T", {"i": "I", "v": "V"}, 3)
+def compose(first: Transducer, second: Transducer, symbols: str = CLASSES) -> Transducer:
+    """One automaton that does to a string what second does to first's output; its states are the pairs that can be reached."""
+    known, todo, moves = {(0, 0): 0}, [(0, 0)], {}
+    while todo:
+        a, b = pair = todo.pop()
+        for s in symbols:
+            a2, mid = first.step(a, s)
+            b2, out = second.step(b, mid)
+            if (a2, b2) not in known:
+                known[a2, b2] = len(known)
+                todo.append((a2, b2))
+            moves[known[pair], s] = (known[a2, b2], out)
+    return Transducer(moves, {})
+
+
+NEGATION = scope("N", {"i": "n", "s": "n", "v": "n"}, 3)
+REPORTED = scope("R", {"i": "r", "s": "r", "v": "r"}, None)
+INSULT = scope("T", {"i": "I"}, 4)
+THREAT = scope("T", {"v": "V"}, 3)
+FORWARDS = compose(compose(NEGATION, REPORTED), INSULT)
+BACKWARDS = compose(INSULT, THREAT, CLASSES + "Inr")
 
 
 def kinds(classes: list[str]) -> list[str]:
     """The composed grammar over the word classes of one clause."""
-    return TARGET(TARGET(REPORTED(NEGATION(classes)))[::-1])[::-1]
+    return BACKWARDS(FORWARDS(classes)[::-1])[::-1]
 
 
 @dataclass(frozen=True)
 class Grammar:
-    insults: tuple[tuple[str, float], ...]  # a unit that ends in * is a word's beginning
+    insults: tuple[str, ...]  # a unit that ends in * is a word's beginning
     model: tuple[float, ...] = ()
-    words: dict = field(init=False, compare=False)
-    starts: dict = field(init=False, compare=False)
+    symbols: dict = field(init=False, compare=False)
+    starts: frozenset = field(init=False, compare=False)
 
     def __post_init__(self):
-        object.__setattr__(self, "words", {u: w for u, w in self.insults if u[-1] != "*"})
-        object.__setattr__(self, "starts", {u[:-1]: w for u, w in self.insults if u[-1] == "*"})
-
-    def insult(self, word: str) -> float:
-        return max(self.words.get(word, 0.0), *(self.starts.get(word[:n], 0.0) for n in range(SHORTEST, len(word) + 1)), 0.0)
+        object.__setattr__(self, "symbols", LISTED | {u: "i" for u in self.insults if u[-1] != "*"})
+        object.__setattr__(self, "starts", frozenset(u[:-1] for u in self.insults if u[-1] == "*"))
 
-    def symbol(self, word: str) -> tuple[str, float]:
-        if (weight := self.insult(word)) > 0:
-            return "i", weight
-        kind = LISTED.get(word, "o")
-        return ("v", 1.0) if kind == "V" else (kind, 0.0)
+    def symbol(self, word: str) -> str:
+        found = self.symbols.get(word)
+        if found is None:
+            found = "s" if any(word[:n] in self.starts for n in range(STEM, len(word))) else "o"
+        return found
 
     def hot(self, token: str) -> bool:
-        return any(self.symbol(w)[0] in "iv" for w in _WORD.findall(token.lower()))
+        return any(self.symbol(w) in "isv" for w in _WORD.findall(token.lower()))
 
     def features(self, text: str, memo: dict[str, bool]) -> list[float]:
         tokens = text.split()
@@ -130,33 +157,37 @@ class Grammar:
             if got is None:
                 got = memo[t] = self.hot(t)
             found |= got
-        sums = dict.fromkeys(KINDS, 0.0)
+        aimed = threats = plain = 0
         if found:
-            clause: list[tuple[str, float]] = []
+            clause: list[str] = []
             for t in [*_TOKEN.findall(text.lower()), "."]:
-                if t in ".!?;:\n":
-                    if any(s in "iv" for s, _ in clause):
-                        for k, (_, w) in zip(kinds([s for s, _ in clause]), clause, strict=True):
-                            if k in sums and w:
-                                sums[k] += w
+                if t in ".!?;\n":
+                    if any(s in "isv" for s in clause):
+                        marks = kinds(clause)
+                        aimed += marks.count("I")
+                        threats += marks.count("V")
+                        plain += marks.count("i") + marks.count("s")
                     clause = []
                 else:
                     clause.append(self.symbol(t))
-        total = sum(sums.values())
-        return [*(math.log1p(v) for v in sums.values()), math.log1p(100 * total / max(1, len(tokens))), math.log1p(total)]
+        support = max(0, aimed + threats + plain - 1)
+        return [math.log1p(aimed), math.log1p(threats), math.log1p(support), math.log1p(100 * support / max(1, len(tokens)))]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         w = np.array(self.model)
         return 1 / (1 + np.exp(-np.clip(features @ w[1:] + w[0], -30, 30)))
 
 
-N_FEATURES = len(KINDS) + 2
-PRIOR = (-3.0, *[2.0 if k in "iI" else 0.5 for k in KINDS], 1.0, 0.5)
+N_FEATURES = 4
+#: Of the intercept, targeted insults, threats, matches that support each other, and their density.
+PRIOR = (-3.0, 6.0, 6.0, 2.0, 0.5)
+#: Log odds of a text whose only match is one targeted insult or threat, at least.
+ENOUGH = 1.0
 
 
 def _units(text: str) -> set[str]:
     words = set(_WORD.findall(text.lower()))
-    return {w for w in words if len(w) >= SHORTEST} | {w[:n] + "*" for w in words for n in range(SHORTEST, len(w))}
+    return {w for w in words if len(w) >= SHORTEST} | {w[:n] + "*" for w in words for n in range(STEM, len(w))}
 
 
 def _count_units(sample: DataFrame) -> DataFrame:
@@ -178,7 +209,7 @@ def _count_units(sample: DataFrame) -> DataFrame:
 
 def _least(n_toxic: int) -> int:
     """Toxic rows that a unit has to be in."""
-    return 3 if n_toxic < 400 else max(4, n_toxic // 200)
+    return max(6, n_toxic // 30)
 
 
 def _share(toxic, clean, n_toxic: int, n_clean: int):
@@ -187,32 +218,48 @@ def _share(toxic, clean, n_toxic: int, n_clean: int):
     return of_toxic / (of_toxic + (clean + 0.3) / max(1, n_clean))
 
 
-def choose_units(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> tuple[tuple[str, float], ...]:
-    """Units with support whose share among toxic rows is far above that among clean ones; a
-    unit under a chosen beginning is left out, as that covers it. Weights are 0 to 1, by how pure the unit is."""
-    least = _least(n_toxic)
-    shares = [(toxic, _share(toxic, clean, n_toxic, n_clean), unit) for unit, toxic, clean in counts if toxic >= least]
-    chosen: dict[str, float] = {}
-    for toxic, share, unit in sorted((g for g in shares if g[1] >= PURE), key=lambda g: (-g[0] * g[1], len(g[2]), g[2])):
-        stem = unit.rstrip("*")
-        if not any(stem[:n] + "*" in chosen for n in range(SHORTEST, len(stem) + 1)):
-            chosen[unit] = min(1.0, (share - 0.9) * 10)
-    for w in INSULTS:
-        chosen.setdefault(w, 0.5)
-    return tuple(sorted(chosen.items()))
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> tuple[float, ...]:
-    """Weighted logistic regression by Newton's method; the intercept isn't shrunk."""
-    a = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(a.shape[1])
-    penalty = np.diag([1e-6, *[ridge] * x.shape[1]])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + penalty, a.T @ (weight * (y - p)) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+def _choose(units: DataFrame, toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> tuple[str, ...]:
+    """The listed insults, the words that toxic rows support, and the beginnings of many such words. The units with
+    enough rows and share are few: of n_toxic rows each is in a thirtieth at least."""
+    rows = units.select("unit", toxic.alias("t"), clean.alias("c")).filter("t > 0")
+    share = _share(F.col("t"), F.col("c"), n_toxic, n_clean)
+    start = F.explode(F.transform(F.sequence(F.lit(STEM), F.length("unit") - 1), lambda n: F.concat(F.substring("unit", F.lit(1), n), F.lit("*"))))
+    words = rows.filter(~F.endswith("unit", F.lit("*")) & (F.length("unit") > STEM)).select("t", start.alias("unit"))
+    many = words.groupBy("unit").agg(F.count("*").alias("words"), F.max("t").alias("most"), F.sum("t").alias("all"))
+    strong = rows.filter((F.col("t") >= _least(n_toxic)) & (share >= F.when(F.endswith("unit", F.lit("*")), PURE_STEM).otherwise(PURE)))
+    met = strong.join(many, "unit", "left").filter(~F.endswith("unit", F.lit("*")) | ((F.col("words") >= WORDS) & (F.col("most") <= MOST * F.col("all"))))
+    found = [(r["unit"], r["t"], r["c"]) for r in met.select("unit", "t", "c").collect()]
+    stems: list[str] = []
+    for unit, *_ in sorted((x for x in found if x[0][-1] == "*"), key=lambda x: (-x[1] * _share(x[1], x[2], n_toxic, n_clean), len(x[0]), x[0])):
+        if not any(unit[:-1].startswith(k) or k.startswith(unit[:-1]) for k in stems):
+            stems.append(unit[:-1])
+    chosen = {unit for unit, *_ in found if unit[-1] != "*" and not any(unit.startswith(k) for k in stems)}
+    return tuple(sorted({*INSULTS, *chosen, *(k + "*" for k in stems)} - LISTED.keys()))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: tuple[float, ...] = PRIOR, ridge: float = 0.5) -> tuple[float, ...]:
+    """Weighted logistic regression by Newton's method, drawn towards the prior; the intercept hardly is. A weight that
+    would be below zero is zero, and one clause that is enough by itself keeps its ENOUGH."""
+    a, mean = np.hstack([np.ones((len(x), 1)), x]), np.array(prior)
+    free = np.ones(len(mean), bool)
+    while True:
+        w, penalty = np.where(free, mean, 0.0), np.array([1e-3, *[ridge] * x.shape[1]])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            slope = a.T @ (weight * (y - p)) - penalty * (w - mean)
+            curve = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(penalty)
+            step = np.zeros(len(w))
+            step[free] = np.linalg.solve(curve[np.ix_(free, free)], slope[free])
+            w += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        low = free & (w < 0)
+        low[0] = False
+        if not low.any():
             break
+        free &= ~low
+    w[0] = min(w[0], -1.0)
+    w[1:3] = np.maximum(w[1:3], (ENOUGH - w[0]) / math.log(2))
     return tuple(float(v) for v in w)
 
 
@@ -239,7 +286,7 @@ def train(spark: SparkSession, docs: DataFrame, marks: DataFrame) -> Grammar:
     so at most MAX_TOXIC + MAX_CLEAN of them are broadcast to meet their texts, and as many texts are kept."""
     totals = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
-        return Grammar(tuple((w, 0.5) for w in sorted(INSULTS)), PRIOR)
+        return Grammar(tuple(sorted(INSULTS)), PRIOR)
     parts = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     met = docs.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
     one = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("r")).select("r.*")
@@ -248,14 +295,9 @@ def train(spark: SparkSession, docs: DataFrame, marks: DataFrame) -> Grammar:
     sample = materialize(sample.drop("h"), "toxicity-sample")
     sizes = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     size = lambda h, t: sizes.get((h, t), 0)
-    both_t, both_c = size(0, 1) + size(1, 1), size(0, 0) + size(1, 0)
-    sides = [(F.col("t0"), F.col("c0"), size(0, 1), size(0, 0)), (F.col("t1"), F.col("c1"), size(1, 1), size(1, 0)), (F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), both_t, both_c)]
-    good = F.lit(False)
-    for t, c, n_toxic, n_clean in sides:
-        good = good | ((t >= _least(n_toxic)) & (_share(t, c, n_toxic, n_clean) >= PURE - 1e-9))
-    rows = _count_units(sample).filter(good).collect()
-    half = [choose_units([(r["unit"], r[f"t{h}"], r[f"c{h}"]) for r in rows], size(h, 1), size(h, 0)) for h in (0, 1)]
-    both = choose_units([(r["unit"], r["t0"] + r["t1"], r["c0"] + r["c1"]) for r in rows], both_t, both_c)
+    units = materialize(_count_units(sample), "toxicity-units")
+    half = [_choose(units, F.col(f"t{h}"), F.col(f"c{h}"), size(h, 1), size(h, 0)) for h in (0, 1)]
+    both = _choose(units, F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), size(0, 1) + size(1, 1), size(0, 0) + size(1, 0))
     grammars = (Grammar(half[1]), Grammar(half[0]))  # each half is scored with the other's lexicon
     got = _featured(sample, ["toxic"], "toxic int", grammars, lambda b: b.column("half").to_pylist()).collect()
     x, y = np.array([r["x"] for r in got]).reshape(-1, N_FEATURES), np.array([r["toxic"] for r in got], float)

@@ -27,49 +27,83 @@ def texts(spark):
 
 # 2
 def read_clauses(text, units, listed):
-    """Sums by kind, by looking at each insult's or threat's neighbours; no automaton."""
-    sums = dict.fromkeys(toxicity.KINDS, 0.0)
-
-    def weight(word):
-        return max([w for u, w in units if (word.startswith(u[:-1]) if u[-1] == "*" else word == u)], default=0.0)
-
-    for clause in re.split(r"[.!?;:\n]", text.lower()):
-        words = re.findall(r"[^\W\d_]+(?:'[a-z]+)?", clause)
-        classes = [("i", weight(w)) if weight(w) > 0 else (listed.get(w, "o"), 1.0 if listed.get(w) == "V" else 0.0) for w in words]
-        for k, (c, w) in enumerate(classes):
-            if c not in "iV" or not w:
+    """Targeted insults, threats and other insults, by looking at each word's neighbours; no automaton."""
+    aimed = threats = plain = 0
+
+    def known(word):
+        if word in listed:
+            return listed[word]
+        return "i" if word in units else "s" if any(u[-1] == "*" and word.startswith(u[:-1]) and word != u[:-1] for u in units) else "o"
+
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        classes = [known(w) for w in re.findall(r"[^\W\d_]+(?:'[a-z]+)?", clause)]
+        for k, c in enumerate(classes):
+            if c not in "isv" or "N" in classes[max(0, k - 3) : k] or "R" in classes[:k]:
                 continue
-            near = lambda x, a, b: any(y == x for y, _ in classes[max(0, a) : b])  # noqa: B023, E731
-            base = "i" if c == "i" else "v"
-            if near("N", k - 3, k):
-                kind = {"i": "n", "v": "m"}[base]
-            elif near("R", 0, k):
-                kind = {"i": "q", "v": "r"}[base]
-            elif near("T", k - 3, k) or near("T", k + 1, k + 4):
-                kind = base.upper()
+            if c == "v":
+                threats += "T" in classes[k + 1 : k + 4]
+            elif c == "i" and "T" in classes[max(0, k - 4) : k] + classes[k + 1 : k + 5]:
+                aimed += 1
             else:
-                kind = base
-            sums[kind] += w
-    return sums
+                plain += 1
+    return aimed, threats, plain
 
 
 def test_toxicity_equals_a_plain_reader_of_clauses(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     marks = labels.filter(toxicity.in_training(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     grammar = toxicity.train(spark, common.narrow(d), marks)
-    listed = {w: k for k, ws in (("V", toxicity.THREATS), ("T", toxicity.TARGETS), ("N", toxicity.NEGATIONS), ("R", toxicity.REPORTS)) for w in ws}
+    listed = {w: k for k, ws in (("v", toxicity.THREATS), ("T", toxicity.TARGETS), ("N", toxicity.NEGATIONS), ("R", toxicity.REPORTS)) for w in ws}
     got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(d, grammar).collect()}
     w = np.array(grammar.model)
     seen = 0
     for r in d.collect():
-        sums = read_clauses(r["text"] or "", grammar.insults, listed)
-        total = sum(sums.values())
-        x = [*(math.log1p(v) for v in sums.values()), math.log1p(100 * total / max(1, len((r["text"] or "").split()))), math.log1p(total)]
+        aimed, threats, plain = read_clauses(r["text"] or "", set(grammar.insults), listed)
+        support = max(0, aimed + threats + plain - 1)
+        x = [math.log1p(aimed), math.log1p(threats), math.log1p(support), math.log1p(100 * support / max(1, len((r["text"] or "").split())))]
         assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, float(np.dot(w[1:], x) + w[0]))))), abs=1e-9), r["doc_id"]
-        seen += total > 0
+        seen += support > 0
     assert seen > 50
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("isvTNRo"), max_size=25))
+def test_one_automaton_does_what_the_transducers_do_in_turn(classes):
+    one = toxicity.INSULT(toxicity.REPORTED(toxicity.NEGATION(classes)))
+    assert toxicity.FORWARDS(classes) == one
+    assert toxicity.kinds(classes) == toxicity.THREAT(toxicity.INSULT(one[::-1]))[::-1]
+
+
+TOXIC = ["you pathetic loser", "He is such a loser!", "We will kill you.", "They said nothing. You stupid clown", "What an idiot, you moron"]
+CLEAN = [
+    "pathetic",
+    "kill",
+    "The word loser appears here in a long plain sentence about a dictionary of words",
+    "he is not a loser",
+    "he said you are a loser",
+    "She never called him an idiot",
+    "They plan to destroy the old bridge",
+    "They wrote: you are a clown",
+    "More trade across the world takes a new path close to the morning market",
+    "No one will hurt you",
+    "",
+]
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_the_grammar_decides(spark, sf):
+    """On weights trained on the tables, clauses make a text toxic and single words don't."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
+    marks = labels.filter(toxicity.in_training(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    grammar = toxicity.train(spark, common.narrow(d), marks)
+    score = lambda t: float(grammar.score(np.array([grammar.features(t, {})]))[0])
+    assert all(score(t) >= 0.5 for t in TOXIC), [(t, score(t)) for t in TOXIC]
+    assert all(score(t) < 0.5 for t in CLEAN), [(t, score(t)) for t in CLEAN]
+    assert grammar.model[0] < 0 and min(grammar.model[1:]) >= 0
+    # what is learned of words that are known anyway brings in no beginnings of other words
+    assert not [u for u in grammar.insults if u[-1] == "*" and any(w.startswith(u[:-1]) for w in toxicity.INSULTS)]
+
+
 def test_conflicting_labels_and_repeated_ids_are_settled(spark):
     rows = [(i, f"you worthless snark{i % 3} fool" if i % 2 else f"a calm day {i}") for i in range(60)] + [(1, "another text of one id")] * 3
     labels = [(i, 1, i % 2) for i in range(60)] + [(3, 1, 0), (4, 1, 1), (5, 1, 1)]

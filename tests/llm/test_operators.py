@@ -74,18 +74,20 @@ def test_transducers():
     assert toxicity.kinds(["i"]) == ["i"]
     assert toxicity.kinds(["T", "o", "i"])[2] == "I"
     assert toxicity.kinds(["i", "o", "T"])[0] == "I"
+    assert toxicity.kinds(["T", "s"])[1] == "s"
     assert toxicity.kinds(["N", "o", "o", "i"])[3] == "n"
     assert toxicity.kinds(["N", "o", "o", "o", "i"])[4] == "i"
-    assert toxicity.kinds(["R", *"ooooo", "i"])[6] == "q"
+    assert toxicity.kinds(["R", *"ooooo", "i", "T"])[6] == "r"
     assert toxicity.kinds(["v", "T"])[0] == "V"
-    assert toxicity.kinds(["N", "v"])[1] == "m"
+    assert toxicity.kinds(["T", "v"])[1] == "v"
+    assert toxicity.kinds(["N", "v", "T"])[1] == "n"
 
 
 def test_clauses_differ():
-    g = toxicity.Grammar((("loser", 1.0),), toxicity.PRIOR)
-    x = {t: g.features(t, {}) for t in ("you loser", "not a loser", "he said loser", "no. loser")}
-    at = {k: i for i, k in enumerate(toxicity.KINDS)}
-    assert x["you loser"][at["I"]] > 0 and x["not a loser"][at["n"]] > 0 and x["he said loser"][at["q"]] > 0 and x["no. loser"][at["i"]] > 0
+    g = toxicity.Grammar(("loser",), toxicity.PRIOR)
+    x = {t: g.features(t, {}) for t in ("you loser", "not a loser", "he said loser", "no. loser", "loser here. loser there", "kill you", "kill it")}
+    assert x["you loser"][0] > 0 and x["kill you"][1] > 0 and x["loser here. loser there"][2] > 0
+    assert not any(any(x[t]) for t in ("not a loser", "he said loser", "no. loser", "kill it"))
 
 
 def test_toxicity_holds_out_and_learns(spark):
@@ -96,7 +98,7 @@ def test_toxicity_holds_out_and_learns(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
     marks = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     held = [(r["predicted"], marks[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in marks]
-    assert sum(p == y for p, y in held) / len(held) > 0.9
+    assert sum(p == y for p, y in held) / len(held) > 0.95
 
 
 # 3
