@@ -54,6 +54,11 @@ def merge_confidence(existing: Column, incoming: Column, policy: str = "max") ->
     return F.coalesce(existing, incoming) if policy == "preferExisting" else F.coalesce(incoming, existing)
 
 
+def words(text: Column) -> Column:
+    """Lower-case runs of letters and digits, in order."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
 def leading_number(text: Column) -> Column:
     """The number a text begins with, as double; null without one."""
     return F.regexp_extract(text, r"^\s*([-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?)", 1).try_cast("double")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.functions.text import words
 from evigraph.operators.read import CLAIM, clamp, claims_in_report, hop, pinned
 from evigraph.operators.traverse import subgraph_nodes
 from evigraph.schema import Graph
+from evigraph.sources.postings import TextIndex, lookup
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -28,6 +31,10 @@ def query_terms(query: str) -> list[tuple[str, ...]]:
     return out
 
 
+def _weight(idf: Column, tf: Column, length: Column, mean: float | None) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
+
+
 def bm25(rows: DataFrame, fields: list[str], query: str, limit: int, where: Column | None = None) -> DataFrame:
     """The rows that every term matches, with `score`, the best first; ties by the first column. A term is the
     beginning of a word, or a phrase. A term's frequency is over all fields together; lengths and counts are of all
@@ -36,7 +43,7 @@ def bm25(rows: DataFrame, fields: list[str], query: str, limit: int, where: Colu
     terms = query_terms(query)
     if not terms:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
-    tokens_of = lambda f: F.filter(F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    tokens_of = lambda f: words(F.col(f))
     tokens = F.flatten(F.array(*map(tokens_of, fields)))
 
     def frequency(term: tuple[str, ...]) -> Column:
@@ -52,8 +59,7 @@ def bm25(rows: DataFrame, fields: list[str], query: str, limit: int, where: Colu
     score = F.lit(0.0)
     for k in range(len(terms)):
         idf = max(math.log((n - df[k] + 0.5) / (df[k] + 0.5)), LEAST_IDF)
-        tf = F.col(f"_tf{k}")
-        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.lit(mean or 1.0)))
+        score = score + _weight(F.lit(idf), F.col(f"_tf{k}"), F.col("_len"), mean)
     match = F.lit(True) if where is None else where
     for k in range(len(terms)):
         match = match & (F.col(f"_tf{k}") > 0)
@@ -61,6 +67,45 @@ def bm25(rows: DataFrame, fields: list[str], query: str, limit: int, where: Colu
     return out.orderBy(F.desc("score"), rows.columns[0]).limit(clamp(limit, 1, 1000))
 
 
+def bm25_indexed(index: TextIndex, query: str, limit: int, kind: str | None = None, inside: DataFrame | None = None) -> DataFrame:
+    """id and score of what bm25 finds, from an index: only the postings of the query's terms are read. kind: of this kind
+    only; inside: of these ids (id) only."""
+    terms = query_terms(query)
+    if not terms:
+        return index.postings.select("id", F.lit(0.0).alias("score")).limit(0)
+    hits = lookup(index, terms)
+    # one row: in how many rows each term is; made of the same exchange as the rows that are ranked
+    df = hits.agg(*[F.count_if(F.col(f"_tf{k}") > 0).alias(f"_df{k}") for k in range(len(terms))])
+    rows = hits.filter(reduce(Column.__and__, [F.col(f"_tf{k}") > 0 for k in range(len(terms))]))
+    if kind is not None:
+        rows = rows.filter(F.col("kind") == kind)
+    if inside is not None:
+        rows = rows.join(inside, "id", "left_semi")
+    score = F.lit(0.0)
+    for k in range(len(terms)):
+        idf = F.greatest(F.log((F.lit(float(index.rows)) - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5)), F.lit(LEAST_IDF))
+        score = score + _weight(idf, F.col(f"_tf{k}"), F.col("length"), index.words / max(1, index.rows))
+    return rows.crossJoin(F.broadcast(df)).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(clamp(limit, 1, 1000))
+
+
+def _found(rows: DataFrame, top: DataFrame) -> DataFrame:
+    """The columns of the rows that were found: their ids, a thousand at most, go into the filter of the scan."""
+    key, got = rows.columns[0], top.collect()
+    known = rows.sparkSession.createDataFrame([tuple(r) for r in got], f"{key} string, score double")
+    return rows.filter(F.col(key).isin([r["id"] for r in got])).join(F.broadcast(known), key).orderBy(F.desc("score"), key)
+
+
+def find_entities_indexed(graph: Graph, index: TextIndex, query: str, entity_type: str | None = None, limit: int = 50, report_id: str | None = None) -> DataFrame:
+    """The rows of find_entities, by an index of the graph's entities."""
+    inside = None if report_id is None else graph.to("SOURCED_FROM").filter(F.col("target_id") == report_id).select(F.col("source_id").alias("id"))
+    return _found(graph["Entity"].select("entity_id", "canonical_name", "entity_type", "name", "description"), bm25_indexed(index, query, limit, entity_type, inside))
+
+
+def find_claims_indexed(graph: Graph, index: TextIndex, query: str, limit: int = 50, claim_type: str | None = None) -> DataFrame:
+    """The rows of find_claims, by an index of the graph's claims; of a type, if one is given."""
+    return _found(graph["Claim"].select(*CLAIM), bm25_indexed(index, query, limit, claim_type))
+
+
 def find_entities(graph: Graph, query: str, entity_type: str | None = None, limit: int = 50, report_id: str | None = None) -> DataFrame:
     """Entities by rank; of a type, or sourced from a report, only those are ranked and cut to the limit."""
     rows = graph["Entity"].select("entity_id", "canonical_name", "entity_type", "name", "description")

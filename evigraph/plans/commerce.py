@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.lineage import shared_path
 from evigraph.schema import Graph, complete
+from evigraph.sources import manifest
+from evigraph.sources.postings import TextIndex, index_graph, read_index
 from evigraph.sources.snapshots import read_graph, write_graph
 
 
@@ -115,6 +117,15 @@ def commerce_snapshot(spark: SparkSession, sf_dir: str) -> Graph:
     return read_graph(spark, path)
 
 
+def commerce_index(spark: SparkSession, sf_dir: str, label: str) -> TextIndex:
+    """The index of the snapshot's entities or claims, written beside it once in a session."""
+    commerce_snapshot(spark, sf_dir)
+    path = _SNAPSHOTS[spark.sparkContext.applicationId, sf_dir]
+    if not manifest.names(spark, f"{path}/index/{label}"):
+        index_graph(read_graph(spark, path), f"{path}/index")
+    return read_index(spark, f"{path}/index/{label}")
+
+
 def _e(kind: str, source: str, target: str, rest: str, props: str = "CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR)") -> str:
     return f"SELECT '{kind}|' || s || '|' || t, s, t, '{kind}', {props} FROM (SELECT {source} AS s, {target} AS t {rest})"
 

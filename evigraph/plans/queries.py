@@ -13,10 +13,11 @@ from evigraph.functions import text as T
 from evigraph.functions.lineage import cut_lineage, shared_path
 from evigraph.operators import analytics, extract, merge, read, resolve, search, traverse
 from evigraph.operators.build import build_graph
-from evigraph.plans.commerce import COMMERCE_SQL, commerce_graph, commerce_snapshot
+from evigraph.plans.commerce import COMMERCE_SQL, commerce_graph, commerce_index, commerce_snapshot
 from evigraph.plans.ingest import blocks_to_graph
 from evigraph.schema import LABELS, Graph
 from evigraph.sources import files
+from evigraph.sources.postings import TextIndex
 from evigraph.sources.snapshots import commit, counts, read_store, write_counts
 from evigraph.streaming.ingest import windowed_events
 
@@ -198,6 +199,20 @@ graph_query(
     _bm25_sql("entities", "entity_id", "entity_id, canonical_name", _ENT_TEXT, "small", 50).replace("len(list_filter(t, lambda x: starts_with(x, 'small'))) AS f", "f AS f", 1).replace("AS t FROM entities", f"AS t, {' + '.join(_PHRASE.format(t=f'string_split(lower({c}), chr(32))') for c in ('name', 'canonical_name', 'coalesce(description, chr(32))'))} AS f FROM entities", 1).replace("* EXCLUDE (t, dl, f)", "* EXCLUDE (t, dl, f)") + " SELECT entity_id, canonical_name, round(score, 6) AS score FROM ranked",
 )
 graph_query("find_claims_fts", lambda g: scored(search.find_claims(g, "urgent", 100)).select("claim_id", "text", "score"), _bm25_sql("claims", "claim_id", "claim_id, text", "text", "urgent", 100) + " SELECT claim_id, text, round(score, 6) AS score FROM ranked")
+
+
+def index_query(name: str, of: str, label: str, search: Callable[[Graph, TextIndex], DataFrame], columns: tuple[str, ...]) -> None:
+    """A search by an index of the snapshot; the rows and the SQL of the query that scans."""
+    QUERIES[name] = lambda spark, sf_dir: scored(search(commerce_snapshot(spark, sf_dir), commerce_index(spark, sf_dir, label))).select(*columns)
+    ORACLE_SQL[name] = ORACLE_SQL[of]
+
+
+_FOUND_ENTITY, _FOUND_CLAIM = ("entity_id", "canonical_name", "score"), ("claim_id", "text", "score")
+index_query("find_entities_indexed", "find_entities_fts", "Entity", lambda g, i: search.find_entities_indexed(g, i, "small"), _FOUND_ENTITY)
+index_query("find_entities_indexed_by_type", "find_entities_fts_by_type", "Entity", lambda g, i: search.find_entities_indexed(g, i, "0000", "SUPPLIER"), _FOUND_ENTITY)
+index_query("find_entities_indexed_in_report", "find_entities_fts_in_report", "Entity", lambda g, i: search.find_entities_indexed(g, i, "customer", report_id=REPORT), _FOUND_ENTITY)
+index_query("find_entities_indexed_phrase", "find_entities_phrase", "Entity", lambda g, i: search.find_entities_indexed(g, i, '"small ring"'), _FOUND_ENTITY)
+index_query("find_claims_indexed", "find_claims_fts", "Claim", lambda g, i: search.find_claims_indexed(g, i, "urgent", 100), _FOUND_CLAIM)
 _HYBRID = (
     _bm25_sql("entities", "entity_id", "entity_id, canonical_name", _ENT_TEXT, "small", 30)
     + f""", hybrid AS MATERIALIZED (SELECT * EXCLUDE (k) FROM (

@@ -132,3 +132,80 @@ def test_an_empty_store_and_a_name_that_is_taken(spark, tmp_path):
     assert (tmp_path / "m" / "v").read_text() == "1" and manifest.names(spark, str(tmp_path / "m")) == ["v"]
     with pytest.raises(RuntimeError, match="other writers"):
         manifest.change(spark, str(tmp_path / "m"), lambda n, held: manifest._create(spark, str(tmp_path / "m" / f"v-{n + 1:010d}.json"), "{}") and {}, tries=3)
+
+
+WORDY = ["acme corp sold tea", "Tea, TEA and more tea", "a small ring", "small red ring. Small ring small ring", "rings of tea-sellers", "", "über süß ring 12", "corp acme"]
+
+
+def claims_graph(spark, texts):
+    from evigraph.schema import complete, empty
+
+    g = empty(spark)
+    rows = [(f"c{k}", t, "FACTUAL" if k % 2 else "OPINION", 1.0, None) for k, t in texts]
+    return complete(spark, {"Claim": spark.createDataFrame(rows, "claim_id string, text string, claim_type string, confidence double, polarity string")}, g.edges)
+
+
+def test_indexed_search_gives_the_rows_of_the_scan(spark, tmp_path):
+    from evigraph.operators import search
+    from evigraph.sources import postings
+
+    g, path = claims_graph(spark, [*enumerate(WORDY), (99, None)]), str(tmp_path / "i")
+    postings.build_index(g["Claim"], path, ("text",), "claim_id", "claim_type")
+    rows = lambda df: [(r[0], round(r["score"], 9)) for r in df.collect()]
+    index = postings.read_index(spark, path)
+    assert (index.rows, index.words) == (9, 29)
+    for query in ("tea", "te", "small ring", '"small ring"', '"small ring" small', '"ring small ring"', "acme corp", '"corp acme"', "süß", "12", "nothing", "", "ring tea"):
+        assert rows(search.find_claims_indexed(g, index, query)) == rows(search.find_claims(g, query)), query
+    assert rows(search.find_claims_indexed(g, index, "tea", 1)) == rows(search.find_claims(g, "tea", 1))
+    got = rows(search.find_claims_indexed(g, index, "ring", claim_type="OPINION"))
+    assert [k for k, _ in got] and all(int(k[1:]) % 2 == 0 for k, _ in got) and set(got) <= set(rows(search.find_claims(g, "ring")))
+    found = search.bm25_indexed(index, "tea", 5)
+    assert "StringStartsWith(term,tea)" in found._jdf.queryExecution().toString()
+    assert found.inputFiles() and all("/postings/" in f for f in found.inputFiles())
+
+
+def test_an_index_is_kept_up_by_deltas(spark, tmp_path, monkeypatch):
+    from evigraph.operators import search
+    from evigraph.sources import postings
+
+    path = str(tmp_path / "i")
+    texts = dict(enumerate(WORDY))
+    postings.build_index(claims_graph(spark, texts.items())["Claim"], path, ("text",), "claim_id", "claim_type")
+    steps = [({0: "ring of tea", 20: "fresh small ring"}, [2, 77]), ({20: "tea", 2: "back again, a ring"}, [0]), ({5: "tea tea", 6: "tea"}, [])]
+    for n, (new, gone) in enumerate(steps):
+        ids = spark.createDataFrame([(f"c{k}",) for k in gone], "id string")
+        if n == 1:  # another writer comes first with a row that this one removes
+            racing(monkeypatch, lambda: postings.update_index(claims_graph(spark, [(0, "later tea")])["Claim"], spark.createDataFrame([], "id string"), path))
+        postings.update_index(claims_graph(spark, new.items())["Claim"], ids, path, every=3 if n == 2 else 8)
+        texts = {k: t for k, t in (texts | new).items() if k not in gone}
+        index, g = postings.read_index(spark, path), claims_graph(spark, texts.items())
+        rows = lambda df: [(r[0], round(r["score"], 9)) for r in df.collect()]
+        for query in ("tea", "ring", '"small ring"', "later"):
+            assert rows(search.find_claims_indexed(g, index, query)) == rows(search.find_claims(g, query)), (n, query)
+        assert index.rows == len(texts)
+    assert [p["name"].split("-")[0] for p in manifest.version(spark, path)[1]["parts"]] == ["base"]  # compacted
+
+
+def test_a_store_s_index_follows_its_writes(spark, tmp_path):
+    from evigraph.operators import search
+    from evigraph.sources import postings
+
+    path = str(tmp_path / "s")
+    store.commit(spark, path, documents(spark, {"a": f"# T\n\nold one 5 percent\n\n{BOUGHT}\n", "b": "# B\n\nkept 7 percent\n"}))
+
+    def agrees():
+        postings.refresh_store_index(spark, path)
+        g = store.read_store(spark, path)
+        for label, scan, indexed in (("Claim", search.find_claims, search.find_claims_indexed), ("Entity", search.find_entities, search.find_entities_indexed)):
+            index = postings.read_index(spark, f"{path}/index/{label}")
+            for query in ("percent", "acme", "beta group", "old", "new"):
+                rows = lambda df: [(r[0], round(r["score"], 9)) for r in df.collect()]
+                assert rows(indexed(g, index, query)) == rows(scan(g, query)), (label, query)
+        return len(manifest.version(spark, f"{path}/index/Claim")[1]["parts"])
+
+    assert agrees() == 1
+    store.commit(spark, path, documents(spark, {"a": "# T\n\nnew 9 percent\n", "c": "# C\n\nSome say Gamma acquired Beta Group here.\n"}))
+    assert agrees() == 2 and agrees() == 2
+    store.commit(spark, path, documents(spark, {"b": "# B\n\nnothing\n"}))
+    store.compact(spark, path)  # the write isn't a delta any more
+    assert agrees() == 1
