@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evigraph.functions.text import words
 from evigraph.operators.read import CLAIM, clamp, claims_in_report, hop, pinned
 from evigraph.operators.traverse import subgraph_nodes
+from evigraph.operators.vectors import fuse
 from evigraph.schema import Graph
 from evigraph.sources.postings import TextIndex, lookup
 
@@ -136,6 +137,16 @@ def hybrid_search(graph: Graph, query: str, top_k: int = 10, report_id: str | No
     return both.orderBy(F.when(F.col("result_type") == "entity", 0).otherwise(1), F.desc("score"), "mentioned_entity", "id").limit(k)
 
 
+def hybrid_fused(graph: Graph, query: str, top_k: int = 10, text_weight: float = 2.0, index: TextIndex | None = None) -> DataFrame:
+    """entity_id, canonical_name and score: entities ranked by text and by how many claims are about or mention them, fused
+    by reciprocal ranks. The ranks count, not the scores, which have nothing in common."""
+    found = find_entities(graph, query, limit=1000).select(F.col("entity_id").alias("id"), "score") if index is None else bm25_indexed(index, query, 1000)
+    claimed = graph.to("ABOUT", "MENTIONS").groupBy(F.col("target_id").alias("id")).agg(F.count("*").cast("double").alias("score"))
+    claimed = claimed.join(graph["Entity"].select(F.col("entity_id").alias("id")), "id", "left_semi")
+    top = fuse([(found.withColumn("score", F.round("score", 6)), text_weight), (claimed, 1.0)], clamp(top_k, 1, 1000))
+    return _found(graph["Entity"].select("entity_id", "canonical_name"), top)
+
+
 def retrieve_for_question(graph: Graph, query: str, top_k: int = 10) -> DataFrame:
     """hybrid_search, and the metric values of the first five entities found."""
     found = hybrid_search(graph, query, top_k)

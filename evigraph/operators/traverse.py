@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions.lineage import cut_lineage, shared_path
@@ -56,18 +56,23 @@ def step(graph: Graph, frontier: DataFrame, size: int) -> DataFrame:
     return out.union(into).join(frontier.select(F.col("id").alias("a")), "a")
 
 
-def subgraph_nodes(graph: Graph, start: str, depth: int = 2) -> DataFrame:
-    """id, label and distance of the nodes within depth edges of start, which is included; empty if it is unknown."""
-    graph = stored(graph)
+def _within(graph: Graph, start: str, depth: int) -> DataFrame:
+    """id and distance of the nodes within depth edges of start."""
     seen = frontier = cut_lineage(labels_of(graph, [start]).select("id", F.lit(0).alias("distance")).distinct())
     size = frontier.count()
-    for level in range(1, clamp(depth, 1, 5) + 1):
+    for level in range(1, depth + 1):
         if not size:
             break
         reached = step(graph, frontier, size).select(F.col("b").alias("id")).distinct()
         frontier = cut_lineage(reached.join(seen, "id", "left_anti").select("id", F.lit(level).alias("distance")))
         seen, size = seen.union(frontier), frontier.count()
-    return seen.join(node_index(graph), "id").select("id", "label", "distance")
+    return seen
+
+
+def subgraph_nodes(graph: Graph, start: str, depth: int = 2) -> DataFrame:
+    """id, label and distance of the nodes within depth edges of start, which is included; empty if it is unknown."""
+    graph = stored(graph)
+    return _within(graph, start, clamp(depth, 1, 5)).join(node_index(graph), "id").select("id", "label", "distance")
 
 
 def subgraph_edges(graph: Graph, start: str, depth: int = 2) -> DataFrame:
@@ -153,3 +158,108 @@ def path_steps(graph: Graph, path: DataFrame) -> DataFrame:
     table = spark.createDataFrame(steps, "k int, id string, edge_id string")
     types = graph.edges.filter(F.col("edge_id").isin(list(row["edges"]))).select("edge_id", "type")
     return table.join(node_lookup(graph, list(row["nodes"])), "id").join(types, "edge_id", "left").select("k", "id", "label", "properties", "edge_id", "type").orderBy("k")
+
+
+def bounded_nodes(graph: Graph, start: str, depth: int = 2, max_nodes: int = 500) -> DataFrame:
+    """subgraph_nodes cut to the nearest max_nodes, by distance and then id; truncated says whether there were more."""
+    most = max(1, int(max_nodes))
+    first = subgraph_nodes(graph, start, depth).orderBy("distance", "id").limit(most + 1)
+    w = Window.partitionBy(F.lit(0))  # max_nodes and one rows
+    kept = first.select("*", F.row_number().over(w.orderBy("distance", "id")).alias("_n"), (F.count("*").over(w) > most).alias("truncated"))
+    return kept.filter(F.col("_n") <= most).drop("_n")
+
+
+def subgraph_trail_edges(graph: Graph, start: str, depth: int = 2) -> DataFrame:
+    """Edges on any walk from start of at most `depth` edges that uses none twice. No walk is listed: an edge is on one if
+    the nearer of its ends is less than depth away. Edges between two nodes at the full depth are on none."""
+    graph = stored(graph)
+    near = cut_lineage(_within(graph, start, clamp(depth, 1, 5) - 1).select("id"))
+    ids, parts = pinned(near, "id"), []
+    for edges, end in ((graph.edges, "source_id"), (graph.incoming, "target_id")):
+        met = edges.filter(F.col(end).isin(ids)) if ids is not None else edges.join(near.select(F.col("id").alias(end)), end, "left_semi")
+        parts.append(met.select("edge_id", "source_id", "target_id", "type"))
+    return parts[0].union(parts[1]).distinct()
+
+
+def report_graph_depth(graph: Graph, report_id: str, depth: int = 2) -> DataFrame:
+    """The edges of a report's graph, and those of walks of `depth` edges from the report."""
+    return read.report_graph_edges(graph, report_id).union(subgraph_trail_edges(graph, report_id, depth)).distinct()
+
+
+class _Front:
+    """What a set of nodes has reached, for each of them: by level the graph of predecessors, as origin, id, edge, before;
+    and by level and node how many shortest ways there are."""
+
+    def __init__(self, graph: Graph, ids: list[str]):
+        self.graph, spark = graph, graph.edges.sparkSession
+        first = spark.createDataFrame([(i, i, 1) for i in ids], "origin string, id string, ways long")
+        self.steps: list[DataFrame | None] = [None]
+        self.levels, self.size, self.seen = [first], len(ids), first.select("origin", "id")
+
+    def grow(self) -> None:
+        last = self.levels[-1]
+        edges = step(self.graph, last.select("id").distinct(), self.size)
+        found = edges.join(last.withColumnRenamed("id", "a"), "a").select("origin", F.col("b").alias("id"), F.col("edge_id").alias("edge"), F.col("a").alias("before"), "ways").filter("id <> before")
+        found = cut_lineage(found.join(self.seen, ["origin", "id"], "left_anti"))
+        self.steps.append(found)
+        level = cut_lineage(found.groupBy("origin", "id").agg(F.sum("ways").alias("ways")))
+        self.levels.append(level)
+        self.seen, self.size = self.seen.union(level.select("origin", "id")), level.count()
+
+
+def _back(front: _Front, met: DataFrame, mine: str) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Nodes and edges from where a pair met (a, b, id, level) back to its end `mine`, level by level."""
+    nodes, edges, current = [], [], None
+    for level in range(len(front.levels) - 1, -1, -1):
+        here = met.filter(F.col("level") == level).select("a", "b", "id")
+        current = here if current is None else current.union(here).distinct()
+        nodes.append(current.select("id"))
+        if level:
+            steps = front.steps[level].withColumnRenamed("origin", mine)
+            used = cut_lineage(steps.join(current, [mine, "id"]).select("a", "b", "edge", "before"))
+            edges.append(used.select("edge"))
+            current = used.select("a", "b", F.col("before").alias("id")).distinct()
+    return nodes, edges
+
+
+def shortest_paths_all(graph: Graph, sources: list[str], targets: list[str], max_depth: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All shortest paths between two sets of nodes, pair by pair: (a, b, length, paths) of the pairs that max_depth edges
+    join, and the distinct id of nodes and edge_id of edges on any of them. Parallel edges are ways of their own. The
+    search grows from both sets, the smaller side first, and keeps every predecessor of a node instead of paths."""
+    graph, spark = stored(graph), graph.edges.sparkSession
+    known = {r["id"] for r in labels_of(graph, sorted({*sources, *targets})).select("id").distinct().collect()}
+    sources, targets = [sorted(known & set(x)) for x in (sources, targets)]
+    left, right = _Front(graph, sources), _Front(graph, targets)
+    pairs = spark.createDataFrame([(a, b) for a in sources for b in targets if a == b], "a string, b string").select("a", "b", F.lit(0).alias("left"), F.lit(0).alias("right"))
+    met = pairs.withColumn("id", F.col("a"))
+    found, wanted = {(i, i) for i in set(sources) & set(targets)}, {(a, b) for a in sources for b in targets}
+    for _ in range(clamp(max_depth, 1, 10)):
+        if found >= wanted or not (left.size and right.size):
+            break
+        side = left if left.size <= right.size else right
+        side.grow()
+        # levels grow one by one, so a pair meets first in the last level of both, and in all such nodes at once
+        here = left.levels[-1].select(F.col("origin").alias("a"), "id").join(right.levels[-1].select(F.col("origin").alias("b"), "id"), "id")
+        here = cut_lineage(here.join(spark.createDataFrame(sorted(found), "a string, b string"), ["a", "b"], "left_anti"))
+        now = {(r["a"], r["b"]) for r in here.select("a", "b").distinct().collect()}  # pairs of two small sets
+        found |= now
+        met = met.unionByName(here.select("a", "b", F.lit(len(left.levels) - 1).alias("left"), F.lit(len(right.levels) - 1).alias("right"), "id"))
+    met = cut_lineage(met)
+    ways = lambda front, mine, at: reduce(DataFrame.union, [x.select(F.col("origin").alias(mine), "id", F.lit(k).alias(at), F.col("ways").alias(f"{at}_ways")) for k, x in enumerate(front.levels)])
+    counted = met.join(ways(left, "a", "left"), ["a", "id", "left"]).join(ways(right, "b", "right"), ["b", "id", "right"])
+    lengths = counted.groupBy("a", "b").agg(F.max(F.col("left") + F.col("right")).alias("length"), F.sum(F.col("left_ways") * F.col("right_ways")).alias("paths"))
+    (n1, e1), (n2, e2) = _back(left, met.withColumn("level", F.col("left")), "a"), _back(right, met.withColumn("level", F.col("right")), "b")
+    edges = [*e1, *e2] or [spark.createDataFrame([], "edge string")]
+    return lengths, reduce(DataFrame.union, [*n1, *n2]).distinct(), reduce(DataFrame.union, edges).select(F.col("edge").alias("edge_id")).distinct()
+
+
+def all_paths_between(graph: Graph, a: str, b: str, max_depth: int = 4) -> DataFrame:
+    """kind (pair, node or edge), id, length and paths: all shortest paths between all entities of two names."""
+    ends = [[r[0] for r in read.named(graph, n).select("entity_id").limit(read.PINNED).collect()] for n in (a, b)]
+    return paths_table(*shortest_paths_all(graph, *ends, max_depth))
+
+
+def paths_table(lengths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("int").alias("length"), F.lit(None).cast("long").alias("paths")
+    pairs = lengths.select(F.lit("pair").alias("kind"), F.concat_ws("|", "a", "b").alias("id"), "length", "paths")
+    return pairs.union(nodes.select(F.lit("node"), "id", *none)).union(edges.select(F.lit("edge"), "edge_id", *none))

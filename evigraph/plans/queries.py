@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
 from evigraph.functions.lineage import cut_lineage, shared_path
-from evigraph.operators import analytics, extract, merge, read, resolve, search, traverse
+from evigraph.operators import analytics, extract, merge, read, resolve, search, traverse, vectors
 from evigraph.operators.build import build_graph
 from evigraph.plans.commerce import COMMERCE_SQL, commerce_graph, commerce_index, commerce_snapshot
 from evigraph.plans.ingest import blocks_to_graph
@@ -174,6 +174,35 @@ graph_query(
     f"SELECT '{C}' AS from_name, 'NATION_19' AS to_name, true AS found, CAST(1 AS INTEGER) AS length, source_id || '|' || target_id AS nodes, edge_id AS edges FROM edges WHERE source_id = '{START}' AND target_id = 'ent:NATION:NATION_19'",
 )
 
+graph_query("subgraph_trail_edges", lambda g: traverse.subgraph_trail_edges(g, START, 2), f"--cte {_WALK}, near AS (SELECT id FROM seen WHERE distance < 2) SELECT edge_id, source_id, target_id, type FROM edges WHERE source_id IN (SELECT id FROM near) OR target_id IN (SELECT id FROM near)")
+graph_query("subgraph_bounded", lambda g: traverse.bounded_nodes(g, START, 2, 100), f"--cte {_WALK} SELECT id, label, distance, (SELECT count(*) FROM seen) > 100 AS truncated FROM labelled ORDER BY distance, id LIMIT 100")
+graph_query(
+    "report_graph_depth",
+    lambda g: traverse.report_graph_depth(g, REPORT, 2),
+    f"""--cte {_REPORT_NODES}, near AS MATERIALIZED (SELECT '{REPORT}' AS id UNION SELECT source_id FROM edges WHERE target_id = '{REPORT}' UNION SELECT target_id FROM edges WHERE source_id = '{REPORT}')
+    SELECT edge_id, source_id, target_id, type FROM edges WHERE (source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)) OR source_id IN (SELECT id FROM near) OR target_id IN (SELECT id FROM near)""",
+)
+_ALL = (START, "ent:CUSTOMER:Customer#000000002"), (f"ent:SUPPLIER:{S}", "ent:REGION:ASIA")
+
+
+def _all_paths_sql(depth: int) -> str:
+    """Levels of both sources with the number of ways, then back from each target through the levels."""
+    listed = [", ".join(f"('{i}')" for i in ids) for ids in _ALL]
+    parts = [f"both_ways AS MATERIALIZED (SELECT edge_id, source_id AS a, target_id AS b FROM edges UNION ALL SELECT edge_id, target_id, source_id FROM edges), f0 AS (SELECT id AS o, id, CAST(1 AS BIGINT) AS ways, 0 AS d FROM (VALUES {listed[0]}) v(id))"]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT o, id FROM f{i}" for i in range(k))
+        parts.append(f"f{k} AS MATERIALIZED (SELECT o, b AS id, CAST(sum(ways) AS BIGINT) AS ways, {k} AS d FROM f{k - 1} JOIN both_ways ON a = f{k - 1}.id WHERE (o, b) NOT IN ({seen}) GROUP BY o, b)")
+    parts.append(f"pairs AS MATERIALIZED (SELECT o, id AS t, d, ways FROM ({' UNION ALL '.join(f'SELECT * FROM f{k}' for k in range(depth + 1))}) WHERE id IN (SELECT id FROM (VALUES {listed[1]}) v(id)))")
+    parts.append(f"n{depth} AS MATERIALIZED (SELECT o, t, t AS id FROM pairs WHERE d = {depth})")
+    for k in range(depth, 0, -1):
+        parts.append(f"u{k} AS MATERIALIZED (SELECT n.o, n.t, edge_id, b FROM n{k} n JOIN both_ways ON a = n.id JOIN f{k - 1} f ON f.o = n.o AND f.id = b)")
+        parts.append(f"n{k - 1} AS MATERIALIZED (SELECT o, t, b AS id FROM u{k} UNION SELECT o, t, t FROM pairs WHERE d = {k - 1})")
+    rows = [f"SELECT 'node' AS kind, id FROM n{k}" for k in range(depth + 1)] + [f"SELECT 'edge', edge_id FROM u{k}" for k in range(1, depth + 1)]
+    return "--cte " + ", ".join(parts) + f" SELECT 'pair' AS kind, o || '|' || t AS id, CAST(d AS INTEGER) AS length, ways AS paths FROM pairs UNION ALL SELECT DISTINCT kind, id, NULL, NULL FROM ({' UNION ALL '.join(rows)})"
+
+
+graph_query("shortest_paths_all", lambda g: traverse.paths_table(*traverse.shortest_paths_all(g, *_ALL, 4)), _all_paths_sql(4))
+
 
 # search
 def _bm25_sql(table: str, key: str, columns: str, text: str, term: str, limit: int, where: str = "") -> str:
@@ -237,6 +266,39 @@ graph_query(
 )
 graph_query("subgraph_for_question", lambda g: search.subgraph_for_question(g, C, 1), f"--cte {_WALK} SELECT id, label, distance FROM labelled WHERE distance < 2")
 
+# vectors: rows whose id is divisible by 50 are the queries, against all rows
+_QUERY = "vec_id % 50 = 0"
+table_query(
+    "vector_topk_exact",
+    "embeddings",
+    lambda e: vectors.top_exact(e, e.filter(_QUERY), 10).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score")),
+    f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a, embeddings b WHERE a.{_QUERY})
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+)
+
+
+def _by_cells(rows: DataFrame, k: int) -> DataFrame:
+    path = shared_path(rows.sparkSession, f"cells-{uuid.uuid4().hex}")
+    vectors.write_cells(rows, path, k=k)
+    return vectors.top_by_cells(rows.sparkSession, path, rows.filter(_QUERY), k)
+
+
+table_query("vector_topk", "embeddings", lambda e: _by_cells(e, 10).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score")))
+table_query(
+    "vector_recall",
+    "embeddings",
+    lambda e: vectors.recall(_by_cells(e, 10), vectors.top_exact(e, e.filter(_QUERY), 10)).select("queries", (F.col("recall") >= 0.9).alias("enough")),
+    f"SELECT count(*) AS queries, true AS enough FROM embeddings WHERE {_QUERY}",
+)
+_RANKED = f"""texts AS (SELECT entity_id, row_number() OVER (ORDER BY round(score, 6) DESC, entity_id) AS r FROM ranked),
+    claimed AS (SELECT e.target_id AS entity_id, row_number() OVER (ORDER BY count(*) DESC, e.target_id) AS r FROM edges e JOIN entities n ON n.entity_id = e.target_id WHERE {_ABOUT} GROUP BY e.target_id),
+    fused AS (SELECT entity_id, CAST(2 AS DOUBLE) / (60 + r) AS s FROM texts UNION ALL SELECT entity_id, CAST(1 AS DOUBLE) / (60 + r) FROM claimed)"""
+graph_query(
+    "hybrid_fused",  # entities by text, twice the weight, and by how many claims name them
+    lambda g: scored(search.hybrid_fused(g, "small", 40)),
+    _bm25_sql("entities", "entity_id", "entity_id, canonical_name", _ENT_TEXT, "small", 1000) + f", {_RANKED}, top AS (SELECT entity_id, sum(s) AS score FROM fused GROUP BY entity_id ORDER BY score DESC, entity_id LIMIT 40) SELECT entity_id, canonical_name, round(score, 6) AS score FROM top JOIN entities USING (entity_id)",
+)
+
 # analytics
 _ENDS = "(SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges)"
 graph_query("entity_importance", analytics.entity_importance, f"SELECT entity_id, coalesce(canonical_name, name) AS name, entity_type, count(*) AS degree FROM {_ENDS} d JOIN entities n ON n.entity_id = d.id GROUP BY ALL ORDER BY degree DESC, entity_id LIMIT 20")
