@@ -22,6 +22,19 @@ class Domain:
         lines += [self.instructions] * bool(self.instructions) + [f"Example: {x}" for x in (*self.example_entities, *self.example_relationships)]
         return "\n".join([*lines, 'Answer in JSON with the keys "entities", "metrics", "claims" and "relationships".', "", text])
 
+    def question(self, kind: str, text: str, title: str | None = None, names=()) -> str:
+        """What a model is asked about one kind of record (entities, metrics, claims or relationships) of a batch of blocks."""
+        lines = [f"Domain: {self.description}."] + [self.instructions] * bool(self.instructions) + [f"Section: {title}."] * bool(title)
+        if kind == "entities":
+            lines += [f"Entity types: {', '.join(self.entity_types)}."] + [f"Example: {x}" for x in self.example_entities]
+        if kind == "relationships":
+            lines += [f"Relations: {', '.join(self.relationship_types)}."] + [f"Example: {x}" for x in self.example_relationships]
+            lines += [f"Only between these entities: {', '.join(names)}."]
+        return "\n".join([*lines, f'Answer in JSON with the key "{kind}": {FIELDS[kind]}.', "", text])
+
+
+#: The fields of each kind of record.
+FIELDS = {"entities": "name, type, description", "metrics": "name, value, unit, period, entity", "claims": "text, type, entities, confidence", "relationships": "source, target, type, description, confidence"}
 
 DEFAULT = Domain()
 BUILTIN = {

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.domains import DEFAULT, Domain
 from evigraph.functions.lineage import cut_lineage
 from evigraph.functions.text import claim_type, leading_number, relationship_type
+from evigraph.operators.model import Limits, ask
 
 TEXT_TYPES = ("paragraph", "heading", "data_row")
 
@@ -30,25 +31,6 @@ def batch_blocks(blocks: DataFrame, size: int = 5) -> DataFrame:
     return rows.select("document_id", F.col("batch").cast("long").alias("batch"), F.element_at("b", 1)["block_seq"].alias("first_block"), F.when(F.exists("b", lambda x: x["level"].isNotNull()), title["content"]).otherwise("Unknown").alias("section_title"), F.array_join(F.transform("b", lambda x: x["content"]), "\n").alias("text"))
 
 
-def ask(batches: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """answer and error for each batch; a failing call leaves an error in its row, not in the job."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            answers, errors = [], []
-            for text in p["text"]:
-                try:
-                    answers.append(model(text))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  whatever a model raises
-                    answers.append(None)
-                    errors.append(str(e)[:500])
-            yield p.assign(answer=answers, error=errors)
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batches.schema)
-    return batches.mapInPandas(run, f"{fields}, answer string, error string")
-
-
 ENTITY = "array<struct<name:string,type:string,description:string>>"
 METRIC = "array<struct<name:string,value:string,unit:string,period:string,entity:string>>"
 CLAIM = "array<struct<text:string,type:string,entities:array<string>,confidence:double>>"
@@ -157,11 +139,32 @@ def rule_relationships(blocks: DataFrame) -> DataFrame:
     return _first(rows, F.lower("source"), F.lower("target"), "type")
 
 
-def extract(blocks: DataFrame, model: Callable[[str], str] | None = None, size: int = 5) -> dict[str, DataFrame]:
+#: Names of a document that a prompt lists at most, the first ones; answers are held against all names.
+LISTED_NAMES = 500
+
+
+def ask_kinds(batches: DataFrame, model: Callable[[str], str], domain: Domain = DEFAULT, limits: Limits = Limits()) -> DataFrame:
+    """batches with kind and names (an array), asked about that kind: the prompt has the domain, the section's title and,
+    for relationships, the names."""
+    return ask(batches, model, limits, lambda r: domain.question(r["kind"], r["text"], r["section_title"], r["names"]))
+
+
+def extract(blocks: DataFrame, model: Callable[[str], str] | None = None, size: int = 5, domain: Domain = DEFAULT, limits: Limits = Limits()) -> dict[str, DataFrame]:
     """entities, metrics, claims and relations of the blocks: by the model's answers, or by rules. A kind for which a
-    batch has no valid answer has no records of it; the others stay. With a model also `answers`, with their errors."""
+    batch has no valid answer has no records of it; the others stay. A model is asked in two phases: about entities,
+    metrics (of blocks with figures) and claims, each kind and batch by a call of its own; then about relationships between
+    the entities found, in documents that have two or more. With a model also `answers`, with their errors and tries."""
     if model is None:
         return {"entities": rule_entities(blocks), "metrics": rule_metrics(blocks), "claims": rule_claims(blocks), "relations": rule_relationships(blocks)}
-    answers = cut_lineage(ask(batch_blocks(text_blocks(blocks), size), model))  # each batch is asked once
-    found = entities(answers)
-    return {"entities": found, "metrics": metrics(answers), "claims": claims(answers), "relations": relationships(answers, found), "answers": answers}
+    texts = text_blocks(blocks)
+    batches = cut_lineage(batch_blocks(texts, size))
+    of = lambda rows, kind: rows.withColumns({"kind": F.lit(kind), "names": F.array().cast("array<string>")})
+    first = of(batches, "entities").unionByName(of(batch_blocks(numeric_blocks(texts), size), "metrics")).unionByName(of(batches, "claims"))
+    first = cut_lineage(ask_kinds(first, model, domain, limits))  # each is asked once
+    said = lambda kind: first.filter(F.col("kind") == kind)
+    found = entities(said("entities"))
+    place = Window.partitionBy("document_id").orderBy("batch", "pos")
+    listed = found.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= LISTED_NAMES)
+    names = listed.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "name"))), lambda x: x["name"]).alias("names")).filter(F.size("names") > 1)
+    second = cut_lineage(ask_kinds(batches.withColumn("kind", F.lit("relationships")).join(names, "document_id"), model, domain, limits))
+    return {"entities": found, "metrics": metrics(said("metrics")), "claims": claims(said("claims")), "relations": relationships(second, found), "answers": first.unionByName(second)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.lineage import cut_lineage
 from evigraph.functions.text import normalise_name
-from evigraph.operators.extract import ask
+from evigraph.operators.model import ask
 
 
 def resolve_entities(mentions: DataFrame) -> DataFrame:

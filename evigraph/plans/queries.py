@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -13,6 +15,7 @@ from evigraph.functions import text as T
 from evigraph.functions.lineage import cut_lineage, shared_path
 from evigraph.operators import analytics, extract, merge, read, resolve, search, traverse, vectors
 from evigraph.operators.build import build_graph
+from evigraph.operators.model import Limits
 from evigraph.plans.commerce import COMMERCE_SQL, commerce_graph, commerce_index, commerce_snapshot
 from evigraph.plans.ingest import blocks_to_graph
 from evigraph.schema import LABELS, Graph
@@ -441,6 +444,41 @@ table_query(
 )
 
 
+def plain_model(prompt: str) -> str:
+    """Stands in for a model: words of twelve letters or more are entities, the first of a batch is its claim, its digits are
+    counted as a metric, and the first two entities listed are related."""
+    head, _, text = prompt.partition("\n\n")
+    names = list(dict.fromkeys(re.findall(r"[a-z]{12,}", text)))
+    if '"entities"' in head:
+        return json.dumps({"entities": [{"name": n, "type": "WORD"} for n in names]})
+    if '"metrics"' in head:
+        return json.dumps({"metrics": [{"name": "digits", "value": str(len(re.findall("[0-9]", text)))}]})
+    if '"claims"' in head:
+        return json.dumps({"claims": [{"text": names[0], "type": "factual"}] if names else []})
+    first, second = re.search(r"these entities: ([a-z]+), ([a-z]+)", head).groups()
+    return json.dumps({"relationships": [{"source": first, "target": second, "type": "next to"}]})
+
+
+def _by_model(docs: DataFrame) -> DataFrame:
+    """By document, how many records of each kind the stand-in for a model gives, and what they say."""
+    got = extract.extract(_as_blocks(docs), plain_model, limits=Limits(in_flight=8))
+    parts = [got["entities"].groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length("name")).alias("sum")).withColumn("kind", F.lit("entities")), got["metrics"].groupBy("document_id").agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("sum")).withColumn("kind", F.lit("metrics"))]
+    parts += [got["claims"].groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("sum")).withColumn("kind", F.lit("claims")), got["relations"].groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length("source") + F.length("target")).alias("sum")).withColumn("kind", F.lit("relations"))]
+    return reduce(DataFrame.unionByName, parts).select("document_id", "kind", "n", "sum")
+
+
+table_query(
+    "model_extract",
+    "documents",
+    _by_model,
+    f"""WITH {_LINES}, b AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1) // 5 AS batch FROM k), t AS MATERIALIZED (SELECT doc_id, batch, regexp_extract_all(string_agg(line, chr(10) ORDER BY line_no), '[a-z]{{12,}}') AS names FROM b GROUP BY doc_id, batch),
+    d AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1) // 5 AS batch FROM k WHERE regexp_matches(line, '[0-9]')), m AS (SELECT doc_id, batch, sum(length(regexp_replace(line, '[^0-9]', '', 'g'))) AS digits FROM d GROUP BY doc_id, batch),
+    w AS (SELECT doc_id, batch, unnest(names) AS name, generate_subscripts(names, 1) AS pos FROM t), e AS MATERIALIZED (SELECT doc_id, name, min(batch * 1000000 + pos) AS place FROM w GROUP BY doc_id, name), r AS (SELECT doc_id, length(name) AS l, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS x FROM e)
+    SELECT CAST(doc_id AS VARCHAR) AS document_id, 'entities' AS kind, count(*) AS n, CAST(sum(length(name)) AS BIGINT) AS sum FROM e GROUP BY doc_id UNION ALL SELECT CAST(doc_id AS VARCHAR), 'metrics', count(*), CAST(sum(digits) AS BIGINT) FROM m GROUP BY doc_id
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 'claims', count(*), CAST(sum(length(names[1])) AS BIGINT) FROM t WHERE len(names) > 0 GROUP BY doc_id UNION ALL SELECT CAST(doc_id AS VARCHAR), 'relations', 1, CAST(sum(l) AS BIGINT) FROM r WHERE x <= 2 GROUP BY doc_id HAVING count(*) = 2""",
+)
+
+
 def _as_files(docs: DataFrame, value: Column) -> DataFrame:
     """Documents as a reader of whole files gives them."""
     key = F.col("doc_id").cast("string")
