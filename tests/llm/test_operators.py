@@ -498,4 +498,4 @@ def test_every_query_is_registered():
 
     names = set(__spark_entry__.queries())
     assert {"pipeline", *queries.QUERIES} <= names and set(__spark_entry__.oracle_sql()) <= names
-    assert sorted(int(m[1]) for n in queries.QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in queries.QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
