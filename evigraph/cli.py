@@ -1,6 +1,6 @@
 """python -m evigraph.cli merge OLD NEW OUT | dump GRAPH OUT | migrate DUMP OUT | ingest STORE FILE...
 
-Graphs are snapshot folders, dumps are Parquet tables of one row for each node and edge."""
+Graphs are snapshot folders or stores of SQLite tables, dumps are Parquet tables of one row for each node and edge."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.sql import SparkSession
 
 from evigraph.operators.merge import MergePolicy, export_dump, import_dump, merge_graphs, merge_log
 from evigraph.plans.ingest import ingest
-from evigraph.schema import empty
+from evigraph.schema import Graph, empty
 from evigraph.sources.snapshots import counts, read_graph, write_graph
+from evigraph.sources.sqlite import is_sqlite, read_sqlite
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -36,18 +37,22 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
+def _graph(spark: SparkSession, path: str) -> Graph:
+    return read_sqlite(spark, path) if is_sqlite(path) else read_graph(spark, path)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = _parser().parse_args(args)
     spark = spark or SparkSession.builder.getOrCreate()
     policy = MergePolicy(a.description, a.aliases, a.edges, a.confidence) if a.job in ("merge", "ingest") else MergePolicy()
     if a.job == "merge":
-        old, new = read_graph(spark, a.old), read_graph(spark, a.new)
+        old, new = _graph(spark, a.old), _graph(spark, a.new)
         write_graph(merge_graphs(old, new, policy), a.out)
         if a.conflict_log:
             merge_log(old, new).write.parquet(a.conflict_log)
         counts(read_graph(spark, a.out)).show(100, False)
     elif a.job == "dump":
-        export_dump(read_graph(spark, a.graph)).write.parquet(a.out)
+        export_dump(_graph(spark, a.graph)).write.parquet(a.out)
     elif a.job == "migrate":
         write_graph(import_dump(spark.read.parquet(a.dump), empty(spark)), a.out)
         counts(read_graph(spark, a.out)).show(100, False)

@@ -18,10 +18,11 @@ from evigraph.operators.build import build_graph
 from evigraph.operators.model import Limits
 from evigraph.plans.commerce import COMMERCE_SQL, commerce_graph, commerce_index, commerce_snapshot
 from evigraph.plans.ingest import blocks_to_graph
-from evigraph.schema import LABELS, Graph
+from evigraph.schema import LABELS, Graph, complete
 from evigraph.sources import files
 from evigraph.sources.postings import TextIndex
 from evigraph.sources.snapshots import commit, counts, read_store, write_counts
+from evigraph.sources.sqlite import read_sqlite, write_sqlite
 from evigraph.streaming.ingest import windowed_events
 
 C, N, S, M = "Customer#000000001", "NATION_1", "Supplier#000000001", "order_total"
@@ -377,6 +378,22 @@ table_query(
     lambda p: merge.merge_edges(_half_edges(p, 0), merge.remap_edges(_half_edges(p, 1), merge.remap(_half(p, 0), _half(p, 1), ["canonical_name", "entity_type"], "entity_id"))).select("source_id", "target_id", "type", "description"),
     "WITH e AS (SELECT DISTINCT p_name, p_brand, p_partkey % 2 AS o FROM part), f AS (SELECT p_name, min(o) AS o FROM e GROUP BY p_name) SELECT 'e' || f.o || ':' || e.p_name AS source_id, 'brand:' || p_brand AS target_id, 'HAS_BRAND' AS type, CAST(min(e.o) AS VARCHAR) AS description FROM e JOIN f ON e.p_name = f.p_name GROUP BY ALL",
 )
+
+
+def _merge_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products of odd keys written as a store of SQLite tables, and merged from there into those of even keys: entities
+    with the number of their edges."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    old, new = (complete(spark, {"Entity": _half(part, odd)}, _half_edges(part, odd)) for odd in (0, 1))
+    path = shared_path(spark, f"sqlite-{uuid.uuid4().hex}")
+    write_sqlite(new, path)
+    g = merge.merge_graphs(old, read_sqlite(spark, path))
+    edges = g.of("HAS_BRAND").groupBy(F.col("source_id").alias("entity_id")).agg(F.count("*").alias("edges"))
+    return flat(g["Entity"]).join(edges, "entity_id").select("entity_id", "canonical_name", "description", "aliases", "edges")
+
+
+QUERIES["merge_sqlite"] = _merge_sqlite
+ORACLE_SQL["merge_sqlite"] = f"{_HALVES}, n AS (SELECT p_name, count(DISTINCT p_brand) AS edges FROM part GROUP BY p_name) SELECT coalesce('e0:' || a.p_name, 'e1:' || b.p_name) AS entity_id, n.p_name AS canonical_name, coalesce(a.d, b.d) AS description, array_to_string({_UNION}, '|') AS aliases, edges FROM a FULL JOIN b ON a.p_name = b.p_name JOIN n ON n.p_name = coalesce(a.p_name, b.p_name)"
 table_query("merge_description", "part", lambda p: p.select("p_partkey", *[T.merge_description(F.when(F.col("p_size") > 10, F.col("p_type")), F.col("p_brand"), k).alias(k) for k in ("preferExisting", "overwrite", "concat")]), """SELECT p_partkey, CASE WHEN p_size > 10 THEN p_type ELSE p_brand END AS "preferExisting", p_brand AS overwrite, CASE WHEN p_size > 10 AND p_type <> p_brand THEN p_type || ' | ' || p_brand WHEN p_size > 10 THEN p_type ELSE p_brand END AS concat FROM part""")
 table_query("merge_aliases", "part", lambda p: p.select("p_partkey", F.array_join(T.merge_aliases(F.array("p_name", "p_brand"), F.array(F.upper("p_name"), F.col("p_type"))), "|").alias("aliases")), "SELECT p_partkey, p_name || '|' || p_brand || CASE WHEN lower(p_type) NOT IN (lower(p_name), lower(p_brand)) THEN '|' || p_type ELSE '' END AS aliases FROM part")
 
