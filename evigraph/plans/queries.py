@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import uuid
@@ -335,6 +336,22 @@ graph_query("metric_trend_like", lambda g: analytics.metric_trend(g, "TOTAL", C)
 graph_query("entity_timeline", lambda g: analytics.entity_timeline(g, C), f"SELECT CAST(NULL AS VARCHAR) AS period, 'claim' AS type, claim_id AS id, text FROM claims WHERE claim_id IN ({_TO_START}) UNION ALL SELECT v.period, 'metric', v.value_id, m.name || ': ' || printf('%.2f', v.value) || ' ' || v.unit FROM {_VALUED} WHERE n.entity_id = '{START}'")
 graph_query("contradiction_candidates", lambda g: analytics.contradiction_candidates(g, C), f"--cte x AS (SELECT claim_id, text, claim_type FROM claims WHERE claim_id IN ({_TO_START})) SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, a.claim_type AS type_a, b.claim_type AS type_b, a.text FROM x a JOIN x b ON a.text = b.text AND a.claim_id < b.claim_id AND a.claim_type <> b.claim_type")
 
+
+def same_words(prompt: str) -> str:
+    """Stands in for a judge: claims of a list contradict each other if they have the same words."""
+    seen: dict[str, list[int]] = {}
+    for n, text in re.findall(r"^(\d+)\. (.*)$", prompt, re.M):
+        seen.setdefault(text, []).append(int(n))
+    return json.dumps({"contradictions": [{"claim_a": b, "claim_b": a, "explanation": "same words"} for held in seen.values() for a, b in itertools.combinations(held, 2)]})
+
+
+#: An entity of many claims, in lists of forty, any two of them together in one.
+graph_query(
+    "contradictions",
+    lambda g: analytics.contradictions(g, PRODUCT, same_words, limits=Limits(in_flight=8)).select("claim_a", "claim_b", "explanation"),
+    f"--cte one AS (SELECT entity_id FROM entities WHERE canonical_name = '{PRODUCT}' ORDER BY entity_id LIMIT 1), x AS MATERIALIZED (SELECT claim_id, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM claims WHERE claim_id IN (SELECT e.source_id FROM edges e JOIN one ON e.target_id = one.entity_id WHERE {_ABOUT})) SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, 'same words' AS explanation FROM x a JOIN x b ON a.text = b.text AND a.claim_id < b.claim_id",
+)
+
 # building and merging
 graph_query("build_entities", lambda g: flat(g["Entity"]), f"SELECT {_ENTITY} FROM entities", commerce_graph)
 graph_query("build_edges_by_type", lambda g: g.edges.groupBy("type").agg(F.count("*").alias("n")), "SELECT type, count(*) AS n FROM edges GROUP BY type", commerce_graph)
@@ -517,24 +534,35 @@ table_query(
     lambda d: files.markdown_blocks(_as_markdown(d)).select("document_id", "block_seq", "section_seq", "parent_section_seq", "section_level", "type", "level", F.md5(F.col("content").cast("binary")).alias("content_md5")),
     f"{_MARKDOWN} SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(block_seq AS INTEGER) AS block_seq, CAST(section_seq AS INTEGER) AS section_seq, CAST(CASE WHEN section_seq > 1 THEN 1 END AS INTEGER) AS parent_section_seq, CAST(CASE WHEN section_seq > 1 THEN 2 ELSE 1 END AS INTEGER) AS section_level, CASE WHEN level IS NULL THEN 'paragraph' ELSE 'heading' END AS type, CAST(level AS INTEGER) AS level, md5(line) AS content_md5 FROM m",
 )
+
+def _parse_json(docs: DataFrame) -> DataFrame:
+    """Each document as an array of two objects, as an object, and as a number."""
+    row = F.to_json(F.struct("doc_id", "lang", "text", F.lit(None).cast("string").alias("none")), {"ignoreNullFields": "false"})
+    kinds = {"array": F.format_string("[%s, %s]", row, F.to_json(F.struct("n_chars"))), "object": row, "scalar": F.format_string(" %s ", F.col("n_chars").cast("string"))}
+    files_ = reduce(DataFrame.unionByName, [_as_files(docs, v).withColumn("document_id", F.concat_ws("-", F.lit(k), "document_id")) for k, v in kinds.items()])
+    return files.json_blocks(files_).select("document_id", "block_seq", "type", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.md5(F.element_at("metadata", "text").cast("binary")).alias("text_md5"))
+
+
 table_query(
     "parse_json",
     "documents",
-    lambda d: files.json_blocks(_as_files(d, F.format_string("[%s, %s]", F.to_json(F.struct("doc_id", "lang", "source", F.lit(None).cast("string").alias("none")), {"ignoreNullFields": "false"}), F.to_json(F.struct(F.col("n_chars").alias("n")))))).select("document_id", "block_seq", "type", "content", F.element_at("metadata", "lang").alias("lang")),
-    "SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(0 AS INTEGER) AS block_seq, 'data_row' AS type, concat_ws(', ', 'doc_id: ' || doc_id, 'lang: ' || lang, 'source: ' || source) AS content, lang FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 'data_row', 'n: ' || n_chars, NULL FROM documents",
+    _parse_json,
+    """SELECT 'array-' || doc_id AS document_id, CAST(0 AS INTEGER) AS block_seq, 'data_row' AS type, md5(concat_ws(', ', 'doc_id: ' || doc_id, 'lang: ' || lang, 'text: ' || text)) AS content_md5, md5(coalesce(text, '')) AS text_md5 FROM documents UNION ALL SELECT 'array-' || doc_id, 1, 'data_row', md5('n_chars: ' || n_chars), NULL FROM documents
+    UNION ALL SELECT 'object-' || doc_id, i, 'paragraph', md5(coalesce([CAST(doc_id AS VARCHAR), lang, text, NULL][i + 1], 'null')), NULL FROM documents, (SELECT unnest([0, 1, 2, 3]) AS i) UNION ALL SELECT 'scalar-' || doc_id, 0, 'paragraph', md5(CAST(n_chars AS VARCHAR)), NULL FROM documents""",
 )
 
 
 def _parse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents written as CSV files and read again."""
+    """The documents, with their texts, written as CSV files and read again."""
     path = shared_path(spark, f"csv-{uuid.uuid4().hex}")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.lit("").alias("none"), "source", F.concat(F.lit('"quoted", '), F.col("n_chars").cast("string"), F.lit("\nlines")).alias("n"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.lit("").alias("none"), "source", "text", F.concat(F.lit('"quoted", '), F.col("n_chars").cast("string"), F.lit("\nlines")).alias("n"))
     rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return files.read_csv(spark, [path]).select(F.element_at("metadata", "doc_id").cast("long").alias("doc_id"), "type", "content", F.element_at("metadata", "none").alias("none"))
+    got = files.read_csv(spark, [path])
+    return got.select(F.element_at("metadata", "doc_id").cast("long").alias("doc_id"), "type", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.md5(F.element_at("metadata", "text").cast("binary")).alias("text_md5"), F.element_at("metadata", "none").alias("none"))
 
 
 QUERIES["parse_csv"] = _parse_csv
-ORACLE_SQL["parse_csv"] = """SELECT doc_id, 'data_row' AS type, concat_ws(', ', 'doc_id: ' || doc_id, 'lang: ' || lang, 'source: ' || source, 'n: "quoted", ' || n_chars || chr(10) || 'lines') AS content, '' AS none FROM documents"""
+ORACLE_SQL["parse_csv"] = """SELECT doc_id, 'data_row' AS type, md5(concat_ws(', ', 'doc_id: ' || doc_id, 'lang: ' || lang, 'source: ' || source, 'text: ' || nullif(text, ''), 'n: "quoted", ' || n_chars || chr(10) || 'lines')) AS content_md5, md5(coalesce(text, '')) AS text_md5, '' AS none FROM documents"""
 
 
 def _ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
