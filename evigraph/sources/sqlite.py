@@ -19,7 +19,7 @@ from urllib.parse import quote, unquote, urlparse
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from evigraph.schema import LABELS, NODE_SCHEMAS, Graph, complete
@@ -173,48 +173,39 @@ class Reader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([to(r[i]) for r in rows], kind) for i, (kind, to) in enumerate(kinds)], names=self.schema.names)
 
 
-@dataclass
-class Part(WriterCommitMessage):
-    name: str
-
-
-class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, table: str, schema: StructType, overwrite: bool):
-        self.folder, self.table, self.schema, self.overwrite = os.path.join(path, table), table, schema, overwrite
-        if not overwrite and os.path.exists(os.path.join(self.folder, "_parts")):
-            raise FileExistsError(f"{self.folder} is there")
+def write_table(rows: DataFrame, path: str, table: str, overwrite: bool = False) -> None:
+    """A folder of a file for each task, and then the list of those that were finished: a retried task's first file isn't in
+    it. Only names of files reach the driver."""
+    folder, schema = os.path.join(_local(path), table), rows.schema
+    listed = os.path.join(folder, "_parts")
+    if os.path.exists(listed) and not overwrite:
+        raise FileExistsError(f"{folder} is there")
+    old = _files(_local(path), table) if os.path.exists(listed) else []
+    types = {StringType: "TEXT", LongType: "INTEGER", IntegerType: "INTEGER", DoubleType: "REAL", BinaryType: "BLOB"}
+    columns = ", ".join(f"{_name(f.name)} {types[type(f.dataType)]}" for f in schema)
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
-        os.makedirs(self.folder, exist_ok=True)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
         name = f"part-{uuid.uuid4().hex}.sqlite"
-        db = sqlite3.connect(os.path.join(self.folder, name))
+        db = sqlite3.connect(os.path.join(folder, name))
         try:
             db.execute("PRAGMA journal_mode = OFF")
-            types = {StringType: "TEXT", LongType: "INTEGER", IntegerType: "INTEGER", DoubleType: "REAL", BinaryType: "BLOB"}
-            db.execute(f"CREATE TABLE {_name(self.table)} ({', '.join(f'{_name(f.name)} {types[type(f.dataType)]}' for f in self.schema)})")
-            into = f"INSERT INTO {_name(self.table)} VALUES ({', '.join('?' * len(self.schema))})"
-            for batch in iterator:
-                db.executemany(into, zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            db.execute(f"CREATE TABLE {_name(table)} ({columns})")
+            for batch in batches:
+                db.executemany(f"INSERT INTO {_name(table)} VALUES ({', '.join('?' * len(schema))})", zip(*(c.to_pylist() for c in batch.columns), strict=True))
             db.commit()
         finally:
             db.close()
-        return Part(name)
+        yield pa.RecordBatch.from_pydict({"name": [name]})
 
-    def commit(self, messages: list[Part | None]) -> None:
-        os.makedirs(self.folder, exist_ok=True)
-        listed = os.path.join(self.folder, "_parts")
-        old = _files(os.path.dirname(self.folder), self.table) if os.path.exists(listed) else []
-        draft = f"{listed}.{uuid.uuid4().hex}"
-        with open(draft, "w", encoding="utf-8") as f:
-            json.dump(sorted(m.name for m in messages if m is not None), f)
-        os.replace(draft, listed)
-        for path in old:
-            os.unlink(path)
-
-    def abort(self, messages: list[Part | None]) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(os.path.join(self.folder, m.name)):
-                os.unlink(os.path.join(self.folder, m.name))
+    names = sorted(r["name"] for r in rows.mapInArrow(write, "name string").collect())
+    os.makedirs(folder, exist_ok=True)
+    draft = f"{listed}.{uuid.uuid4().hex}"
+    with open(draft, "w", encoding="utf-8") as f:
+        json.dump(names, f)
+    os.replace(draft, listed)
+    for file in old:
+        os.unlink(file)
 
 
 class SqliteSource(DataSource):
@@ -245,9 +236,6 @@ class SqliteSource(DataSource):
             raise ValueError(f"no such type in SQLite: {', '.join(unknown)}")
         return Reader(*self._where(), schema, int(self.options.get("rows", ROWS)), json.loads(self.options.get("only", "{}")))
 
-    def writer(self, schema: StructType, overwrite: bool) -> Writer:
-        return Writer(*self._where(), schema, overwrite)
-
 
 def register(spark: SparkSession) -> None:
     """Makes the format known to a session."""
@@ -294,13 +282,10 @@ def read_sqlite(spark: SparkSession, path: str, rows: int = ROWS) -> Graph:
     return complete(spark, nodes, edges)
 
 
-def write_sqlite(graph: Graph, path: str, mode: str = "append") -> None:
-    """A folder of SQLite files for each table; append is for folders that have none yet."""
+def write_sqlite(graph: Graph, path: str, overwrite: bool = False) -> None:
+    """A folder of SQLite files for each table."""
     props = F.to_json(F.struct("description", "confidence", "source_text"))
-    tables = {"edges": graph.edges.select("source_id", "target_id", "type", props.alias("properties"))}
+    write_table(graph.edges.select("source_id", "target_id", "type", props.alias("properties")), path, "edges", overwrite)
     for label in LABELS:
         rows = graph[label]
-        tables[TABLES[label]] = rows.withColumn("aliases", F.to_json("aliases")) if label == "Entity" else rows
-    for table, rows in tables.items():
-        register(rows.sparkSession)
-        rows.write.format("sqlite").option("path", _local(path)).option("table", table).mode(mode).save()
+        write_table(rows.withColumn("aliases", F.to_json("aliases")) if label == "Entity" else rows, path, TABLES[label], overwrite)

@@ -126,7 +126,7 @@ def test_written_tables_are_read_again(spark, tmp_path):
     assert everything(read_sqlite(spark, path)) == everything(g)
     with pytest.raises(Exception, match="is there"):
         write_sqlite(g, path)
-    write_sqlite(written(spark, old=True), f"file:{path}", mode="overwrite")
+    write_sqlite(written(spark, old=True), f"file:{path}", overwrite=True)
     assert everything(read_sqlite(spark, f"file:{path}")) == everything(written(spark, old=True))
 
 
