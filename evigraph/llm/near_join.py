@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import bounded, few, forget, fresh, from_files, locator, materialize, sliced, whole_text
+from evigraph.llm.common import bounded, few, files_for, forget, fresh, from_files, locator, materialize, sliced, whole_text
 from evigraph.llm.components import connected_components
 
 WORDS = 5
@@ -88,6 +88,8 @@ def choose_boundary(sizes: dict[int, int]) -> int:
     return best
 
 
+#: Rows of documents for each file of a table of shingles.
+EACH = 2000
 #: The shares of a set's size that the two rounds of the filter ask for.
 FIRST, SECOND = 0.05, 0.3
 #: Postings that a task compares among its own at once; 16 bytes each.
@@ -294,38 +296,39 @@ def _may_link(p: str, q: str) -> Column:
     )
 
 
-def _components(docs: DataFrame, large: DataFrame, small_links: DataFrame) -> DataFrame:
-    """node, component by all links, those of small sets given. large: rid, loc, n, prefix."""
+def _components(docs: DataFrame, large: DataFrame, small_links: DataFrame, rows: int) -> DataFrame:
+    """node, component by all links, those of small sets given. large: rid, loc, n, prefix. rows: the documents' number."""
+    files, more = (files_for(docs.sparkSession, rows, each) for each in (EACH * 10, EACH))
     located = large.select("rid", "loc")
-    some = materialize(_sharing(large, FIRST).join(located, "rid"), "candidates")
+    some = materialize(_sharing(large, FIRST).join(located, "rid"), "candidates", files)
     fewer = materialize(_shingled(docs, some, SECOND), "candidate-prefixes")
-    some = materialize(_sharing(fewer, SECOND).join(some, "rid"), "candidates")
+    some = materialize(_sharing(fewer, SECOND).join(some, "rid"), "candidates", files)
     sets = materialize(_shingled(docs, some, None), "candidate-sets")
 
     tokens = sets.select("rid", F.col("n").cast("int").alias("n"), F.explode("set").alias("token"))
-    df = materialize(tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1"), "frequencies")
+    df = materialize(tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1"), "frequencies", more)
     ranked = tokens.join(df, "token").groupBy("rid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     ranked = ranked.withColumn("own", F.col("n") - F.size("shared"))
     posted = ranked.select("rid", "n", "own", F.posexplode("shared").alias("k", "s")).withColumn("pos", F.col("own") + F.col("k"))
     posted = posted.filter(5 * (F.col("n") - F.col("pos")) >= 4 * F.col("n")).select(F.col("s.token").alias("token"), "rid", "n", "own", "pos")
-    posted = materialize(posted, "postings")
+    posted = materialize(posted, "postings", more)
 
     hubs = posted.groupBy("token").agg(F.min(F.struct("own", "rid", "n", "pos")).alias("h"))
     # a table of its own, so that the join with a shingle that very many sets have can be split
-    hubs = materialize(hubs.select("token", "h.own", "h.rid", "h.n", "h.pos"), "hubs")
+    hubs = materialize(hubs.select("token", "h.own", "h.rid", "h.n", "h.pos"), "hubs", more)
     near = posted.alias("p").join(hubs.alias("q"), F.col("p.token") == F.col("q.token")).filter((F.col("p.rid") != F.col("q.rid")) & _may_link("p", "q"))
     near = near.select(F.greatest("p.rid", "q.rid").alias("a"), F.least("p.rid", "q.rid").alias("b")).distinct()
-    first = materialize(_verified(near, sets).union(small_links), "hub-links")
+    first = materialize(_verified(near, sets).union(small_links).repartition(files), "hub-links")
 
-    comps = connected_components(first)
+    comps = connected_components(first, files)
     placed = posted.join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("component", "rid")).drop("component")
-    placed = materialize(placed, "placed-postings")
-    mixed = materialize(placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token"), "mixed-tokens")
+    placed = materialize(placed, "placed-postings", more)
+    mixed = materialize(placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token"), "mixed-tokens", more)
     placed = materialize(placed.join(mixed, "token").select("token", "rid", "n", "pos", "comp"), "mixed-lists")
     late = materialize(_verified(_met(placed), sets), "late-links")
     if late.isEmpty():
         return comps
-    return connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
+    return connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late), files)
 
 
 #: Sizes of one class are within so much of each other.
@@ -350,7 +353,9 @@ def _met(placed: DataFrame) -> DataFrame:
 def _grouped(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """loc, doc_id, n and component of every row; the component is null for a row that is alone in it. docs is as of from_files."""
     members = materialize(_members(docs), "members")
-    classes = materialize(members.filter("cls is not null").groupBy("cls").agg(F.min("rid").alias("rep"), F.count("*").alias("c")), "classes")
+    rows = members.count()
+    files = files_for(spark, rows)
+    classes = materialize(members.filter("cls is not null").groupBy("cls").agg(F.min("rid").alias("rep"), F.count("*").alias("c")), "classes", files)
     firsts = members.filter("prefix is not null")
     spare = materialize(firsts.select("rid", "cls").join(classes, "cls").filter("rid <> rep").select("rid"), "spare")
     reps = firsts.join(bounded(spare), "rid", "left_anti")
@@ -359,11 +364,11 @@ def _grouped(spark: SparkSession, docs: DataFrame) -> DataFrame:
     x = choose_boundary(sizes)
     small = reps.filter(F.col("n") <= x).select("rid", "n", "small")
     large = reps.filter(5 * F.col("n") >= 4 * (x + 1)).select("rid", "loc", "n", "prefix")
-    comps = _components(docs, large, materialize(_small_links(small), "small-links"))
+    comps = _components(docs, large, materialize(_small_links(small), "small-links", files), rows)
     comps = comps.select(F.col("node").alias("rep"), F.col("component"))
     # sets are alone unless they have copies or links, so most rows need no more than this join
     classes = classes.join(comps, "rep", "left").filter("c > 1 or component is not null").select("cls", F.coalesce("component", "rep").alias("component"))
-    classes = materialize(classes, "grouped-classes")
+    classes = materialize(classes, "grouped-classes", files)
     return materialize(members.select("loc", "doc_id", "n", "cls").join(classes, "cls", "left").drop("cls"), "placed")
 
 
@@ -383,5 +388,5 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     together = _grouped(spark, docs).filter("component is not null")
     kept = materialize(together.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "loc")).alias("k")), "near-kept")
     gone = together.join(kept, "component").filter(F.col("loc") != F.col("k.loc")).select(F.col("loc").alias(loc))
-    gone = materialize(gone, "near-gone")
+    gone = materialize(gone.repartition(files_for(spark, docs.count())), "near-gone")
     return docs.select(*docs.columns, locator(docs).alias(loc)).join(gone, loc, "left_anti").select(*docs.columns)

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evigraph.llm import chat_format, decontaminate, exact_dedup, near_join, packing, quality, queries, shards, token_count, token_store, tokens, toxicity
+from evigraph.llm.common import shared_dir
 from evigraph.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -422,6 +424,30 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_small_tables_take_few_files(spark):
+    """However many partitions a shuffle has."""
+    docs = [(k, " ".join(f"w{(k // 2 * 7 + j)}" for j in range(20 + k % 2))) for k in range(400)] + [(k, "one text") for k in range(400, 420)]
+    folder = Path(shared_dir(spark, "x").removeprefix("file:")).parent
+    before = set(folder.iterdir())
+    confs = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        near = {r["doc_id"]: r["component_id"] for r in near_join.near_join(spark, frame(spark, docs)).collect()}
+        exact = exact_dedup.exact_dedup(spark, frame(spark, docs)).filter("kept").count()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert near == {k: k // 2 * 2 if k < 400 else 400 for k in range(420)} and exact == 401
+    files = defaultdict(list)
+    for f in set(folder.iterdir()) - before:
+        files[f.name[:-33]].append(len(list(f.glob("part-*"))))
+    few = spark.sparkContext.defaultParallelism
+    for name in ("classes", "candidates", "frequencies", "postings", "hubs", "hub-links", "edges", "placed-postings", "grouped-classes", "dedup-groups"):
+        assert files[name] and max(files[name]) <= few, name
+
+
 # 10
 def test_exact_dedup(spark):
     got = exact_dedup.exact_dedup(spark, frame(spark, ODD, extra=True)).collect()
