@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -228,6 +230,23 @@ def test_cutting_changes_no_id(text):
         tokens.PART, tokens.CALL = part, call
 
 
+def test_a_worker_gives_back_what_it_freed():
+    code = """
+import re
+from pathlib import Path
+import pyarrow as pa
+from evigraph.llm.common import sliced
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+before = held()
+for b in sliced(iter([pa.RecordBatch.from_pydict({"text": ["x"]})])):
+    made = [bytes(1000) for _ in range(200_000)]
+    last = made[-1]
+    del made
+assert held() - before < 60, held() - before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True)
+
+
 def test_slices_are_bounded_by_bytes():
     import pyarrow as pa
 
