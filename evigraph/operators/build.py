@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evigraph.functions.lineage import cut_lineage
 from evigraph.schema import Graph, complete
 
 
@@ -86,9 +85,10 @@ def build_graph(spark: SparkSession, blocks: DataFrame, resolved: DataFrame, met
         related,
     ]
     nodes = {"Report": reports, "Section": sections.select("section_id", "title", "level", "order"), "Paragraph": paragraphs, "SourceSpan": spans, "Entity": entities, "Metric": m.select("metric_id", F.col("metric").alias("name"), F.col("metric_unit").alias("unit")).dropDuplicates(["metric_id"]), "MetricValue": values, "Claim": nodes_c}
-    # read for the edges and for who supports them
-    found = cut_lineage(reduce(DataFrame.unionByName, found))
-    edges = found.groupBy("edge_id", "source_id", "target_id", "type").agg(F.min(F.struct("description", "confidence", "source_text")).alias("p")).select("edge_id", "source_id", "target_id", "type", "p.*")
+    # made twice, for the edges and for who supports them: ids take less time than a table of them takes disk
+    found = reduce(DataFrame.unionByName, found)
+    # an id is what type and ends make, so it isn't grouped by
+    edges = found.groupBy("source_id", "target_id", "type").agg(F.min(F.struct("description", "confidence", "source_text")).alias("p")).select(F.concat_ws("|", "type", "source_id", "target_id").alias("edge_id"), "source_id", "target_id", "type", "p.*")
     owned = [(reports, "Report", "report_id", "report_id"), (sections, "Section", "report_id", "section_id"), (b, "Paragraph", "report_id", "paragraph_id"), (b, "SourceSpan", "report_id", "span_id"), (m, "MetricValue", doc, "value_id"), (c, "Claim", doc, "claim_id"), (found.withColumn("edge", F.col("edge_id")), "edge", "report_id", "edge")]
     members = reduce(DataFrame.union, [rows.select((F.col(report) if isinstance(report, str) else report).alias("report_id"), F.lit(kind).alias("kind"), F.col(key).alias("id")) for rows, kind, report, key in owned]).distinct()
     return complete(spark, nodes, edges, members)

@@ -56,13 +56,15 @@ def markdown_blocks(files: DataFrame) -> DataFrame:
     blocks = rows.groupBy("document_id", "source_filename", "section_seq", "group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("raw"), F.min("start").alias("start_char"), F.min("n").alias("n"), F.max("mark").alias("mark"))
     heading = F.col("mark") > 0
     blocks = blocks.withColumn("content", F.when(heading, F.trim(F.regexp_replace("raw", r"^#{1,6}\s+", ""))).otherwise(F.trim("raw")))
-    sections = blocks.filter(heading).select("document_id", "section_seq", F.col("content").alias("section_title"), F.col("mark").alias("section_level"))
     # the parent is the last earlier heading of a lower level: of six levels, the last of each so far
-    before = Window.partitionBy("document_id").orderBy("section_seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col("section_level") == n, F.col("section_seq"))).over(before) for n in range(1, 6)]
-    sections = sections.withColumn("parent_section_seq", F.greatest(*[F.when(F.col("section_level") > n, last[n - 1]) for n in range(1, 6)]))
-    out = blocks.join(sections, ["document_id", "section_seq"], "left")
-    seq = F.row_number().over(Window.partitionBy("document_id").orderBy("n")) - 1
+    before = doc.rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.max(F.when(F.col("mark") == n, F.col("section_seq"))).over(before) for n in range(1, 6)]
+    parent = F.when(heading, F.greatest(*[F.when(F.col("mark") > n, last[n - 1]) for n in range(1, 6)]))
+    # a section's first block is its heading; all stays where its document is, so texts are shuffled once
+    first = Window.partitionBy("document_id", "section_seq").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    of_section = {"section_title": F.when(heading, F.col("content")), "section_level": F.when(heading, F.col("mark")), "parent_section_seq": F.col("_parent")}
+    out = blocks.withColumns({"_seq": F.row_number().over(doc), "_parent": parent}).withColumns({k: F.first(v).over(first) for k, v in of_section.items()})
+    seq = F.col("_seq") - 1
     return out.select("document_id", "source_filename", seq.cast("int").alias("block_seq"), F.col("section_seq").cast("int"), F.coalesce("section_title", _stem(F.col("source_filename"))).alias("section_title"), F.coalesce("section_level", F.lit(0)).alias("section_level"), F.col("parent_section_seq").cast("int"), F.when(heading, "heading").otherwise("paragraph").alias("type"), F.when(heading, F.col("mark")).alias("level"), "content", F.lit(1).alias("page"), F.col("start_char").cast("int"), (F.col("start_char") + F.length("raw")).cast("int").alias("end_char"), F.lit(None).cast("map<string,string>").alias("metadata"))
 
 
