@@ -3,8 +3,11 @@
 import glob
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from evigraph.functions.lineage import scratch, shared_path, shuffles_removed
-from evigraph.operators import merge
+from evigraph.operators import extract, merge
 from evigraph.plans import queries
 from evigraph.schema import EDGE_SCHEMA, MEMBER_SCHEMA, Graph, complete
 from evigraph.sources import files, snapshots
@@ -74,3 +77,14 @@ def test_delete_records_go_to_many_tasks_by_id(spark):
     old = Graph(members=spark.createDataFrame(members, MEMBER_SCHEMA))
     gone = merge.superseded(old, spark.createDataFrame([("a",)], "report_id string"))
     assert sorted(tuple(r) for r in gone.collect()) == [("Claim", "c"), ("edge", "e2"), ("edge", "e3"), ("edge", "e4"), ("edge", "e5")]
+
+
+@pytest.mark.parametrize("text", ["In 2020 Acme Corp acquired Beta and Gamma is based in Paris.", "the firm Acme Corp, and Beta; Ümlaut Ärger bought Zeta", "nothing here", "", "x Acme", "acquired Beta Acme bought"])
+def test_names_and_relations_are_what_they_were(spark, text):
+    plain = extract.NAMES.replace(r"(?=\p{Lu})", "", 1)
+    assert plain != extract.NAMES
+    rows = spark.createDataFrame([(text,)], "t string")
+    a, b = rows.select(F.regexp_extract_all("t", F.lit(extract.NAMES), 1), F.regexp_extract_all("t", F.lit(plain), 1)).first()
+    assert a == b
+    found = {(r["source"], r["target"], r["type"]) for r in rows.select(F.explode(extract._related(F.col("t"))).alias("r")).select("r.*").collect()}
+    assert found == {"In 2020 Acme": {("Acme Corp", "Beta", "ACQUIRED"), ("Gamma", "Paris", "LOCATED_IN")}, "the firm Acm": {("Ümlaut Ärger", "Zeta", "ACQUIRED")}}.get(text[:12], found if text == "acquired Beta Acme bought" and not found else set())
