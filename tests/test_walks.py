@@ -100,3 +100,17 @@ def test_the_nearest_nodes_stay(spark):
         got = traverse.bounded_nodes(g, "ent:X:N0", 3, most).collect()
         assert sorted((r["distance"], r["id"]) for r in got) == want[:most] and {r["truncated"] for r in got} == {most < len(want)}
     assert traverse.bounded_nodes(g, "unknown").filter(F.lit(True)).count() == 0
+
+
+def test_a_path_between_names_comes_once_for_each_parallel_edge(spark):
+    none = (None, None, None)
+    edges = [("T|a|b", "a", "b", "T", *none)] * 3 + [("T|b|c", "b", "c", "T", *none)] * 2 + [("U|c|d", "c", "d", "U", *none)]
+    names = spark.createDataFrame([(i, i.upper(), "X", i.upper(), None, []) for i in "aabcd"], "entity_id string, canonical_name string, entity_type string, name string, description string, aliases array<string>")
+    from evigraph.operators import traverse
+    from evigraph.schema import complete
+
+    g = complete(spark, {"Entity": names}, spark.createDataFrame(edges, "edge_id string, source_id string, target_id string, type string, description string, confidence double, source_text string"))
+    for ends, ways in (("AB", 3), ("AC", 6), ("CD", 1), ("DA", 6), ("AA", 1)):
+        rows = traverse.path_between(g, *ends).collect()
+        assert len(rows) == ways and len(set(map(str, rows))) == 1 and rows[0]["found"]
+    assert [r["found"] for r in traverse.path_between(g, "A", "none").collect()] == [False]
