@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.functions.lineage import shuffles_removed
 from evigraph.functions.text import words
 from evigraph.operators.merge import MergePolicy
 from evigraph.sources import manifest
@@ -39,7 +40,30 @@ class TextIndex:
     fields: tuple[str, ...]
 
 
+#: Words of a text up to which its postings are made within its row; those of longer ones meet in a shuffle.
+SHORT = 64
+#: Words that are shuffled at once. Files of the shuffle are removed before the next ids are.
+AT_ONCE = 50_000_000
+
+
 def postings_of(rows: DataFrame, fields: tuple[str, ...], key: str, kind: str | None) -> DataFrame:
+    short = F.coalesce(reduce(F.greatest, [F.size(words(F.col(f))) for f in fields], F.lit(0)) <= SHORT, F.lit(False))
+    return _within_rows(rows.filter(short), fields, key, kind).union(_of_long(rows.filter(~short), fields, key, kind))
+
+
+def _within_rows(rows: DataFrame, fields: tuple[str, ...], key: str, kind: str | None) -> DataFrame:
+    base = rows.select(F.col(key).alias("id"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"), *[words(F.col(f)).alias(f"_{k}") for k, f in enumerate(fields)])
+
+    def terms(k: int) -> Column:
+        at = lambda w: F.filter(F.transform(f"_{k}", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
+        return F.transform(F.array_distinct(f"_{k}"), lambda w: F.struct(w.alias("term"), F.lit(k).alias("field"), at(w).alias("positions")))
+
+    length = sum((F.size(f"_{k}") for k in range(len(fields))), F.lit(0))
+    each = base.select("id", "kind", length.alias("length"), F.explode(F.concat(*map(terms, range(len(fields))))).alias("p"))
+    return each.select("p.term", "id", "kind", "p.field", F.size("p.positions").alias("frequency"), "length", "p.positions")
+
+
+def _of_long(rows: DataFrame, fields: tuple[str, ...], key: str, kind: str | None) -> DataFrame:
     tokens = {f: words(F.col(f)) for f in fields}
     base = rows.select(F.col(key).alias("id"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"), F.size(F.flatten(F.array(*tokens.values()))).alias("length"), *[t.alias(f"_{k}") for k, t in enumerate(tokens.values())])
     each = [base.select("id", "kind", "length", F.lit(k).alias("field"), F.posexplode(f"_{k}").alias("position", "term")) for k in range(len(fields))]
@@ -48,10 +72,15 @@ def postings_of(rows: DataFrame, fields: tuple[str, ...], key: str, kind: str |
 
 
 def _write(rows: DataFrame, path: str, fields: tuple[str, ...], key: str, kind: str | None) -> tuple[int, int]:
-    postings_of(rows, fields, key, kind).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", GROUP).parquet(f"{path}/postings")
-    lengths = rows.select(F.col(key).alias("id"), F.size(F.flatten(F.array(*[words(F.col(f)) for f in fields]))).alias("length"))
-    lengths.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/lengths")
-    n, total = rows.sparkSession.read.parquet(f"{path}/lengths").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    spark = rows.sparkSession
+    with shuffles_removed(spark):
+        lengths = rows.select(F.col(key).alias("id"), F.size(F.flatten(F.array(*[words(F.col(f)) for f in fields]))).alias("length"))
+        lengths.repartitionByRange("id").sortWithinPartitions("id").write.option("compression", "zstd").parquet(f"{path}/lengths")
+        n, total = spark.read.parquet(f"{path}/lengths").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        turns = max(1, -(-total // AT_ONCE))
+        for turn in range(turns):
+            some = rows if turns == 1 else rows.filter(F.pmod(F.xxhash64(key), F.lit(turns)) == turn)
+            postings_of(some, fields, key, kind).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("append").option("compression", "zstd").option("parquet.block.size", GROUP).parquet(f"{path}/postings")
     return n, total
 
 
@@ -123,9 +152,10 @@ def read_index(spark: SparkSession, folder: str) -> TextIndex:
     return TextIndex(_parts(spark, folder, held, "postings", POSTINGS), sum(p["rows"] for p in held["parts"]), sum(p["words"] for p in held["parts"]), tuple(held["fields"]))
 
 
-def index_graph(graph, folder: str) -> None:
-    """Indexes of a graph's entities and claims in folder/Entity and folder/Claim."""
-    for label, (fields, kind) in INDEXED.items():
+def index_graph(graph, folder: str, labels: tuple[str, ...] = tuple(INDEXED)) -> None:
+    """Indexes of a graph's entities and claims in folder/Entity and folder/Claim, or of one of them."""
+    for label in labels:
+        fields, kind = INDEXED[label]
         build_index(graph[label], f"{folder}/{label}", fields, graph[label].columns[0], kind)
 
 
