@@ -88,3 +88,45 @@ def test_names_and_relations_are_what_they_were(spark, text):
     assert a == b
     found = {(r["source"], r["target"], r["type"]) for r in rows.select(F.explode(extract._related(F.col("t"))).alias("r")).select("r.*").collect()}
     assert found == {"In 2020 Acme": {("Acme Corp", "Beta", "ACQUIRED"), ("Gamma", "Paris", "LOCATED_IN")}, "the firm Acm": {("Ümlaut Ärger", "Zeta", "ACQUIRED")}}.get(text[:12], found if text == "acquired Beta Acme bought" and not found else set())
+
+
+def test_a_snapshot_writes_what_is_read(spark, tmp_path):
+    rows = [("T|a|b", "a", "b", "T"), ("own", "a", "c", "T"), ("U|b|a", "b", "a", "U")]
+    nodes = {"Metric": spark.createDataFrame([("a", "m", "USD"), ("b", "n", None)], "metric_id string, name string, unit string")}
+    g = snapshots.Snapshot(complete(spark, nodes, edges_of(spark, rows)), ("T", "U", "V"), str(tmp_path / "s"))
+    there = lambda: sorted(os.path.relpath(os.path.dirname(x), tmp_path / "s") for x in glob.glob(f"{tmp_path}/s/**/_SUCCESS", recursive=True))
+    assert there() == []
+    assert g["Metric"].count() == 2 and there() == ["nodes/Metric"]
+    assert sorted(map(tuple, g.of("T").select(*ENDS).collect())) == sorted(rows[:2])
+    assert there() == ["edges/type=T", "nodes/Metric"]
+    assert sorted(map(tuple, g.to("U").select(*ENDS).collect())) == rows[2:] and "edges_in/type=U" in there() and "edges/type=U" not in there()
+    assert sorted(map(tuple, g.edges.select(*ENDS).collect())) == sorted(map(tuple, g.incoming.select(*ENDS).collect())) == sorted(rows)
+    assert g.of("W").count() == g.of("V").count() == 0 and g.but("T").count() == 1
+    assert sorted(k for k, v in g.nodes.items() if v.count()) == ["Metric"] and len(g.nodes) == 9
+
+
+def test_claims_of_a_report_need_no_other_tables(spark):
+    from evigraph.plans import commerce
+
+    queries.QUERIES["claims_in_report"](spark, SF).collect()
+    here = commerce._SNAPSHOTS.pop((spark.sparkContext.applicationId, SF))
+    g = commerce.commerce_snapshot(spark, SF)
+    assert g.path != here.path and queries.QUERIES["claims_in_report"](spark, SF).count() > 0
+    made = {os.path.relpath(os.path.dirname(x), g.path.removeprefix("file:")) for x in glob.glob(f"{g.path.removeprefix('file:')}/**/_SUCCESS", recursive=True)}
+    assert made == {"nodes/Report", "nodes/Claim", "edges/type=HAS_SECTION", "edges/type=HAS_PARAGRAPH", "edges/type=ASSERTS"}
+    assert set(commerce.TYPES) == {r[0] for r in commerce.commerce_graph(spark, SF).edges.select("type").distinct().collect()}
+
+
+def test_postings_of_short_and_long_texts_agree(spark, tmp_path, monkeypatch):
+    from evigraph.sources import postings
+
+    texts = [("a", "one two one", None, "k"), ("b", "two " * 70 + "three", "one", "k"), ("c", None, "", None), ("d", "x, X. y", "y y", "m")]
+    rows = spark.createDataFrame(texts, "id string, t string, u string, kind string")
+    got = lambda df: sorted(map(str, df.select("term", "id", "kind", "field", "frequency", "length", "positions").collect()))
+    want = got(postings._of_long(rows, ("t", "u"), "id", "kind"))
+    assert got(postings.postings_of(rows, ("t", "u"), "id", "kind")) == want == got(postings._within_rows(rows, ("t", "u"), "id", "kind"))
+    assert plan_of(postings._within_rows(rows, ("t", "u"), "id", "kind")).count("Exchange") == 0
+    monkeypatch.setattr(postings, "AT_ONCE", 20)  # several turns
+    postings.build_index(rows, str(tmp_path / "i"), ("t", "u"), "id", "kind")
+    index = postings.read_index(spark, str(tmp_path / "i"))
+    assert got(index.postings) == want and index.rows == 4 and index.words == 80
